@@ -57,7 +57,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     s1 = F.sin(F.radians(lat2 - lat1) / 2)
     s2 = F.sin(F.radians(lon2 - lon1) / 2)
     a = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def planar_degrees(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

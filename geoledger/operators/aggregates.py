@@ -183,7 +183,7 @@ def match_summary(matches: DataFrame) -> DataFrame:
         F.avg(d).alias("avg_distance_meters"), F.min(d).alias("min_distance_meters"),
         F.max(d).alias("max_distance_meters"), distinct_with_null("building_type").alias("unique_building_types"),
     )
-    median = exact_quantiles(matches, "distance_meters", [0.5]).select(F.col("value").alias("v"))
+    median = exact_quantiles(matches, ["distance_meters"], [0.5]).select(F.col("value").alias("v"))
     return plain.withColumn("median_distance_meters", median.scalar())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..session import written
 from .near import HOT_ROWS, collapse_positions, radius_join
 
 _PLANE_RADIUS_M = 111_195.0
@@ -86,7 +87,7 @@ def co_location(
     stands for the product of their counts. ``lift`` compares the share of a
     kind pair with what independent kinds would give.
     """
-    located = collapse_positions(businesses.where(F.col(kind).isNotNull()), kind)
+    located = written(collapse_positions(businesses.where(F.col(kind).isNotNull()), kind), "kinds")
     left = located.select("longitude", "latitude", F.col(kind).alias("kind_1"), F.col("weight").alias("w1"))
     right = located.select(
         F.col("longitude").alias("center_lon"), F.col("latitude").alias("center_lat"),

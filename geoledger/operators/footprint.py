@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounding_box, once, ring_contains, ring_points
+from ..session import written
 from .near import HOT_ROWS, cell_join
 
 # Cells of level 0 are BASE_CELL degrees wide; every level doubles the width.
@@ -42,7 +43,8 @@ def point_in_polygon_join(
         F.lit(TOP_LEVEL),
         F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(BASE_CELL)) / F.lit(BASE_CELL)))),
     ).cast("int")
-    leveled = boxed.where(extent.isNotNull()).withColumn("_lv", level)
+    # written out, as it is read for the levels, for the hot cells and for the join
+    leveled = written(boxed.where(extent.isNotNull()).drop(wkt).withColumn("_lv", level), "rings")
 
     def cells(low: str, high: str) -> Column:
         width = _width(F.col("_lv"))

@@ -140,16 +140,22 @@ def detect_duplicates(df: DataFrame) -> DataFrame:
 
 def detect_outliers(df: DataFrame) -> DataFrame:
     """Coordinates more than 1.5 interquartile ranges outside the quartiles."""
-    bounds = []
-    for axis, column in (("lat", "latitude"), ("lon", "longitude")):
-        quartiles = exact_quantiles(df, column, [0.25, 0.75]).agg(
-            F.min("value").alias("q1"), F.max("value").alias("q3")
-        )
-        spread = 1.5 * (F.col("q3") - F.col("q1"))
-        bounds.append(quartiles.select(
-            (F.col("q1") - spread).alias(f"{axis}_lower"), (F.col("q3") + spread).alias(f"{axis}_upper")
-        ))
-    box = one_row(*bounds).select(F.struct("lat_lower", "lat_upper", "lon_lower", "lon_upper").alias("b"))
+    quartiles = exact_quantiles(df, ["latitude", "longitude"], [0.25, 0.75])
+
+    def quartile(column: str, p: float) -> Column:
+        return F.max(F.when((F.col("column") == column) & (F.col("probability") == p), F.col("value")))
+
+    named = quartiles.agg(*[
+        quartile(column, p).alias(f"{axis}_q{q}")
+        for axis, column in (("lat", "latitude"), ("lon", "longitude")) for q, p in ((1, 0.25), (3, 0.75))
+    ])
+    limits = []
+    for axis in ("lat", "lon"):
+        spread = 1.5 * (F.col(f"{axis}_q3") - F.col(f"{axis}_q1"))
+        limits += [
+            (F.col(f"{axis}_q1") - spread).alias(f"{axis}_lower"), (F.col(f"{axis}_q3") + spread).alias(f"{axis}_upper"),
+        ]
+    box = named.select(F.struct(*limits).alias("b"))
     lat, lon = F.col("latitude"), F.col("longitude")
     outside = (
         (lat < F.col("b.lat_lower")) | (lat > F.col("b.lat_upper"))
@@ -214,71 +220,107 @@ def validation_report(businesses: DataFrame, buildings: DataFrame | None = None)
 # Quality scores -----------------------------------------------------------
 
 
+Checks = tuple[dict[str, Column], dict[str, Column]]  # counts over the table, scores over the counts
+
+
 def _score_frame(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     out = df.select(*[c.alias(n) for n, c in checks.items()])
     return out.withColumn("score", _mean(list(checks)))
 
 
-def score_accuracy(df: DataFrame) -> DataFrame:
+def _counted(df: DataFrame, *checks: Checks) -> DataFrame:
+    """All counts of the given checks in one pass over the table."""
+    counts = {name: col for aggs, _ in checks for name, col in aggs.items()}
+    return df.agg(_rows().alias("_t"), *[c.alias(n) for n, c in counts.items()])
+
+
+def _completeness_checks(df: DataFrame, fields: Sequence[str]) -> Checks:
+    present = [f for f in fields if f in df.columns]
+    return {f"_has_{f}": F.count(f) for f in present}, {f: rate(f"_has_{f}", "_t") for f in present}
+
+
+def _accuracy_checks(df: DataFrame) -> Checks:
     aggs = {
-        "geographic_accuracy": F.count_if(_in_city()),
-        "naics_format_accuracy": F.count_if(F.char_length("naics_code").between(2, 6)),
-        "address_format_accuracy": F.count_if(F.col("street_address").rlike(STARTS_WITH_NUMBER)),
+        "_in_city": F.count_if(_in_city()),
+        "_code_length": F.count_if(F.char_length("naics_code").between(2, 6)),
+        "_numbered": F.count_if(F.col("street_address").rlike(STARTS_WITH_NUMBER)),
+    }
+    scores = {
+        "geographic_accuracy": rate("_in_city", "_t"), "naics_format_accuracy": rate("_code_length", "_t"),
+        "address_format_accuracy": rate("_numbered", "_t"),
     }
     if "email" in df.columns:
-        aggs["email_format_accuracy"] = F.count_if(F.col("email").rlike(EMAIL_PATTERN))
-    counts = df.agg(_rows().alias("_t"), *[a.alias(n) for n, a in aggs.items()])
-    return _score_frame(counts, {n: rate(n, "_t") for n in aggs})
-
+        aggs["_email"] = F.count_if(F.col("email").rlike(EMAIL_PATTERN))
+        scores["email_format_accuracy"] = rate("_email", "_t")
+    return aggs, scores
 
-def score_consistency(df: DataFrame) -> DataFrame:
-    """Equal names, ordered dates, and how tightly a zip code's points lie together.
 
-    Without a zip code of MIN_ZIP_ROWS rows the mean is over two checks.
-    """
+def _consistency_checks() -> Checks:
     start, end = F.col("business_start_date"), F.col("business_end_date")
-    both_names = F.col("dba_name").isNotNull() & F.col("ownership_name").isNotNull()
-    plain = df.agg(
-        F.count_if(F.lower("dba_name") == F.lower("ownership_name")).alias("_same"),
-        F.count_if(both_names).alias("_names"),
-        F.count_if(start <= end).alias("_ordered"),
-        F.count_if(start.isNotNull() & end.isNotNull()).alias("_dates"),
-    )
+    aggs = {
+        "_same_name": F.count_if(F.lower("dba_name") == F.lower("ownership_name")),
+        "_both_names": F.count_if(F.col("dba_name").isNotNull() & F.col("ownership_name").isNotNull()),
+        "_ordered": F.count_if(start <= end),
+        "_both_dates": F.count_if(start.isNotNull() & end.isNotNull()),
+    }
+    return aggs, {
+        "name_consistency": rate("_same_name", "_both_names", 1.0),
+        "date_consistency": rate("_ordered", "_both_dates", 1.0),
+    }
+
+
+def _validity_checks(now: dt.datetime, naics_pattern: str) -> Checks:
+    start, lat, lon = F.col("business_start_date"), F.col("latitude"), F.col("longitude")
+    aggs = {
+        "_start_ok": F.count_if(start.between(moment(EARLIEST_START), moment(now))), "_start": F.count(start),
+        "_code_ok": F.count_if(F.col("naics_code").rlike(naics_pattern)), "_code": F.count("naics_code"),
+        "_lat_ok": F.count_if(F.bround(lat, 6) == lat), "_lon_ok": F.count_if(F.bround(lon, 6) == lon),
+    }
+    return aggs, {
+        "start_date_validity": rate("_start_ok", "_start", 1.0),
+        "naics_validity": rate("_code_ok", "_code", 1.0),
+        "coordinate_precision_validity": rate(F.least("_lat_ok", "_lon_ok"), "_t", 1.0),
+    }
+
+
+def _zip_spread(df: DataFrame) -> DataFrame:
+    """Average spread of the coordinates of a zip code; nulls if none has enough rows."""
     zips = df.groupBy("zipcode").agg(
         F.stddev_samp("latitude").alias("lat_std"), F.stddev_samp("longitude").alias("lon_std"), _rows().alias("n")
     ).where(F.col("n") >= MIN_ZIP_ROWS)
-    spread = zips.agg(F.avg("lat_std").alias("_lat"), F.avg("lon_std").alias("_lon"))
-    scored = one_row(plain, spread).select(
-        rate("_same", "_names", 1.0).alias("name_consistency"),
-        rate("_ordered", "_dates", 1.0).alias("date_consistency"),
-        F.greatest(F.lit(0.0), 1 - (F.col("_lat") + F.col("_lon")) * 100).alias("_coordinates"),
-        F.col("_lat").isNotNull().alias("_zips"),
-    )
+    return zips.agg(F.avg("lat_std").alias("_zip_lat"), F.avg("lon_std").alias("_zip_lon"))
+
+
+def score_accuracy(df: DataFrame) -> DataFrame:
+    checks = _accuracy_checks(df)
+    return _score_frame(_counted(df, checks), checks[1])
+
+
+def _consistency_scores(counted: DataFrame) -> DataFrame:
+    """Adds the zip check and the consistency score to rows with counts and zip spread."""
+    zip_check = F.greatest(F.lit(0.0), 1 - (F.col("_zip_lat") + F.col("_zip_lon")) * 100)
+    plain = counted.withColumns(_consistency_checks()[1])
     two = F.col("name_consistency") + F.col("date_consistency")
-    return scored.select(
-        "name_consistency", "date_consistency",
-        F.when(F.col("_zips"), F.col("_coordinates")).alias("coordinate_consistency"),
-        F.when(F.col("_zips"), (two + F.col("_coordinates")) / 3).otherwise(two / 2).alias("score"),
+    has_zips = F.col("_zip_lat").isNotNull()
+    return plain.withColumn("coordinate_consistency", F.when(has_zips, zip_check)).withColumn(
+        "consistency", F.when(has_zips, (two + F.col("coordinate_consistency")) / 3).otherwise(two / 2)
     )
 
 
-def score_validity(df: DataFrame, now: dt.datetime, naics_pattern: str = NAICS_PATTERN) -> DataFrame:
-    start = F.col("business_start_date")
-    lat, lon = F.col("latitude"), F.col("longitude")
-    counts = df.agg(
-        _rows().alias("_t"),
-        F.count_if(start.between(moment(EARLIEST_START), moment(now))).alias("_start_ok"),
-        F.count(start).alias("_start"),
-        F.count_if(F.col("naics_code").rlike(naics_pattern)).alias("_code_ok"),
-        F.count("naics_code").alias("_code"),
-        F.count_if(F.bround(lat, 6) == lat).alias("_lat_ok"),
-        F.count_if(F.bround(lon, 6) == lon).alias("_lon_ok"),
+def score_consistency(df: DataFrame) -> DataFrame:
+    """Equal names, ordered dates, and how tightly a zip code's points lie together.
+
+    Without a zip code of MIN_ZIP_ROWS rows the mean is over two checks.
+    """
+    both = one_row(_counted(df, _consistency_checks()), _zip_spread(df))
+    return _consistency_scores(both).select(
+        "name_consistency", "date_consistency", "coordinate_consistency", F.col("consistency").alias("score")
     )
-    return _score_frame(counts, {
-        "start_date_validity": rate("_start_ok", "_start", 1.0),
-        "naics_validity": rate("_code_ok", "_code", 1.0),
-        "coordinate_precision_validity": rate(F.least("_lat_ok", "_lon_ok"), "_t", 1.0),
-    })
+
+
+def score_validity(df: DataFrame, now: dt.datetime, naics_pattern: str = NAICS_PATTERN) -> DataFrame:
+    checks = _validity_checks(now, naics_pattern)
+    return _score_frame(_counted(df, checks), checks[1])
 
 
 def score_uniqueness(df: DataFrame) -> DataFrame:
@@ -299,22 +341,27 @@ def score_uniqueness(df: DataFrame) -> DataFrame:
 def quality_score(
     df: DataFrame, now: dt.datetime, fields: Sequence[str] = SCORE_FIELDS, weights: Mapping[str, float] = WEIGHTS
 ) -> DataFrame:
-    """One row: five dimension scores, the weighted score, grade and row count."""
-    parts = {
-        "completeness": overall_completeness(df, fields).withColumnRenamed("overall_completeness", "score"),
-        "accuracy": score_accuracy(df),
-        "consistency": score_consistency(df),
-        "validity": score_validity(df, now),
-        "uniqueness": score_uniqueness(df),
-    }
-    scores = one_row(
-        *[p.select(F.col("score").alias(n)) for n, p in parts.items()], df.agg(_rows().alias("total_records"))
-    )
+    """One row: five dimension scores, the weighted score, grade and row count.
+
+    Three passes: all counts, the zip codes, the distinct counts.
+    """
+    complete, accurate, valid = _completeness_checks(df, fields), _accuracy_checks(df), _validity_checks(now, NAICS_PATTERN)
+    counted = _counted(df, complete, accurate, valid, _consistency_checks())
+    unique = score_uniqueness(df).select(F.col("score").alias("uniqueness"))
+    scored = _consistency_scores(one_row(counted, _zip_spread(df), unique))
+
+    def mean(checks: Checks) -> Column:
+        columns = list(checks[1].values())
+        return sum(columns[1:], columns[0]) / len(columns)
+
+    scored = scored.withColumns({"completeness": mean(complete), "accuracy": mean(accurate), "validity": mean(valid)})
     overall = None
-    for name in parts:
-        term = F.col(name) * F.lit(weights[name])
+    for name, weight in weights.items():
+        term = F.col(name) * F.lit(weight)
         overall = term if overall is None else overall + term
-    return scores.withColumn("overall_score", overall).withColumn("quality_grade", grade(F.col("overall_score")))
+    return scored.select(*weights, F.col("_t").alias("total_records"), overall.alias("overall_score")).withColumn(
+        "quality_grade", grade(F.col("overall_score"))
+    )
 
 
 def grade(score: Column) -> Column:

@@ -10,48 +10,46 @@ from pyspark.sql import functions as F
 BUCKETS = 65_536
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """Rows (probability, value) with linear interpolation between neighbours.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Rows (column, probability, value) with linear interpolation between neighbours.
 
-    A histogram over the value range (at most BUCKETS rows) tells which buckets
-    hold the wanted ranks; only the distinct values of those buckets are then
-    counted and ranked. Values that repeat collapse into one counted row.
+    A histogram over the value range (at most BUCKETS rows per column) tells
+    which buckets hold the wanted ranks; only the distinct values of those
+    buckets are then counted and ranked. Values that repeat collapse into one
+    counted row. The table is read three times, all columns together.
     """
-    x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    range_ = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    width = F.greatest((F.col("r.hi") - F.col("r.lo")) / BUCKETS, F.lit(1e-300))
-    bounds = range_.select(F.struct("lo", "hi").alias("r")).select(
-        F.struct(F.col("r.lo").alias("lo"), width.alias("width")).alias("b")
-    )
-    placed = x.withColumn("b", bounds.scalar()).select(
-        "x", F.least(F.lit(BUCKETS - 1), F.floor((F.col("x") - F.col("b.lo")) / F.col("b.width"))).cast("int").alias("bucket")
-    )
-    histogram = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # at most BUCKETS rows
-    order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = histogram.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    total = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
-    position = {p: (total - 1) * F.lit(float(p)) for p in probabilities}
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.inline(entries)).where(F.col("x").isNotNull())
+    span = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total"))
+    span = span.withColumn("width", F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-300)))
+    ranges = F.broadcast(span)  # one row per column
+    placed = long.join(ranges, "column").withColumn(
+        "bucket", F.least(F.lit(BUCKETS - 1), F.floor((F.col("x") - F.col("lo")) / F.col("width"))).cast("int")
+    ).select("column", "bucket", "x", "total")
+    histogram = placed.groupBy("column", "bucket", "total").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = histogram.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    position = {p: (F.col("total") - 1) * F.lit(float(p)) for p in probabilities}
     wanted = F.array(*[
         F.struct(F.lit(float(p)).alias("probability"), h.alias("h"), edge(h).alias("k"))
         for p, h in position.items()
         for edge in (F.floor, F.ceil)
     ])
     homes = (
-        starts.select("bucket", "start", "n", F.inline(wanted))
+        starts.select("column", "bucket", "start", "n", F.inline(wanted))
         .where((F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + F.col("n")))
-        .select("bucket", "start", "probability", "h", "k")
-    )  # two rows per probability
-    buckets = homes.select("bucket", "start").distinct()
-    values = (
-        placed.join(F.broadcast(buckets), "bucket")
-        .groupBy("bucket", "start", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column", "bucket", "start")
+        .agg(F.collect_set(F.struct("probability", "h", "k")).alias("ranks"))
+    )  # two ranks per column and probability
+    values = placed.join(F.broadcast(homes), ["column", "bucket"]).groupBy("column", "bucket", "start", "ranks", "x").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    inside = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("column", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = values.withColumn("first", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    hits = ranked.join(
-        F.broadcast(homes.select("bucket", "probability", "h", "k")), "bucket"
-    ).where((F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("n")))
-    return hits.groupBy("probability", "h").agg(F.min("x").alias("low"), F.max("x").alias("high")).select(
-        "probability", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))).alias("value")
+    hits = ranked.select("column", "x", "first", "n", F.inline("ranks")).where(
+        (F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("n"))
+    )
+    return hits.groupBy("column", "probability", "h").agg(F.min("x").alias("low"), F.max("x").alias("high")).select(
+        "column", "probability",
+        (F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))).alias("value"),
     )

@@ -22,7 +22,7 @@ from ..operators import quality as Q
 from ..operators import upsert as U
 from ..operators.density import dbscan_districts
 from ..operators.rollup import top_rows
-from ..session import fresh_path
+from ..session import fresh_path, written
 from ..sources import footprints as FP
 from ..sources import registrations as R
 from ..sources import sinks as S
@@ -132,7 +132,7 @@ def sink_csv(t: Tables) -> DataFrame:
 @query
 def sink_report_json(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "report")
-    S.sink_report_json(Q.validation_report(t.businesses, t.buildings), path)
+    S.sink_report_json(Q.validation_report(t.stored, t.buildings), path)
     fields = ("completeness", "coordinates", "naics", "outliers", "addresses", "geometries", "overall_score")
     back = t.spark.read.schema(", ".join(f"{f} double" for f in fields) + ", total_checks int").json(path)
     return r(back, 9, *fields)
@@ -387,7 +387,7 @@ def buildings_in_bbox(t: Tables) -> DataFrame:
 
 def _nearest(t: Tables) -> DataFrame:
     columns = ["unique_id", "longitude", "latitude", "dba_name"]
-    return J.nearest_join(t.businesses.select(*columns), t.centred, 100.0)
+    return J.nearest_join(t.stored.select(*columns), t.centred, 100.0)
 
 
 @query
@@ -397,7 +397,7 @@ def nearest_building_join(t: Tables) -> DataFrame:
 
 @query
 def topn_building_join(t: Tables) -> DataFrame:
-    out = J.nearest_join(t.businesses, t.centred, 200.0, k=3)
+    out = J.nearest_join(t.stored, t.centred, 200.0, k=3)
     metres = F.array_join(F.transform("distances_meters", lambda d: F.round(d * 1000).cast("bigint").cast("string")), ",")
     return out.select(
         "business_unique_id", "business_lon", "business_lat", "business_name",
@@ -408,7 +408,7 @@ def topn_building_join(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return profile.pair_table(t.businesses, t.centred)
+    return profile.pair_table(t.stored, t.centred)
 
 
 @query
@@ -418,7 +418,7 @@ def radius_join(t: Tables) -> DataFrame:
 
 @query
 def radius_join_meters(t: Tables) -> DataFrame:
-    pairs = J.radius_join(t.businesses.select("unique_id", "longitude", "latitude"), t.centred, 50.0, "meters")
+    pairs = J.radius_join(t.stored.select("unique_id", "longitude", "latitude"), t.centred, 50.0, "meters")
     return pairs.select(
         F.col("osm_id").alias("building_id"), F.col("unique_id").alias("business_id"),
         F.round("distance_meters", 4).alias("distance_meters"),
@@ -428,13 +428,13 @@ def radius_join_meters(t: Tables) -> DataFrame:
 @query
 def attach_attributes(t: Tables) -> DataFrame:
     pairs = _pairs(t).select("building_id", "business_id")
-    return J.attach_attributes(pairs, t.businesses, "dba_name", "neighborhood", "business_start_date")
+    return J.attach_attributes(pairs, t.stored, "dba_name", "neighborhood", "business_start_date")
 
 
 @query
 def point_in_polygon_join(t: Tables) -> DataFrame:
     pairs = P.point_in_polygon_join(
-        t.businesses.select("unique_id", "longitude", "latitude"), t.buildings.select("osm_id", "geom_wkt")
+        t.stored.select("unique_id", "longitude", "latitude"), t.buildings.select("osm_id", "geom_wkt")
     )
     return pairs.select("unique_id", "osm_id")
 
@@ -467,7 +467,7 @@ def upsert_update(t: Tables) -> DataFrame:
 @query
 def agg_by_building(t: Tables) -> DataFrame:
     columns = ["unique_id", "longitude", "latitude", "naics_code", "naics_description", "business_start_date", "business_end_date"]
-    near = J.radius_join(t.businesses.select(*columns), t.centred, 0.0005)
+    near = J.radius_join(t.stored.select(*columns), t.centred, 0.0005)
     pairs = near.withColumnsRenamed({
         "osm_id": "building_id", "unique_id": "business_id", "center_lon": "building_center_lon",
         "center_lat": "building_center_lat",
@@ -568,13 +568,13 @@ def density_distribution(t: Tables) -> DataFrame:
 
 @query
 def coverage_stats(t: Tables) -> DataFrame:
-    pairs = _pairs(t)
-    return A.coverage_stats(t.businesses, t.buildings, t.centred, pairs, A.agg_by_building_full(pairs))
+    pairs = written(_pairs(t), "pairs")
+    return A.coverage_stats(t.stored, t.buildings, t.centred, pairs, A.agg_by_building_full(pairs))
 
 
 @query
 def processing_stats(t: Tables) -> DataFrame:
-    return r(A.processing_stats(t.businesses, t.buildings, _nearest(t)), 6, "avg_distance", "match_rate")
+    return r(A.processing_stats(t.stored, t.buildings, _nearest(t)), 6, "avg_distance", "match_rate")
 
 
 @query
@@ -612,7 +612,7 @@ def detect_duplicates(t: Tables) -> DataFrame:
 
 @query
 def detect_outliers(t: Tables) -> DataFrame:
-    out = Q.detect_outliers(t.businesses)
+    out = Q.detect_outliers(t.stored)
     return r(out, 7, "lat_lower", "lat_upper", "lon_lower", "lon_upper", "lat_mean", "lon_mean")
 
 
@@ -628,7 +628,7 @@ def check_addresses(t: Tables) -> DataFrame:
 
 @query
 def validation_report(t: Tables) -> DataFrame:
-    out = Q.validation_report(t.businesses, t.buildings)
+    out = Q.validation_report(t.stored, t.buildings)
     return r(out, 9, *[c for c in out.columns if c != "total_checks"])
 
 
@@ -639,7 +639,7 @@ def score_accuracy(t: Tables) -> DataFrame:
 
 @query
 def score_consistency(t: Tables) -> DataFrame:
-    return r(Q.score_consistency(t.businesses), 9, "coordinate_consistency", "score")
+    return r(Q.score_consistency(t.stored), 9, "coordinate_consistency", "score")
 
 
 @query
@@ -653,7 +653,7 @@ def score_uniqueness(t: Tables) -> DataFrame:
 
 
 def _scores(t: Tables) -> DataFrame:
-    return Q.quality_score(t.businesses, SCORE_NOW)
+    return Q.quality_score(t.stored, SCORE_NOW)
 
 
 @query
@@ -663,7 +663,7 @@ def quality_score(t: Tables) -> DataFrame:
 
 @query
 def score_checks(t: Tables) -> DataFrame:
-    return r(Q.score_checks(t.businesses, SCORE_NOW), 9, "score")
+    return r(Q.score_checks(t.stored, SCORE_NOW), 9, "score")
 
 
 @query
@@ -834,7 +834,7 @@ def heatmap(t: Tables) -> DataFrame:
 
 @query
 def kmeans_districts(t: Tables) -> DataFrame:
-    out = N.kmeans_districts(t.businesses)
+    out = N.kmeans_districts(t.stored)
     return out.groupBy("district").agg(F.count(F.lit(1)).alias("business_count"))
 
 

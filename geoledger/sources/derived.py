@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ring_points, with_centroid
-from ..session import fresh_path
+from ..session import fresh_path, written
 from .registrations import RAW_COLUMNS
 from .tables import scan, spread
 
@@ -110,10 +110,16 @@ class Tables:
     def buildings(self) -> DataFrame:
         return self._run(BUILDINGS, part=self.raw("part"))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The businesses as a written table, for work that reads them more than once."""
+        return written(self.businesses, "businesses")
+
     @cached_property
     def centred(self) -> DataFrame:
+        """Footprint centres as a written table, so every polygon text is parsed once."""
         columns = ["osm_id", "building_type", "building_category", "geom_wkt"]
-        return with_centroid(self.buildings.select(*columns)).drop("geom_wkt")
+        return written(with_centroid(self.buildings.select(*columns)).drop("geom_wkt"), "centres")
 
     @cached_property
     def tags(self) -> DataFrame:

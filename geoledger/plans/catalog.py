@@ -234,7 +234,17 @@ def build_polygon_wkt(t: Tables) -> DataFrame:
 
 @query
 def simplify_footprints(t: Tables) -> DataFrame:
-    return P.simplify_footprints(t.buildings, tolerance=1e-5)
+    """Rings with a midpoint added to every edge: simplification takes them out again."""
+    pairs = F.transform(G.ring_points(F.col("geom_wkt")), lambda p: F.struct(p["x"].alias("lon"), p["y"].alias("lat")))
+    ring = t.buildings.select("osm_id", pairs.alias("ring"))
+
+    def with_midpoint(p: Column, i: Column) -> Column:
+        q = F.get("ring", i + 1)
+        middle = F.struct(((p["lon"] + q["lon"]) / 2).alias("lon"), ((p["lat"] + q["lat"]) / 2).alias("lat"))
+        return F.when(q.isNull(), F.array(p)).otherwise(F.array(p, middle))
+
+    dense = F.flatten(F.transform("ring", with_midpoint))
+    return P.simplify_footprints(ring.select("osm_id", G.polygon_wkt(dense).alias("geom_wkt")), tolerance=1e-5)
 
 
 @query
@@ -840,7 +850,7 @@ def kmeans_districts(t: Tables) -> DataFrame:
 
 @query
 def dbscan_districts_query(t: Tables) -> DataFrame:
-    return dbscan_districts(t.businesses.select("unique_id", "longitude", "latitude"), eps=0.0003, min_points=5)
+    return dbscan_districts(t.stored.select("unique_id", "longitude", "latitude"), eps=0.0003, min_points=5)
 
 
 @query

@@ -234,12 +234,10 @@ def coverage_stats(
     })
 
 
-def one_row(*parts: DataFrame) -> DataFrame:
-    """Put one-row frames side by side (an equality on a constant key)."""
-    first, *rest = (p.withColumn("_one", F.lit(1)) for p in parts)
-    for part in rest:
-        first = first.join(F.broadcast(part), "_one")
-    return first.drop("_one")
+def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Put one-row frames side by side, the others as scalar subqueries."""
+    packed = [p.select(F.struct(*p.columns).alias("s")).scalar().alias(f"_p{i}") for i, p in enumerate(others)]
+    return first.select("*", *packed).select(*first.columns, *[f"_p{i}.*" for i in range(len(others))])
 
 
 def processing_stats(businesses: DataFrame, buildings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -125,10 +125,13 @@ def _cell_links(core: DataFrame, limit: int) -> DataFrame:
 
 
 def _components(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
-    """Smallest node id per connected component: neighbour minimum, then label of the label.
+    """Smallest node name per connected component.
 
-    A cell has at most 24 links, so the first step has no heavy key; the second
-    follows labels, which may repeat without bound, through the block join.
+    Every round a node takes the smallest label around it, the node a group is
+    labelled by takes the smallest label any of its group was offered, and all
+    follow their label once; so groups merge in a logarithmic number of rounds.
+    A cell has at most 24 links and offers are combined on the map side; labels
+    may repeat without bound, so they are followed through the block join.
     Every round is a written table.
     """
     both = written(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
@@ -139,10 +142,14 @@ def _components(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFram
             .groupBy(F.col("src").alias("node")).agg(F.min("label").alias("offer"))
         )
         lowered = labels.join(offered, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "offer").alias("at")
+            "node", F.col("label").alias("old"), F.least("label", "offer").alias("low")
         )
-        follow = lowered.select("at", F.col("node").alias("from"), "old")
-        goal = lowered.select(F.col("node").alias("at"), F.col("at").alias("label"))
+        hooks = lowered.groupBy(F.col("old").alias("node")).agg(F.min("low").alias("hook"))
+        parents = written(
+            lowered.join(hooks, "node", "left").select("node", "old", F.least("low", "hook").alias("parent")), "parents"
+        )
+        follow = parents.select(F.col("parent").alias("at"), F.col("node").alias("from"), "old")
+        goal = parents.select(F.col("node").alias("at"), F.col("parent").alias("label"))
         moved = cell_join(follow, goal, ["at"], F.lit(True)).select(
             F.col("from").alias("node"), "label", (F.col("label") != F.col("old")).alias("moved")
         )

@@ -9,14 +9,16 @@ that holds too many rows on either side is cut into a grid of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import once
 from ..functions.measures import EARTH_RADIUS_M, fixed_point, haversine_m
 
-METRES_PER_ARC_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180
+METRES_PER_ARC_DEGREE = EARTH_RADIUS_M * math.pi / 180
 
 # Cell edge relative to the radius: the slack keeps a neighbour within one cell
 # even if a division rounds a coordinate over an edge.
@@ -124,14 +126,19 @@ def _near_pairs(
 ) -> DataFrame:
     (plon, plat), (tlon, tlat) = point_at, target_at
     r = float(radius)
+    dx, dy = F.col(plon) - F.col(tlon), F.col(plat) - F.col(tlat)
     if metric == "degrees":
-        dx, dy = F.col(plon) - F.col(tlon), F.col(plat) - F.col(tlat)
         square = dx * dx + dy * dy
         within, value = square <= F.lit(r * r), F.sqrt(square)
     elif metric == "meters":
+        points = points.withColumn("_pc", F.cos(F.radians(F.col(plat))))
+        targets = targets.withColumn("_tc", F.cos(F.radians(F.col(tlat))))
         value = haversine_m(F.col(plat), F.col(plon), F.col(tlat), F.col(tlon))
-        # cheap box first: a latitude step is never shorter than the radius
-        within = (F.abs(F.col(plat) - F.col(tlat)) <= _row_step(r, metric)) & (value <= F.lit(r))
+        # Without sines first: half angles instead of their sines are at most
+        # 1 % too large below 0.3 radians, so no pair in reach is lost.
+        hx, hy = F.radians(dx) / 2, F.radians(dy) / 2
+        bound = F.lit(1.01 * math.sin(min(r / (2 * EARTH_RADIUS_M), math.pi / 2)) ** 2)
+        within = (hy * hy + F.col("_pc") * F.col("_tc") * hx * hx <= bound) | (F.abs(hx) > 0.15) | (F.abs(hy) > 0.15)
     else:
         raise ValueError(f"unknown metric {metric!r}")
     pairs = cell_join(
@@ -141,7 +148,9 @@ def _near_pairs(
         within,
         hot_rows,
     )
-    return pairs.withColumn(distance, value)
+    if metric == "degrees":
+        return pairs.withColumn(distance, value)
+    return once(pairs.drop("_pc", "_tc"), **{distance: value}).where(F.col(distance) <= F.lit(r))
 
 
 def radius_join(
@@ -182,7 +191,7 @@ def nearest_join(
     ``key`` identifies a business; ties go to the smaller building id. With
     k = 1 there is one flat row per match, with k > 1 aligned arrays.
     """
-    left = businesses.select(
+    named = businesses.select(
         F.col(key).alias("business_unique_id"), F.col("longitude").alias("business_lon"),
         F.col("latitude").alias("business_lat"), F.col("dba_name").alias("business_name"),
     )
@@ -190,17 +199,21 @@ def nearest_join(
         F.col("osm_id").alias("building_osm_id"), "building_type",
         F.col("center_lon").alias("building_lon"), F.col("center_lat").alias("building_lat"),
     )
+    # names join back to the few rows that stay, so candidates are sorted narrow
     pairs = _near_pairs(
-        left, right, max_distance_m, "meters", ("business_lon", "business_lat"),
+        named.drop("business_name"), right, max_distance_m, "meters", ("business_lon", "business_lat"),
         ("building_lon", "building_lat"), "distance_meters", hot_rows,
-    )
+    ).drop("business_lon", "business_lat")
     # A row_number limit is applied per task before the shuffle as well.
     by_distance = Window.partitionBy("business_unique_id").orderBy("distance_meters", "building_osm_id")
     ranked = pairs.withColumn("_rank", F.row_number().over(by_distance)).where(F.col("_rank") <= k)
+    head = ["business_unique_id", "business_lon", "business_lat", "business_name"]
     if k == 1:
-        return ranked.drop("_rank")
+        return ranked.drop("_rank").join(named, "business_unique_id").select(
+            *head, "building_osm_id", "building_type", "building_lon", "building_lat", "distance_meters"
+        )
     match = F.struct("_rank", "building_osm_id", "building_type", "building_lon", "building_lat", "distance_meters")
-    grouped = ranked.groupBy("business_unique_id", "business_lon", "business_lat", "business_name").agg(
+    grouped = ranked.groupBy("business_unique_id").agg(
         F.sort_array(F.collect_list(match)).alias("_m")  # at most k matches
     )
     fields = {
@@ -208,9 +221,8 @@ def nearest_join(
         "building_lons": "building_lon", "building_lats": "building_lat",
         "distances_meters": "distance_meters",
     }
-    return grouped.select(
-        "business_unique_id", "business_lon", "business_lat", "business_name",
-        *[F.col(f"_m.{field}").alias(out) for out, field in fields.items()],
+    return grouped.join(named, "business_unique_id").select(
+        *head, *[F.col(f"_m.{field}").alias(out) for out, field in fields.items()],
         F.size("_m").alias("match_count"),
     )
 

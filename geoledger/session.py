@@ -49,6 +49,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/geoledger/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has cores.
+
+    A large table has far more splits than cores and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -61,4 +70,4 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spread(spark.read.schema(df.schema).parquet(path))

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ring_points, with_centroid
-from ..session import fresh_path, written
+from ..session import fresh_path, spread, written
 from .registrations import RAW_COLUMNS
-from .tables import scan, spread
+from .tables import scan
 
 BUSINESSES = """
 select o_orderkey as unique_id,

@@ -1,4 +1,4 @@
-"""Parquet tables, and reads that use the whole cluster."""
+"""Parquet tables."""
 
 from __future__ import annotations
 
@@ -11,12 +11,3 @@ def scan(spark: SparkSession, path: str, *columns: str, **renamed: str) -> DataF
     if not columns and not renamed:
         return df
     return df.select(*columns, *[df[old].alias(new) for new, old in renamed.items()])
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores.
-
-    A large table has far more splits than cores and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

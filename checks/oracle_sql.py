@@ -282,7 +282,7 @@ select osm_id, cast({_PROXY} as integer) as business_count, {_LEVEL} as business
 
 # Filters and lookups
 _IN_BOX = "longitude between -122.42 and -122.40 and latitude between 37.765 and 37.78"
-O["bbox_filter"] = sql(f"select unique_id, longitude, latitude from businesses where {_IN_BOX}", "businesses")
+O["bbox_filter"] = O["sink_located"] = sql(f"select unique_id, longitude, latitude from businesses where {_IN_BOX}", "businesses")
 O["businesses_in_bbox"] = sql(f"""
 select unique_id, dba_name, longitude, latitude, naics_code, naics_description, neighborhood, supervisor_district
 from businesses where {_IN_BOX} and naics_code = '7207' and neighborhood = 'BUILDING'""", "businesses")

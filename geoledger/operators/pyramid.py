@@ -22,28 +22,46 @@ def _located(businesses: DataFrame, box: Sequence[float] | None) -> DataFrame:
     return businesses.where(lon.isNotNull() & lat.isNotNull() & M.in_box(lon, lat, box))
 
 
-def _table(values: dict[int, float], zoom: Column) -> Column:
-    pairs = [F.lit(v) for item in values.items() for v in item]
-    return F.element_at(F.create_map(*pairs), zoom)
+def _weighted(businesses: DataFrame, box: Sequence[float] | None, levels: int) -> DataFrame:
+    """Located rows with a weight, folded by position and kind if several levels need them.
+
+    Registrations share address points: after folding, a row is repeated per
+    zoom level only once per address and kind. One level alone is served by
+    map-side combining as it is.
+    """
+    located = _located(businesses, box)
+    if levels == 1:
+        start = F.col("business_start_date")
+        return located.select(
+            "longitude", "latitude", "naics_code", "naics_description", F.lit(1).alias("weight"), "unique_id",
+            start.alias("first_start"), start.alias("last_start"),
+        )
+    return located.groupBy("longitude", "latitude", "naics_code", "naics_description").agg(
+        F.count(F.lit(1)).alias("weight"), F.min("unique_id").alias("unique_id"),
+        F.min("business_start_date").alias("first_start"), F.max("business_start_date").alias("last_start"),
+    )
+
+
+def _per_zoom(
+    businesses: DataFrame, box: Sequence[float] | None, sizes: dict[int, float], size: str
+) -> DataFrame:
+    levels = F.array(*[F.struct(F.lit(z).alias("zoom_level"), F.lit(s).alias(size)) for z, s in sizes.items()])
+    return _weighted(businesses, box, len(sizes)).select("*", F.inline(levels))
 
 
 def hex_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[float] | None = None) -> DataFrame:
     """Count, kinds, first type, hexagon centre and mean point per (zoom, q, r)."""
-    zooms = list(zooms)
-    sized = _located(businesses, box).select(
-        "unique_id", "longitude", "latitude", "naics_code", "naics_description",
-        F.explode(F.array(*[F.lit(z) for z in zooms])).alias("zoom_level"),
-    )
-    size = _table({z: M.hex_size(z) for z in zooms}, F.col("zoom_level"))
-    celled = sized.withColumn("hex_size", size).withColumns({
+    sized = _per_zoom(businesses, box, {z: M.hex_size(z) for z in zooms}, "hex_size")
+    celled = sized.withColumns({
         "hex_q": M.hex_q(F.col("longitude"), F.col("latitude"), F.col("hex_size")),
         "hex_r": M.hex_r(F.col("latitude"), F.col("hex_size")),
     })
+    weight = F.col("weight")
     out = facet_rollup(
         celled, ["zoom_level", "hex_size", "hex_q", "hex_r"], "business_count",
         distinct={"business_types": "naics_code"},
         firsts={"primary_naics": "naics_description"}, first_by="unique_id",
-        sums=centre_sums("longitude", "latitude"),
+        sums=centre_sums("longitude", "latitude", weight), weight=weight,
     )
     return with_mean_position(out, "business_count", "avg_lon", "avg_lat").withColumns({
         "center_lon": M.hex_center_lon(F.col("hex_q"), F.col("hex_size")),
@@ -61,13 +79,8 @@ def hex_aggregate(
 
 def cluster_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[float] | None = None) -> DataFrame:
     """Count, kinds, spread and period per (zoom, rounded cell)."""
-    zooms = list(zooms)
-    sized = _located(businesses, box).select(
-        "unique_id", "longitude", "latitude", "naics_code", "naics_description", "business_start_date",
-        F.explode(F.array(*[F.lit(z) for z in zooms])).alias("zoom_level"),
-    )
-    size = _table({z: M.cluster_size(z) for z in zooms}, F.col("zoom_level"))
-    celled = sized.withColumn("grid_size", size).withColumns({
+    sized = _per_zoom(businesses, box, {z: M.cluster_size(z) for z in zooms}, "grid_size")
+    celled = sized.withColumns({
         "grid_x": M.round_cell(F.col("longitude"), F.col("grid_size")),
         "grid_y": M.round_cell(F.col("latitude"), F.col("grid_size")),
     })
@@ -77,18 +90,20 @@ def cluster_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[flo
         axis: M.fixed_point(F.col(c)) - M.fixed_point(F.col(g) * F.col("grid_size"))
         for axis, c, g in (("lon", "longitude", "grid_x"), ("lat", "latitude", "grid_y"))
     }
+    weight = F.col("weight")
     out = facet_rollup(
         celled, ["zoom_level", "grid_size", "grid_x", "grid_y"], "business_count",
         distinct={"business_types": "naics_code"},
         modes={"dominant_naics": "naics_code"},
         firsts={"primary_naics": "naics_description"}, first_by="unique_id",
         sums={
-            **centre_sums("longitude", "latitude"),
-            **{f"_o_{axis}": o for axis, o in offset.items()},
-            **{f"_q_{axis}": o * o for axis, o in offset.items()},
+            **centre_sums("longitude", "latitude", weight),
+            **{f"_o_{axis}": o * weight for axis, o in offset.items()},
+            **{f"_q_{axis}": o * o * weight for axis, o in offset.items()},
         },
-        mins={"oldest_business": F.col("business_start_date")},
-        maxs={"newest_business": F.col("business_start_date")},
+        mins={"oldest_business": F.col("first_start")},
+        maxs={"newest_business": F.col("last_start")},
+        weight=weight,
     )
     n = F.col("business_count").cast("double")
 

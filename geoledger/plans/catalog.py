@@ -100,6 +100,13 @@ def sink_partitioned(t: Tables) -> DataFrame:
     return back.where(F.col("neighborhood").isin("BUILDING", "MACHINERY"))
 
 
+@query
+def sink_located(t: Tables) -> DataFrame:
+    path = fresh_path(t.spark, "located")
+    S.sink_located(t.businesses.select("unique_id", "longitude", "latitude"), path, files=8)
+    return L.bbox_filter(scan(t.spark, path), BOX)
+
+
 @query
 def sink_snapshot(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "snapshots")

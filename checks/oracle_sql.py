@@ -431,7 +431,7 @@ from (select count(*) as n from centred) c,
              round(avg(distance_degrees) * 111000, 1) as avg_association_distance_meters,
              round(max(distance_degrees) * 111000, 1) as max_association_distance_meters from pairs) p,
      (select count(*) as buildings_with_businesses, round(avg(business_count), 2) as avg_businesses_per_building,
-             max(business_count) as max_businesses_per_building, count_if(mixed_use) as mixed_use_buildings from ({_FULL}) q) f""", "pairs")
+             max(business_count) as max_businesses_per_building, count(*) filter (where mixed_use) as mixed_use_buildings from ({_FULL}) q) f""", "pairs")
 O["processing_stats"] = sql(f"""
 select b.*, c.*, m.*, round(total_matches / total_records, 6) as match_rate
 from (select count(*) as total_records, {kinds("naics_code")} as unique_naics_codes, {kinds("neighborhood")} as unique_neighborhoods,
@@ -460,18 +460,18 @@ _CITY = "latitude between 37.7049 and 37.8089 and longitude between -122.5110 an
 _NA = "concat_ws('|', case when street_address is not null then dba_name end, case when dba_name is not null then street_address end)"
 O["check_completeness"] = sql(f"select *, completeness_rate >= 0.8 as passes_threshold from ({completeness(_FIELDS)}) q", "businesses")
 O["check_coordinates"] = sql(f"""
-select count(*) as total_records, count_if({_CITY}) as coordinates_in_city, count_if({_CITY}) / count(*) as city_coverage_rate,
+select count(*) as total_records, count(*) filter (where {_CITY}) as coordinates_in_city, count(*) filter (where {_CITY}) / count(*) as city_coverage_rate,
        count(latitude) / count(*) as latitude_completeness, count(longitude) / count(*) as longitude_completeness,
-       count_if({_CITY}) / count(*) >= 0.95 as passes_geographic_validation from businesses""", "businesses")
+       count(*) filter (where {_CITY}) / count(*) >= 0.95 as passes_geographic_validation from businesses""", "businesses")
 O["check_naics"] = sql(f"""
 select count(*) as total_records, count(naics_code) / count(*) as naics_coverage_rate, {kinds("naics_code")} as unique_naics_count,
-       count_if(length(naics_code) between 2 and 6) / count(*) as valid_format_rate, count(naics_code) / count(*) >= 0.8 as passes_naics_validation
+       count(*) filter (where length(naics_code) between 2 and 6) / count(*) as valid_format_rate, count(naics_code) / count(*) >= 0.8 as passes_naics_validation
 from businesses""", "businesses")
 O["detect_duplicates"] = sql(f"""
 select *, round(1 - unique_accounts / total_records, 12) as account_duplicate_rate, round(1 - unique_name_address / total_records, 12) as name_address_duplicate_rate
 from (select count(*) as total_records, {kinds("business_account_number")} as unique_accounts, count(distinct {_NA}) as unique_name_address from businesses) q""", "businesses")
 _OUTLIERS = """
-select count(*) as total_records, count_if(latitude < lat_lower or latitude > lat_upper or longitude < lon_lower or longitude > lon_upper) as outlier_count,
+select count(*) as total_records, count(*) filter (where latitude < lat_lower or latitude > lat_upper or longitude < lon_lower or longitude > lon_upper) as outlier_count,
        any_value(lat_lower) as lat_lower, any_value(lat_upper) as lat_upper, any_value(lon_lower) as lon_lower, any_value(lon_upper) as lon_upper,
        avg(latitude) as lat_mean, avg(longitude) as lon_mean
 from businesses, (
@@ -483,37 +483,37 @@ select total_records, outlier_count, outlier_count / total_records as outlier_ra
        round(lon_lower, 7) as lon_lower, round(lon_upper, 7) as lon_upper, round(lat_mean, 7) as lat_mean, round(lon_mean, 7) as lon_mean,
        outlier_count / total_records <= 0.02 as passes_outlier_check from ({_OUTLIERS}) o""", "businesses")
 O["check_geometries"] = sql("""
-select count(*) as total_buildings, count(geom_wkt) / count(*) as geometry_completeness, count_if(geom_wkt like 'POLYGON%') / count(*) as valid_polygon_rate,
-       count_if(geom_wkt like 'POLYGON%') / count(*) >= 0.9 as passes_geometry_validation from buildings""", "buildings")
+select count(*) as total_buildings, count(geom_wkt) / count(*) as geometry_completeness, count(*) filter (where geom_wkt like 'POLYGON%') / count(*) as valid_polygon_rate,
+       count(*) filter (where geom_wkt like 'POLYGON%') / count(*) >= 0.9 as passes_geometry_validation from buildings""", "buildings")
 _WORDS = "(street|st|avenue|ave|boulevard|blvd|road|rd|drive|dr|lane|ln|way|ct|circle|pl|place)"
 O["check_addresses"] = sql(f"""
 select count(*) as total_records, count(street_address) / count(*) as address_completeness,
-       count_if(regexp_matches(street_address, '^[0-9]')) / count(*) as valid_format_rate,
-       count_if(regexp_matches(lower(street_address), '{_WORDS}')) / count(*) as street_type_coverage,
-       count_if(regexp_matches(street_address, '^[0-9]')) / count(*) >= 0.85 as passes_format_validation from businesses""", "businesses")
+       count(*) filter (where regexp_matches(street_address, '^[0-9]')) / count(*) as valid_format_rate,
+       count(*) filter (where regexp_matches(lower(street_address), '{_WORDS}')) / count(*) as street_type_coverage,
+       count(*) filter (where regexp_matches(street_address, '^[0-9]')) / count(*) >= 0.85 as passes_format_validation from businesses""", "businesses")
 _REPORT = f"""
 select completeness, coordinates, naics, outliers, addresses, geometries,
        (completeness + coordinates + naics + outliers + addresses + geometries) / 6 as overall_score
 from (select avg(completeness_rate) as completeness from ({completeness(_FIELDS)}) c) c,
-     (select count_if({_CITY}) / count(*) as coordinates, count(naics_code) / count(*) as naics, count(street_address) / count(*) as addresses from businesses) b,
+     (select count(*) filter (where {_CITY}) / count(*) as coordinates, count(naics_code) / count(*) as naics, count(street_address) / count(*) as addresses from businesses) b,
      (select case when outlier_count / total_records <= 0.02 then 1.0::double else 0.5::double end as outliers from ({_OUTLIERS}) o) o,
-     (select count_if(geom_wkt like 'POLYGON%') / count(*) as geometries from buildings) g"""
+     (select count(*) filter (where geom_wkt like 'POLYGON%') / count(*) as geometries from buildings) g"""
 _ROUNDED = ", ".join(f"round({c}, 9) as {c}" for c in "completeness coordinates naics outliers addresses geometries overall_score".split())
 O["validation_report"] = O["sink_report_json"] = sql(f"select {_ROUNDED}, 6 as total_checks from ({_REPORT}) r", "businesses", "buildings")
 _ACCURACY = f"""
-select count_if({_CITY}) / count(*) as geographic_accuracy, count_if(length(naics_code) between 2 and 6) / count(*) as naics_format_accuracy,
-       count_if(regexp_matches(street_address, '^[0-9]')) / count(*) as address_format_accuracy from businesses"""
+select count(*) filter (where {_CITY}) / count(*) as geographic_accuracy, count(*) filter (where length(naics_code) between 2 and 6) / count(*) as naics_format_accuracy,
+       count(*) filter (where regexp_matches(street_address, '^[0-9]')) / count(*) as address_format_accuracy from businesses"""
 _CONSISTENCY = """
 select name_consistency, date_consistency, greatest(0, 1 - (s.lat + s.lon) * 100) as coordinate_consistency
-from (select count_if(lower(dba_name) = lower(ownership_name)) / count(*) as name_consistency,
-             count_if(business_start_date <= business_end_date) / count_if(business_start_date is not null and business_end_date is not null) as date_consistency
+from (select count(*) filter (where lower(dba_name) = lower(ownership_name)) / count(*) as name_consistency,
+             count(*) filter (where business_start_date <= business_end_date) / count(*) filter (where business_start_date is not null and business_end_date is not null) as date_consistency
       from businesses) n,
      (select avg(lat) as lat, avg(lon) as lon from (select stddev_samp(latitude) as lat, stddev_samp(longitude) as lon from businesses
                                                     group by zipcode having count(*) >= 5) z) s"""
 _VALIDITY = """
-select count_if(business_start_date between timestamp '1850-01-01' and timestamp '1998-01-01') / count(business_start_date) as start_date_validity,
-       count_if(regexp_full_match(naics_code, '[0-9]{2,6}')) / count(naics_code) as naics_validity,
-       least(count_if(round(latitude, 6) = latitude), count_if(round(longitude, 6) = longitude)) / count(*) as coordinate_precision_validity from businesses"""
+select count(*) filter (where business_start_date between timestamp '1850-01-01' and timestamp '1998-01-01') / count(business_start_date) as start_date_validity,
+       count(*) filter (where regexp_full_match(naics_code, '[0-9]{2,6}')) / count(naics_code) as naics_validity,
+       least(count(*) filter (where round(latitude, 6) = latitude), count(*) filter (where round(longitude, 6) = longitude)) / count(*) as coordinate_precision_validity from businesses"""
 _UNIQUENESS = f"""
 select {kinds("business_account_number")} as a, count(distinct {_NA}) as n, count(distinct (latitude, longitude)) as p, count(*) as t
 from (select *, 1 as one from businesses) q"""
@@ -626,8 +626,8 @@ O["refresh_summary"] = sql("""
 select t.*, (select count(*) from refreshes r where r.event_type = t.event_type and status = 'error' and (last_success is null or r.ts > last_success)) as consecutive_failures,
        (success_count + skipped_count) / total_events as success_ratio,
        case when success_count + skipped_count = total_events then 'success' else 'partial_failure' end as overall_status
-from (select event_type, count(*) as total_events, count_if(status = 'success') as success_count, count_if(status = 'skipped') as skipped_count,
-             count_if(status = 'error') as error_count, max(case when status = 'success' then ts end) as last_success from refreshes group by 1) t""", "refreshes")
+from (select event_type, count(*) as total_events, count(*) filter (where status = 'success') as success_count, count(*) filter (where status = 'skipped') as skipped_count,
+             count(*) filter (where status = 'error') as error_count, max(case when status = 'success' then ts end) as last_success from refreshes group by 1) t""", "refreshes")
 O["monitor_alerts"] = sql(f"""
 select 'data_freshness' as alert_type, 'warning' as severity, dataset as subject, round(age_hours, 6) as value
 from ({_FRESH}) f where table_exists and age_hours > threshold_hours
@@ -689,8 +689,8 @@ union
 O["survival_rates"] = sql("""
 select cohort, years, at_risk, surviving, surviving / at_risk as survival_rate
 from (select cast(year(business_start_date) as integer) as cohort, k as years,
-             count_if(business_start_date + to_years(k) <= timestamp '1999-01-01') as at_risk,
-             count_if(business_start_date + to_years(k) <= timestamp '1999-01-01'
+             count(*) filter (where business_start_date + to_years(k) <= timestamp '1999-01-01') as at_risk,
+             count(*) filter (where business_start_date + to_years(k) <= timestamp '1999-01-01'
                       and (business_end_date is null or business_end_date >= business_start_date + to_years(k))) as surviving
       from businesses, (values (1), (2), (3), (5)) v(k) group by 1, 2) q where at_risk > 0""", "businesses")
 O["distributions"] = sql("""

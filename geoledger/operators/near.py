@@ -51,14 +51,14 @@ def _column_step(row: Column, step: float, metric: str) -> Column:
     return F.lit(step) / F.cos(F.radians(edge))
 
 
-def _point_cells(df: DataFrame, lon: str, lat: str, radius: float, metric: str) -> DataFrame:
+def _own_cell(df: DataFrame, lon: str, lat: str, radius: float, metric: str) -> DataFrame:
     step = _row_step(radius, metric)
     row = F.floor(F.col(lat) / F.lit(step)).cast("bigint")
     column = F.floor(F.col(lon) / _column_step(row, step, metric)).cast("bigint")
     return df.where(_present(lon, lat)).withColumns({"_cy": row, "_cx": column})
 
 
-def _target_cells(df: DataFrame, lon: str, lat: str, radius: float, metric: str) -> DataFrame:
+def _nine_cells(df: DataFrame, lon: str, lat: str, radius: float, metric: str) -> DataFrame:
     step = _row_step(radius, metric)
     base = F.floor(F.col(lat) / F.lit(step)).cast("bigint")
     cells = []
@@ -123,6 +123,7 @@ def _near_pairs(
     target_at: tuple[str, str],
     distance: str,
     hot_rows: int,
+    repeat: str = "targets",
 ) -> DataFrame:
     (plon, plat), (tlon, tlat) = point_at, target_at
     r = float(radius)
@@ -141,9 +142,10 @@ def _near_pairs(
         within = (hy * hy + F.col("_pc") * F.col("_tc") * hx * hx <= bound) | (F.abs(hx) > 0.15) | (F.abs(hy) > 0.15)
     else:
         raise ValueError(f"unknown metric {metric!r}")
+    place, around = (_own_cell, _nine_cells) if repeat == "targets" else (_nine_cells, _own_cell)
     pairs = cell_join(
-        _point_cells(points, plon, plat, r, metric),
-        _target_cells(targets, tlon, tlat, r, metric),
+        place(points, plon, plat, r, metric),
+        around(targets, tlon, tlat, r, metric),
         ["_cy", "_cx"],
         within,
         hot_rows,
@@ -162,10 +164,17 @@ def radius_join(
     building_at: tuple[str, str] = ("center_lon", "center_lat"),
     distance: str | None = None,
     hot_rows: int = HOT_ROWS,
+    repeat: str = "buildings",
 ) -> DataFrame:
-    """All (business, building) pairs within ``radius``, all columns of both sides."""
+    """All (business, building) pairs within ``radius``, all columns of both sides.
+
+    ``repeat`` names the side that is repeated over neighbouring cells: the one
+    with fewer rows, "buildings" or "businesses". Both sides are read twice, so
+    write out a side that is costly to compute.
+    """
     name = distance or ("distance_degrees" if metric == "degrees" else "distance_meters")
-    return _near_pairs(businesses, buildings, radius, metric, business_at, building_at, name, hot_rows)
+    side = {"buildings": "targets", "businesses": "points"}[repeat]
+    return _near_pairs(businesses, buildings, radius, metric, business_at, building_at, name, hot_rows, side)
 
 
 def associations(pairs: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def detect_outliers(df: DataFrame) -> DataFrame:
     )
     out = df.select("latitude", "longitude", box.scalar().alias("b")).agg(
         _rows().alias("total_records"), F.count_if(outside).alias("outlier_count"),
-        F.max("b").alias("b"), F.avg("latitude").alias("lat_mean"), F.avg("longitude").alias("lon_mean"),
+        F.any_value("b").alias("b"), F.avg("latitude").alias("lat_mean"), F.avg("longitude").alias("lon_mean"),
     )
     share = rate("outlier_count", "total_records")
     return out.select(

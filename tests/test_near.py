@@ -48,6 +48,8 @@ def test_radius_join_degrees(scene, hot_rows):
     out = J.radius_join(left, right, r, hot_rows=hot_rows)
     assert sorted((x.unique_id, x.osm_id) for x in out.collect()) == want
     assert out.agg(F.max("distance_degrees")).first()[0] <= r
+    other = J.radius_join(left, right, r, hot_rows=hot_rows, repeat="businesses")
+    assert sorted((x.unique_id, x.osm_id) for x in other.collect()) == want
 
 
 def test_radius_join_keeps_points_exactly_on_the_radius(spark):
@@ -77,6 +79,8 @@ def test_metre_cells_hold_at_every_latitude(spark, lat):
     want = sorted((p[0], q[0]) for p in a for q in b if metres(p[2], p[1], q[2], q[1]) <= 100)
     out = J.radius_join(left, right, 100.0, "meters")
     assert sorted((x.unique_id, x.osm_id) for x in out.collect()) == want
+    other = J.radius_join(left, right, 100.0, "meters", repeat="businesses")
+    assert sorted((x.unique_id, x.osm_id) for x in other.collect()) == want
     assert want
 
 

@@ -4,51 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 65_536
+SKETCH = 10_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Rows (column, probability, value) with linear interpolation between neighbours.
 
-    A histogram over the value range (at most BUCKETS rows per column) tells
-    which buckets hold the wanted ranks; only the distinct values of those
-    buckets are then counted and ranked. Values that repeat collapse into one
-    counted row. The table is read three times, all columns together.
+    A bounded sketch brackets every wanted rank within a few ten-thousandths of
+    the rows, wherever far outliers lie. A histogram over the bracket (BUCKETS
+    rows, and one for all that is below or above) tells which bucket holds the
+    rank, and only the distinct values of that bucket are counted and ranked.
+    The sketch only decides how much is left to rank: the result is exact even
+    if a rank should fall outside its bracket. The table is read three times,
+    all columns together.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.inline(entries)).where(F.col("x").isNotNull())
-    span = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total"))
-    span = span.withColumn("width", F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-300)))
-    ranges = F.broadcast(span)  # one row per column
-    placed = long.join(ranges, "column").withColumn(
-        "bucket", F.least(F.lit(BUCKETS - 1), F.floor((F.col("x") - F.col("lo")) / F.col("width"))).cast("int")
-    ).select("column", "bucket", "x", "total")
-    histogram = placed.groupBy("column", "bucket", "total").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = histogram.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    position = {p: (F.col("total") - 1) * F.lit(float(p)) for p in probabilities}
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("probability"), h.alias("h"), edge(h).alias("k"))
-        for p, h in position.items()
-        for edge in (F.floor, F.ceil)
+    margin = 5 / SKETCH
+    marks = [m for p in probabilities for m in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = long.groupBy("column").agg(
+        F.count("x").alias("total"), F.percentile_approx("x", marks, SKETCH).alias("marks")
+    )
+    brackets = F.array(*[
+        F.struct(F.lit(float(p)).alias("probability"), F.col("marks")[2 * i].alias("lo"), F.col("marks")[2 * i + 1].alias("hi"))
+        for i, p in enumerate(probabilities)
     ])
+    ranges = F.broadcast(sketch.select("column", "total", F.inline(brackets)))  # one row per column and probability
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    inner = F.when(hi > lo, F.least(F.lit(BUCKETS - 1), F.floor((x - lo) / (hi - lo) * BUCKETS))).otherwise(0)
+    bucket = F.when(x < lo, -1).when(x > hi, BUCKETS).otherwise(inner).cast("int")
+    placed = long.join(ranges, "column").select("column", "probability", bucket.alias("bucket"), "x", "total")
+    histogram = placed.groupBy("column", "probability", "bucket", "total").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column", "probability").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = histogram.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    h = (F.col("total") - 1) * F.col("probability")
     homes = (
-        starts.select("column", "bucket", "start", "n", F.inline(wanted))
+        starts.withColumn("h", h)
+        .select("*", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("k"))
         .where((F.col("k") >= F.col("start")) & (F.col("k") < F.col("start") + F.col("n")))
-        .groupBy("column", "bucket", "start")
-        .agg(F.collect_set(F.struct("probability", "h", "k")).alias("ranks"))
-    )  # two ranks per column and probability
-    values = placed.join(F.broadcast(homes), ["column", "bucket"]).groupBy("column", "bucket", "start", "ranks", "x").agg(
+        .groupBy("column", "probability", "bucket", "start", "h")
+        .agg(F.min("k").alias("k1"), F.max("k").alias("k2"))
+    )  # at most two buckets per column and probability
+    keys = ["column", "probability", "bucket"]
+    values = placed.join(F.broadcast(homes), keys).groupBy(*keys, "start", "h", "k1", "k2", "x").agg(
         F.count(F.lit(1)).alias("n")
     )
-    inside = Window.partitionBy("column", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("first", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    hits = ranked.select("column", "x", "first", "n", F.inline("ranks")).where(
-        (F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("n"))
-    )
+    inside = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranked = values.withColumn("first", first)
+
+    def holds(k: str) -> Column:
+        return (F.col(k) >= F.col("first")) & (F.col(k) < F.col("first") + F.col("n"))
+
+    hits = ranked.where(holds("k1") | holds("k2"))
     return hits.groupBy("column", "probability", "h").agg(F.min("x").alias("low"), F.max("x").alias("high")).select(
         "column", "probability",
         (F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))).alias("value"),

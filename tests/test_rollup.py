@@ -50,7 +50,7 @@ def test_facet_rollup_weighted(spark):
 
 @pytest.mark.parametrize("values", [
     [1.0], [1.0, 2.0], [5.0] * 50, list(range(101)), [random.Random(1).gauss(0, 1) for _ in range(997)],
-    [0.0] + [100 + random.Random(2).random() * 1e-6 for _ in range(200)]])
+    [0.0] + [100 + i * 1e-6 for i in range(200)], [-1e12, 1e300, *[37.7 + i % 700 * 1e-4 for i in range(3000)]]])
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([(float(v), -float(v)) for v in values] + [(None, None)], "x double, y double")
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]

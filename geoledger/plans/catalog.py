@@ -256,7 +256,7 @@ def simplify_footprints(t: Tables) -> DataFrame:
 
 @query
 def wkt_centroid(t: Tables) -> DataFrame:
-    return t.centred.select("osm_id", "center_lon", "center_lat")
+    return G.with_centroid(t.buildings.select("osm_id", "geom_wkt")).drop("geom_wkt")
 
 
 @query
@@ -425,7 +425,8 @@ def topn_building_join(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return profile.pair_table(t.stored, t.centred)
+    columns = ["unique_id", "longitude", "latitude", "naics_code", "naics_description"]
+    return profile.pair_table(written(t.businesses.select(*columns), "places"), t.centred)
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, url_rules, va_file, warc_zstd
+from . import chat_format, chunk_bpe, url_rules, va_file, warc_zstd
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,16 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 
 
 ORACLES["op10_url_rules"] = _url_oracle()
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file lies on this machine and, by the same installation, on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = chunk_bpe.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+    return chunk_bpe.digests(encoded.drop("text"))

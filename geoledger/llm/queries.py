@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, url_rules, va_file, warc_zstd
+from . import chat_format, chunk_bpe, simhash_bk, url_rules, va_file, warc_zstd
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = chunk_bpe.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
     return chunk_bpe.digests(encoded.drop("text"))
+
+
+@query
+def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_components(table(spark, sf_dir, "documents", "doc_id", "text"), 4, 4)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, simhash_bk, url_rules, va_file, warc_zstd
+from . import chat_format, chunk_bpe, simhash_bk, spaced_seeds, url_rules, va_file, warc_zstd
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_components(table(spark, sf_dir, "documents", "doc_id", "text"), 4, 4)
+
+
+@query
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return spaced_seeds.contaminated(docs, items)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, simhash_bk, spaced_seeds, url_rules, va_file, warc_zstd
+from . import chat_format, chunk_bpe, column_bwt, simhash_bk, spaced_seeds, url_rules, va_file, warc_zstd
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return spaced_seeds.contaminated(docs, items)
+
+
+@query
+def op7_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = column_bwt.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400)
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import SpanHasher, text_slices, with_columns
 
 WINDOW = 24
@@ -214,10 +215,11 @@ class Encoder:
 
 
 def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63, most: int = 16_384, longest: int = 4096) -> dict[bytes, list[int]]:
-    """Ids of the ``most`` chunks of at most ``longest`` bytes whose reuse saves most, over all documents.
+    """Ids of up to ``most`` chunks of at most ``longest`` bytes whose reuse saves most, over all documents.
 
-    Chunk hashes and counts are combined on the map side; the best are found by
-    an ordered limit; each of those texts is then picked once and encoded once.
+    Chunk hashes and counts are combined on the map side; counts of savings, in
+    steps of a twelfth, tell how many steps from the top fit; each of those
+    texts is then picked once and encoded once.
     The result is bounded by ``most`` x ``longest`` bytes of text, whatever the
     corpus; it decides speed only, as any other chunk is encoded where it stands.
     """
@@ -231,8 +233,17 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((ends - at)[first]), pa.array(n)], names=["key", "bytes", "n"])
 
     counts = docs.select(text).mapInArrow(hashed, "key long, bytes long, n long").where(F.col("bytes") <= longest)
-    best = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes")).where("n >= 2")
-    keys = best.orderBy(F.desc(F.expr("(n - 1) * bytes")), "key").limit(most).select("key").toPandas()["key"].to_numpy(np.int64)  # at most ``most`` rows
+    repeated = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes")).where("n >= 2")
+    savings = written(repeated.select("key", F.floor(8 * F.log2(F.expr("(n - 1) * bytes + 1"))).alias("saves")), "chunk-savings")
+    floor, total = None, 0
+    for r in savings.groupBy("saves").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("saves")).collect():  # some hundred steps
+        total += r["n"]
+        if total > most:
+            break
+        floor = r["saves"]
+    if floor is None:
+        return {}
+    keys = savings.where(F.col("saves") >= floor).select("key").toPandas()["key"].to_numpy(np.int64)  # at most ``most`` rows
     if not len(keys):
         return {}
     wanted = np.sort(keys.view(np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, column_bwt, simhash_bk, spaced_seeds, url_rules, va_file, warc_zstd
+from . import chat_format, chunk_bpe, column_bwt, importance, simhash_bk, spaced_seeds, surrogates, url_rules, va_file, warc_zstd
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,17 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = column_bwt.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400)
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return importance.resample(docs, labels).drop("row_key")
+
+
+SURROGATE_KEY = b"replace this key in production"
+
+
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(table(spark, sf_dir, "documents", "doc_id", "text"), SURROGATE_KEY)

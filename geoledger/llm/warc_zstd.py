@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
@@ -34,8 +34,9 @@ def train_dictionary(pages: DataFrame, html: str, sample: int = 512, size: int =
     The sample is the rows of smallest hash. Too small or too plain a table gives raw bytes of the sample.
     """
     part = F.substring(F.encode(F.coalesce(html, F.lit("")), "UTF-8"), 1, bytes_each)
-    rows = pages.select(part.alias("p")).where("length(p) > 64").orderBy(F.xxhash64("p")).limit(sample).collect()
-    samples = [bytes(r["p"]) for r in rows]
+    heads = pages.select(part.alias("p")).where("length(p) > 64").withColumn("h", F.xxhash64("p"))
+    wanted = [r["h"] for r in heads.select("h").orderBy("h").limit(sample).collect()]  # hashes only: every task offers its own
+    samples = sorted({bytes(r["p"]) for r in heads.where(F.col("h").isin(wanted)).dropDuplicates(["h"]).collect()}) if wanted else []
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

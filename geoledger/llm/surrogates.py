@@ -10,6 +10,7 @@ the real ones, and those that collide are drawn again until none does.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("latin", "s"): "son", ("cy
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NAME = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 PATTERNS = (
-    ("email", re.compile(r"[\w.+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
+    ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")),
     ("secret", re.compile(r"(?i:(?:token|secret|api[_-]?key|password|passwd)[\"']?\s*[:=]\s*[\"']?)([0-9A-Za-z_+/-]{12,})")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
@@ -95,9 +96,7 @@ def _number(key: bytes, *parts: object) -> int:
 
 def _shuffled(n: int, size: int, key: bytes, *tweak: object) -> int:
     """Keyed permutation of range(size): a Feistel network over two halves, walked until it falls inside."""
-    half = 1
-    while half * half < size:
-        half += 1
+    half = math.isqrt(max(size - 1, 0)) + 1
     while True:
         a, b = divmod(n, half)
         for r in range(6):

@@ -105,15 +105,15 @@ def runs(kinds: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
-def filter_words(hashes: DataFrame, column: str, expected: int) -> tuple[np.ndarray, int]:
+def filter_words(hashes: DataFrame, column: str, expected: int, bits_each: int = 16) -> tuple[np.ndarray, int]:
     """Bit filter over a column of 64-bit hashes, of at most MAX_FILTER_BITS bits.
 
-    About 16 bits per expected hash, two bits set for each. The size never
+    ``bits_each`` bits per expected hash, two of them set for each. The size never
     passes 16 MB, however many hashes there are; a full filter lets more false
     candidates through and never drops a true one.
     """
     bits = 1 << 16
-    while bits < min(MAX_FILTER_BITS, 16 * max(1, expected)):
+    while bits < min(MAX_FILTER_BITS, bits_each * max(1, expected)):
         bits *= 2
     h = F.col(column)
     spots = F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))

@@ -155,13 +155,13 @@ def overlaps(docs: DataFrame, items: DataFrame, min_tokens: int = 13, identity:
     be named several times if doc_id repeats. Tokens shorter than a mask
     together have no seed, so items below seven tokens are found by nothing.
 
-    The filter handed to all tasks is at most 16 MB. Its false positives end in
-    the join, which is on the hash and is split where one passage is in very
+    The filter handed to all tasks is at most 16 MB, and thin enough that few
+    placements pass by chance. Its false positives end in the join, which is on the hash and is split where one passage is in very
     many documents.
     """
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     seeds = written(benchmark_seeds(bench).distinct(), "benchmark-seeds")
-    words, bits = filter_words(seeds.select("seed").distinct(), "seed", seeds.count())
+    words, bits = filter_words(seeds.select("seed").distinct(), "seed", seeds.count(), 2048)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = written(suspects(source, words, bits), "suspects")
     placed = found.select("row_key", "doc_id", "stretch", F.inline("seeds"))

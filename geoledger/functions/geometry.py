@@ -1,8 +1,8 @@
 """Polygon text as Spark SQL expressions: no UDF, no geometry library.
 
-Only single-ring polygons are part of the data path; holes, multipolygons,
-bad text and zero-area rings give null. The parsed value is handed on through
-a generator (``inline``), which the optimizer does not merge with the
+Polygons with holes and multipolygons are read as lists of rings; bad text and
+shapes of zero area give null. The parsed value is handed on through a
+generator (``inline``), which the optimizer does not merge with the
 projections above it, so each text is parsed once per row however many
 columns and filters use the result.
 """
@@ -12,12 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_RING_TEXT = r"^\s*POLYGON\s*\(\(([^()]*)\)\)\s*$"
-
-_MOMENTS = (
-    "struct<x0:double,y0:double,px:double,py:double,"
-    "area2:double,mx:double,my:double>"
-)
+_NUMBERS = r"[0-9eE.,+\-\s]+"
+_POLYGON_TEXT = rf"^\s*(?:POLYGON\s*\((?:\s*\({_NUMBERS}\)\s*,?)+\)|MULTIPOLYGON\s*\((?:\s*\((?:\s*\({_NUMBERS}\)\s*,?)+\)\s*,?)+\))\s*$"
+_RING_TEXT = r"(\(?)\s*\(([^()]+)\)"  # an outer ring comes right after another bracket, a hole after a comma
 
 
 def once(df: DataFrame, **values: Column) -> DataFrame:
@@ -26,9 +23,8 @@ def once(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(packed)).alias(*values))
 
 
-def ring_points(wkt: Column) -> Column:
-    """Vertices of a one-ring polygon text as ``array<struct<x,y>>``."""
-    body = F.nullif(F.regexp_extract(wkt, _RING_TEXT, 1), F.lit(""))
+def polygon_rings(wkt: Column) -> Column:
+    """Rings of a polygon or multipolygon text as ``array<struct<hole,points:array<struct<x,y>>>>``; null for other text."""
 
     def vertex(part: Column) -> Column:
         part = F.trim(part)
@@ -37,43 +33,50 @@ def ring_points(wkt: Column) -> Column:
             F.substring_index(part, " ", -1).try_cast("double").alias("y"),
         )
 
-    return F.transform(F.split(body, ","), vertex)
+    opened, bodies = (F.regexp_extract_all(wkt, F.lit(_RING_TEXT), F.lit(i)) for i in (1, 2))
+    rings = F.zip_with(opened, bodies, lambda o, body: F.struct((o == "").alias("hole"), F.transform(F.split(body, ","), vertex).alias("points")))
+    return F.when(wkt.rlike(_POLYGON_TEXT), rings)
 
 
-def ring_centroid(points: Column, digits: int = 7) -> Column:
-    """Area centroid ``struct<lon,lat>``; null for an empty or zero-area ring.
+def ring_points(wkt: Column) -> Column:
+    """Vertices of the first ring."""
+    return F.get(polygon_rings(wkt), F.lit(0))["points"]
+
 
-    Moments are taken relative to the first vertex, which keeps the small
+def rings_centroid(rings: Column, digits: int = 7) -> Column:
+    """Area centroid ``struct<lon,lat>``; null for an empty or zero-area shape.
+
+    Outer rings count with their area and holes against it, whichever way they
+    run. Moments are taken relative to the first vertex, which keeps the small
     differences exact enough for city-sized polygons.
     """
+    origin = F.get(F.get(rings, F.lit(0))["points"], F.lit(0))
+    x0, y0, zero = origin["x"], origin["y"], F.lit(0.0)
+    start = F.struct(F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"), zero.alias("area2"), zero.alias("mx"), zero.alias("my"))
 
     def step(acc: Column, v: Column) -> Column:
-        dx, dy = v["x"] - acc["x0"], v["y"] - acc["y0"]
-        cross = acc["px"] * dy - dx * acc["py"]
-        zero = F.lit(0.0)
-        first = F.struct(
-            v["x"].alias("x0"), v["y"].alias("y0"), zero.alias("px"), zero.alias("py"),
-            zero.alias("area2"), zero.alias("mx"), zero.alias("my"),
-        )
-        more = F.struct(
-            acc["x0"].alias("x0"), acc["y0"].alias("y0"), dx.alias("px"), dy.alias("py"),
-            (acc["area2"] + cross).alias("area2"),
-            (acc["mx"] + (acc["px"] + dx) * cross).alias("mx"),
-            (acc["my"] + (acc["py"] + dy) * cross).alias("my"),
+        dx, dy = v["x"] - x0, v["y"] - y0
+        cross = F.when(acc["px"].isNull(), zero).otherwise(acc["px"] * dy - dx * acc["py"])
+        return F.struct(
+            dx.alias("px"), dy.alias("py"), (acc["area2"] + cross).alias("area2"),
+            (acc["mx"] + (F.coalesce(acc["px"], zero) + dx) * cross).alias("mx"), (acc["my"] + (F.coalesce(acc["py"], zero) + dy) * cross).alias("my"),
         )
-        return F.when(acc.isNull(), first).otherwise(more)
+
+    def moments(ring: Column) -> Column:
+        return F.struct(ring["hole"].alias("hole"), F.aggregate(ring["points"], start, step).alias("m"))
+
+    def add(acc: Column, ring: Column) -> Column:
+        m, sign = ring["m"], F.signum(ring["m"]["area2"]) * F.when(ring["hole"], -1.0).otherwise(1.0)
+        return F.struct(*[(acc[k] + sign * m[k]).alias(k) for k in ("area2", "mx", "my")])
 
     def finish(acc: Column) -> Column:
         scale = F.lit(3.0) * acc["area2"]
         return F.when(
             acc["area2"] != 0.0,
-            F.struct(
-                F.round(acc["x0"] + acc["mx"] / scale, digits).alias("lon"),
-                F.round(acc["y0"] + acc["my"] / scale, digits).alias("lat"),
-            ),
+            F.struct(F.round(x0 + acc["mx"] / scale, digits).alias("lon"), F.round(y0 + acc["my"] / scale, digits).alias("lat")),
         )
 
-    return F.aggregate(points, F.lit(None).cast(_MOMENTS), step, finish)
+    return F.aggregate(F.transform(rings, moments), F.struct(zero.alias("area2"), zero.alias("mx"), zero.alias("my")), add, finish)
 
 
 def with_centroid(
@@ -85,30 +88,34 @@ def with_centroid(
     keep_all: bool = False,
 ) -> DataFrame:
     """Append the centroid; rows without one are dropped unless ``keep_all``."""
-    centre = once(df, _centre=ring_centroid(ring_points(F.col(wkt)), digits))
+    parsed = once(df, _rings=polygon_rings(F.col(wkt)))
+    centre = once(parsed, _centre=rings_centroid(F.col("_rings"), digits))
     out = centre.select(*df.columns, F.col("_centre.lon").alias(lon), F.col("_centre.lat").alias(lat))
     return out if keep_all else out.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
 
 
+def all_points(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, lambda r: r["points"]))
+
+
 def with_vertex_mean(
     df: DataFrame, wkt: str = "geom_wkt", lon: str = "mean_lon", lat: str = "mean_lat", digits: int = 7
 ) -> DataFrame:
-    """Append the plain mean of all vertices, the closing one included."""
-    points = ring_points(F.col(wkt))
+    """Append the plain mean of all vertices of all rings, the closing ones included."""
 
     def mean(axis: str) -> Column:
-        total = F.aggregate(F.col("_ring"), F.lit(0.0), lambda acc, v: acc + v[axis])
-        return F.round(total / F.size("_ring"), digits)
+        total = F.aggregate(F.col("_points"), F.lit(0.0), lambda acc, v: acc + v[axis])
+        return F.round(total / F.size("_points"), digits)
 
-    ringed = once(df, _ring=points).where(F.col("_ring").isNotNull())
-    return ringed.select(*df.columns, mean("x").alias(lon), mean("y").alias(lat))
+    pointed = once(df, _points=all_points(polygon_rings(F.col(wkt)))).where(F.col("_points").isNotNull())
+    return pointed.select(*df.columns, mean("x").alias(lon), mean("y").alias(lat))
 
 
 def with_first_vertex(
     df: DataFrame, wkt: str = "geom_wkt", lon: str = "first_lon", lat: str = "first_lat"
 ) -> DataFrame:
     """Append the first vertex as a quick position; text without one is dropped."""
-    head = r"^\s*POLYGON\s*\(\(\s*([^\s,()]+)\s+([^\s,()]+)"
+    head = r"^\s*(?:MULTI)?POLYGON\s*\(+\s*([^\s,()]+)\s+([^\s,()]+)"
     out = df.select(
         "*",
         F.nullif(F.regexp_extract(wkt, head, 1), F.lit("")).try_cast("double").alias(lon),
@@ -138,15 +145,19 @@ def bounding_box(points: Column) -> dict[str, Column]:
     }
 
 
-def ring_contains(points: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a point against a closed ring (half-open edges)."""
+def rings_contain(rings: Column, x: Column, y: Column) -> Column:
+    """Even-odd test of a point against closed rings (half-open edges); a hole's edges count like any other."""
+
+    def crossings(ring: Column) -> Column:
+        points = ring["points"]
+
+        def crossing(i: Column) -> Column:
+            a, b = points[i - 1], points[i]
+            spans = (a["y"] > y) != (b["y"] > y)
+            at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
+            return F.when(spans, F.when(x < at, 1).otherwise(0)).otherwise(0)
 
-    def crossing(i: Column) -> Column:
-        a, b = points[i - 1], points[i]
-        spans = (a["y"] > y) != (b["y"] > y)
-        at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
-        return F.when(spans, F.when(x < at, 1).otherwise(0)).otherwise(0)
+        edges = F.sequence(F.lit(1), F.size(points) - 1)
+        return F.aggregate(F.transform(edges, crossing), F.lit(0), lambda acc, c: acc + c)
 
-    edges = F.sequence(F.lit(1), F.size(points) - 1)
-    crossings = F.aggregate(F.transform(edges, crossing), F.lit(0), lambda acc, c: acc + c)
-    return crossings % 2 == 1
+    return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda acc, c: acc + c) % 2 == 1

@@ -24,15 +24,15 @@ def _by_building(pairs: DataFrame) -> DataFrame:
 
 
 def agg_by_building(
-    pairs: DataFrame, bands: Sequence = M.BUILDING_BANDS, per_business: int = 10, per_kind: int = 5
+    pairs: DataFrame, bands: Sequence = M.BUILDING_BANDS, per_business: int = 10, per_kind: int = 5, weight: str | None = None
 ) -> DataFrame:
-    """Counts, kinds, first type and active period per building."""
+    """Counts, kinds, first type and active period per building; ``weight`` as in :func:`agg_by_building_full`."""
     out = facet_rollup(
         _by_building(pairs), list(_BUILDING_KEYS.values()), "business_count",
         distinct={"unique_business_types": "naics_code", "business_diversity": "naics_description"},
         firsts={"primary_business_type": "naics_description"}, first_by="business_id",
         mins={"earliest_business": F.col("business_start_date")},
-        maxs={"latest_business": F.col("business_end_date")},
+        maxs={"latest_business": F.col("business_end_date")}, weight=F.col(weight) if weight else None,
     )
     n, kinds = F.col("business_count"), F.col("business_diversity")
     return out.withColumns({
@@ -69,12 +69,12 @@ def agg_by_building_full(pairs: DataFrame, weight: str | None = None) -> DataFra
     )
 
 
-def agg_by_building_slim(pairs: DataFrame) -> DataFrame:
+def agg_by_building_slim(pairs: DataFrame, weight: str | None = None) -> DataFrame:
     """Per building: count, kinds, most frequent type, four bands and a count score."""
     out = facet_rollup(
         _by_building(pairs), list(_BUILDING_KEYS.values()), "business_count",
         distinct={"unique_business_types": "naics_code"},
-        modes={"primary_business_type": "naics_description"},
+        modes={"primary_business_type": "naics_description"}, weight=F.col(weight) if weight else None,
     )
     n = F.col("business_count")
     return out.withColumns({
@@ -102,7 +102,8 @@ def with_mean_position(df: DataFrame, count: str, lon: str = "center_lon", lat:
 
 
 def agg_by_grid(
-    pairs: DataFrame, size: float = 0.002, bands: Sequence = M.FULL_GRID_BANDS, ratio: str = "density_ratio"
+    pairs: DataFrame, size: float = 0.002, bands: Sequence = M.FULL_GRID_BANDS, ratio: str = "density_ratio",
+    weight: str | None = None,
 ) -> DataFrame:
     """Per floor cell: pairs, buildings, codes, mean centre, dominant category, band."""
     lon, lat = "building_center_lon", "building_center_lat"
@@ -113,7 +114,7 @@ def agg_by_grid(
         celled, ["grid_x", "grid_y"], "total_businesses",
         distinct={"building_count": "building_id", "business_type_diversity": "naics_code"},
         modes={"dominant_building_type": "building_category"},
-        sums=centre_sums(lon, lat),
+        sums=centre_sums(lon, lat, F.col(weight) if weight else None), weight=F.col(weight) if weight else None,
     )
     n = F.col("total_businesses")
     return with_mean_position(out, "total_businesses").withColumns({
@@ -271,7 +272,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(entries))
 
 
-def description_sample(df: DataFrame, column: str = "naics_description", n: int = 10) -> DataFrame:
+def description_sample(df: DataFrame, n: int, column: str = "naics_description") -> DataFrame:
     """The first ``n`` distinct values of a column."""
     return top_rows(df.where(F.col(column).isNotNull()).select(column).distinct(), n, F.col(column))
 

@@ -19,16 +19,12 @@ def openings_closings_trend(
     businesses: DataFrame, grain: str = "month", by: Sequence[str] = ("neighborhood",)
 ) -> DataFrame:
     """Openings, closings, net and running total per period (month, quarter, year) and group."""
-    n = F.count(F.lit(1))
-    opened = businesses.where(F.col("business_start_date").isNotNull()).groupBy(
-        *by, F.date_trunc(grain, "business_start_date").alias("period")
-    ).agg(n.alias("openings"))
-    closed = businesses.where(F.col("business_end_date").isNotNull()).groupBy(
-        *by, F.date_trunc(grain, "business_end_date").alias("period")
-    ).agg(n.alias("closings"))
-    both = opened.unionByName(closed, allowMissingColumns=True).groupBy(*by, "period").agg(
-        F.coalesce(F.sum("openings"), F.lit(0)).alias("openings"),
-        F.coalesce(F.sum("closings"), F.lit(0)).alias("closings"),
+    dates = F.array(*[
+        F.struct(F.date_trunc(grain, c).alias("period"), F.lit(opens).alias("_opens"))
+        for c, opens in (("business_start_date", True), ("business_end_date", False))
+    ])
+    both = businesses.select(*by, F.inline(dates)).where(F.col("period").isNotNull()).groupBy(*by, "period").agg(
+        F.count_if("_opens").alias("openings"), F.count_if(~F.col("_opens")).alias("closings")
     )
     running = Window.partitionBy(*by).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("net", F.col("openings") - F.col("closings")).withColumn(
@@ -99,13 +95,13 @@ def co_location(
     )
     between = pairs.select(
         F.least("kind_1", "kind_2").alias("kind_1"), F.greatest("kind_1", "kind_2").alias("kind_2"),
-        (F.col("w1") * F.col("w2")).alias("pairs"),
+        (F.col("w1").cast("decimal(19,0)") * F.col("w2").cast("decimal(19,0)")).alias("pairs"),
     )
     same = left.where(F.col("w1") > 1).select(
-        "kind_1", F.col("kind_1").alias("kind_2"), (F.col("w1") * (F.col("w1") - 1) / 2).cast("bigint").alias("pairs")
-    )
+        "kind_1", F.col("kind_1").alias("kind_2"), F.expr("cast(w1 as decimal(19,0)) * cast(w1 - 1 as decimal(19,0))").alias("twice")
+    ).select("kind_1", "kind_2", F.expr("cast(twice * 0.5 as decimal(38,0))").alias("pairs"))
     counted = between.unionByName(same).groupBy("kind_1", "kind_2").agg(F.sum("pairs").alias("pair_count"))
-    total = counted.agg(F.sum("pair_count").alias("t")).scalar()
+    total = counted.agg(F.sum(F.col("pair_count").cast("double")).alias("t")).scalar()
     sizes = left.groupBy(F.col("kind_1").alias("kind")).agg(F.sum("w1").alias("n"))
     rows = sizes.agg(F.sum("n").alias("t")).scalar()
     p1 = sizes.select(F.col("kind").alias("kind_1"), F.col("n").alias("n1"))
@@ -113,7 +109,7 @@ def co_location(
     chance = (F.col("n1") / rows) * (F.col("n2") / rows) * F.when(F.col("kind_1") == F.col("kind_2"), 1.0).otherwise(2.0)
     return (
         counted.join(p1, "kind_1").join(p2, "kind_2")
-        .withColumn("lift", F.col("pair_count") / (chance * total))
+        .withColumn("lift", F.col("pair_count").cast("double") / (chance * total))
         .select("kind_1", "kind_2", "pair_count", "lift")
     )
 

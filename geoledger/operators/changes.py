@@ -52,15 +52,14 @@ def detect_changes(
     )
 
 
-def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Columns added to or removed from a table version, as (column_name, change)."""
-    def names(df: DataFrame) -> DataFrame:
-        return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column_name"))
-
-    before, after = names(old), names(new)
-    return after.exceptAll(before).withColumn("change", F.lit("added")).unionByName(
-        before.exceptAll(after).withColumn("change", F.lit("removed"))
-    )
+def schema_diff(versions: DataFrame, dataset: str = "dataset_id", version: str = "version") -> DataFrame:
+    """Columns each stored version added or removed against the one before it: (dataset, version, column_name, change)."""
+    changes = detect_changes(versions, dataset, version)
+
+    def named(kind: str) -> DataFrame:
+        return changes.select(dataset, version, F.explode(kind).alias("column_name"), F.lit(kind).alias("change"))
+
+    return named("added").unionByName(named("removed"))
 
 
 def freshness_check(
@@ -118,6 +117,15 @@ def refresh_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def run_status(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per pipeline run: good steps of all steps, failed steps, and whether the run as a whole succeeded."""
+    good = F.count_if(F.col("status").isin("success", "skipped"))
+    return events.groupBy(run).agg(
+        F.count(F.lit(1)).alias("steps"), good.alias("good_steps"), F.count_if(F.col("status") == "error").alias("failed_steps"),
+        F.min("ts").alias("started"), F.max("ts").alias("ended"),
+    ).withColumn("overall_status", F.when(F.col("good_steps") == F.col("steps"), "success").when(F.col("good_steps") == 0, "failure").otherwise("partial_failure"))
+
+
 def monitor_alerts(freshness: DataFrame, trend: DataFrame, dataset: str = "dataset") -> DataFrame:
     """Stale or missing data, and scores that are low or falling."""
     stale = freshness.where(F.col("exists") & ~F.col("is_fresh")).select(
@@ -146,7 +154,9 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, alg
     """
     columns = list(columns or df.columns)
     if algorithm == "xxhash64":
-        digest = F.xxhash64(*columns).cast("decimal(20,0)")
+        # null flags tell (x, null) from (null, x); 48 bits leave room for 10 ** 15 rows in the sum
+        nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+        digest = F.shiftrightunsigned(F.xxhash64(nulls, *columns), 16).cast("decimal(20,0)")
     elif algorithm == "md5":
         text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
         digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")

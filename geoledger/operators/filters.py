@@ -59,14 +59,22 @@ def businesses_near_building(
     return ranked.select("unique_id", *NEAR_BUILDING_COLUMNS)
 
 
-def buildings_in_bbox(enriched: DataFrame, box: Sequence[float] | None, limit: int | None = 5000) -> DataFrame:
-    """Buildings whose centre lies in the box, at most ``limit``, smallest ids first."""
+def buildings_in_bbox(enriched: DataFrame, box: Sequence[float] | None, limit: int | None = None) -> DataFrame:
+    """Buildings whose centre lies in the box; with ``limit`` only that many of the smallest ids."""
     found = bbox_filter(enriched, box, "center_lon", "center_lat")
     return found if limit is None else top_rows(found, limit, F.col("osm_id"))
 
 
-def enriched_buildings(centred: DataFrame) -> DataFrame:
-    """Stand-in density measure by building id and category."""
+def with_business_counts(centred: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Buildings with the number and density band of businesses in reach, from their profiles; none: 0 and "none"."""
+    counts = profiles.select(F.col("building_id").alias("osm_id"), "business_count", "density_category")
+    return centred.join(counts, "osm_id", "left").withColumns({
+        "business_count": F.coalesce("business_count", F.lit(0)), "density_category": F.coalesce("density_category", F.lit("none")),
+    })
+
+
+def stand_in_density(centred: DataFrame) -> DataFrame:
+    """Simulated density by building id and category, for layouts without any business data."""
     return centred.withColumns({
         "business_count": M.stand_in_count(F.col("osm_id"), F.col("building_category")),
         "business_intensity": M.category_intensity(F.col("building_category")),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounding_box, once, ring_contains, ring_points
+from ..functions.geometry import all_points, bounding_box, once, polygon_rings, rings_contain
 from ..session import written
 from .near import HOT_ROWS, cell_join
 
@@ -36,8 +34,8 @@ def point_in_polygon_join(
     bounding box, so it covers at most 2 x 2 cells whatever its size. A point
     is looked up on the levels in use (at most TOP_LEVEL + 1 of them).
     """
-    ringed = once(footprints, _ring=ring_points(F.col(wkt))).where(F.size("_ring") >= 4)
-    boxed = once(ringed, **{f"_{k}": v for k, v in bounding_box(F.col("_ring")).items()})
+    ringed = once(footprints, _rings=F.filter(polygon_rings(F.col(wkt)), lambda r: F.size(r["points"]) >= 4)).where(F.size("_rings") > 0)
+    boxed = once(ringed, **{f"_{k}": v for k, v in bounding_box(all_points(F.col("_rings"))).items()})
     extent = F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y"))
     level = F.least(
         F.lit(TOP_LEVEL),
@@ -65,15 +63,15 @@ def point_in_polygon_join(
     x, y = F.col(lon), F.col(lat)
     inside_box = x.between(F.col("_min_x"), F.col("_max_x")) & y.between(F.col("_min_y"), F.col("_max_y"))
     pairs = cell_join(located, covered, ["_lv", "_cy", "_cx"], inside_box, hot_rows)
-    return pairs.where(ring_contains(F.col("_ring"), x, y)).drop(
-        "_ring", "_min_x", "_max_x", "_min_y", "_max_y"
+    return pairs.where(rings_contain(F.col("_rings"), x, y)).drop(
+        "_rings", "_min_x", "_max_x", "_min_y", "_max_y"
     )
 
 
-def _thin_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker over a closed ring, cut at the vertex farthest from the start."""
+def _kept_vertices(xy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices Douglas-Peucker keeps of a closed ring, cut at the vertex farthest from the start."""
     if len(xy) < 5:
-        return xy
+        return np.ones(len(xy), dtype=bool)
     far = int(np.argmax(np.hypot(*(xy - xy[0]).T)))
     keep = np.zeros(len(xy), dtype=bool)
     keep[[0, far, -1]] = True
@@ -94,40 +92,51 @@ def _thin_ring(xy: np.ndarray, tolerance: float) -> np.ndarray:
             mid = lo + 1 + worst
             keep[mid] = True
             spans += [(lo, mid), (mid, hi)]
-    thin = xy[keep]
-    return thin if len(thin) >= 4 else xy
+    return keep if keep.sum() >= 4 else np.ones(len(xy), dtype=bool)
 
 
-def simplify_footprints(
-    footprints: DataFrame, wkt: str = "geom_wkt", key: str = "osm_id", tolerance: float = 1e-5
-) -> DataFrame:
-    """Simplified polygon text with the vertex counts before and after.
+def simplify_footprints(footprints: DataFrame, wkt: str = "geom_wkt", tolerance: float = 1e-5) -> DataFrame:
+    """Every row with simplified polygon text and the vertex counts before and after.
 
-    A ring that would keep fewer than four points, and text that is no
-    one-ring polygon, stay as they are. Rings are parsed by Spark; only the
-    recursive thinning itself runs in Arrow batches.
+    All rings of a polygon or multipolygon are thinned, each for itself; one
+    that would keep fewer than four points, and text that is no polygon, stay as
+    they are (no counts for the latter). Spark parses the text and writes it
+    again; only rings of five points and more go to Python, as flat arrays, and
+    come back as the vertices to keep.
     """
-    parsed = footprints.select(
-        key, wkt, F.transform(ring_points(F.col(wkt)), lambda p: F.array(p["x"], p["y"])).alias("_xy")
+
+    @F.pandas_udf("array<array<boolean>>")
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def one(x, y):
+            return None if x is None else [_kept_vertices(np.column_stack([a, b]), tolerance) for a, b in zip(x, y)]
+
+        return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype=object)
+
+    rings = once(footprints, _rings=polygon_rings(F.col(wkt)))
+    whole = F.forall("_rings", lambda r: F.forall(r["points"], lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    rings = once(rings, _good=F.when(whole, F.col("_rings")))
+    dense = F.exists("_good", lambda r: F.size(r["points"]) >= 5)
+    asked = F.when(dense, F.col("_good"))
+
+    def axis(name: str) -> Column:
+        return F.transform(asked, lambda r: F.transform(r["points"], lambda p: p[name]))
+
+    thin = once(rings.withColumn("_kept", kept(axis("x"), axis("y"))), _thin=F.zip_with(
+        F.col("_good"), F.coalesce("_kept", F.transform("_good", lambda r: F.transform(r["points"], lambda p: F.lit(True)))),
+        lambda r, k: F.struct(r["hole"].alias("hole"), F.filter(r["points"], lambda p, i: F.get(k, i)).alias("points")),
+    ))
+
+    def text(ring: Column) -> Column:
+        pairs = F.transform(ring["points"], lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+        return F.concat(F.when(ring["hole"], ", (").otherwise("), (("), F.array_join(pairs, ", "), F.lit(")"))
+
+    def vertices(rings_: Column) -> Column:
+        return F.aggregate(F.transform(rings_, lambda r: F.size(r["points"])), F.lit(0), lambda a, n: a + n)
+
+    body = F.concat(F.substring(F.array_join(F.transform("_thin", text), ""), 4, 2**30), F.lit(")"))  # "((..), (..)), ((..))"
+    parts = F.size(F.filter("_thin", lambda r: ~r["hole"]))
+    written_out = F.when(parts > 1, F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")"))).otherwise(F.concat(F.lit("POLYGON "), body))
+    return thin.select(
+        *[c for c in footprints.columns if c != wkt], F.coalesce(F.when(parts > 0, written_out), F.col(wkt)).alias(wkt),
+        vertices(F.col("_good")).alias("vertices_before"), vertices(F.col("_thin")).alias("vertices_after"),
     )
-    key_type = footprints.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, {wkt} string, vertices_before int, vertices_after int"
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, before, after = [], [], []
-            for text, ring in zip(batch[wkt], batch["_xy"]):
-                xy = None if ring is None else np.array([list(p) for p in ring], dtype=float)
-                if xy is None or np.isnan(xy).any():
-                    texts.append(text), before.append(None), after.append(None)
-                    continue
-                out = _thin_ring(xy, tolerance)
-                body = ", ".join(f"{x!r} {y!r}" for x, y in out.tolist())
-                texts.append(f"POLYGON (({body}))"), before.append(len(xy)), after.append(len(out))
-            yield pd.DataFrame({
-                key: batch[key], wkt: texts,
-                "vertices_before": pd.array(before, dtype="Int32"),
-                "vertices_after": pd.array(after, dtype="Int32"),
-            })
-
-    return parsed.mapInPandas(thin, schema)

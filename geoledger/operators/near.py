@@ -3,8 +3,8 @@
 Both sides are put on a grid whose cell is at least one search radius wide, the
 target side is repeated over the 3 x 3 neighbouring cells, and the join is an
 equality on the cell with the exact distance as a residual condition. A cell
-that holds too many rows on either side is cut into a grid of
-(point share, target share) blocks, so no task gets a whole hot cell.
+with too many pairs to test is cut into a grid of (point share, target share)
+blocks of bounded work, so no task gets a whole hot cell.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import once
 from ..functions.measures import EARTH_RADIUS_M, fixed_point, haversine_m
+from ..session import written
 
 METRES_PER_ARC_DEGREE = EARTH_RADIUS_M * math.pi / 180
 
@@ -24,11 +25,9 @@ METRES_PER_ARC_DEGREE = EARTH_RADIUS_M * math.pi / 180
 # even if a division rounds a coordinate over an edge.
 _SLACK = 1.001
 
-# A cell is hot above HOT_ROWS rows, or above 1/MAX_HOT_CELLS of its side if
-# that is more. So fewer than MAX_HOT_CELLS cells per side are hot, however
-# large the tables are: the list of hot cells is small enough to broadcast.
-HOT_ROWS = 50_000
-MAX_HOT_CELLS = 50_000
+# A block of a cell tests at most about HOT_ROWS ** 2 pairs; a cell with more is
+# cut, whichever side its rows are on and however large the tables are.
+HOT_ROWS = 7_000
 
 
 def _present(lon: str, lat: str) -> Column:
@@ -39,42 +38,49 @@ def _row_step(radius: float, metric: str) -> float:
     return _SLACK * (radius if metric == "degrees" else radius / METRES_PER_ARC_DEGREE)
 
 
-def _column_step(row: Column, step: float, metric: str) -> Column:
-    """Cell width in a row of cells; on the sphere it grows with the latitude.
+def _columns(row: Column, lon: Column, step: float, metric: str) -> list[Column]:
+    """The cell columns left of, at and right of a longitude in a row of cells.
 
-    The width is taken at the outer edge of the neighbouring row, so one cell
-    is enough on either side. Poles and the 180th meridian are out of scope.
+    On the sphere the width grows with the latitude; it is taken at the outer
+    edge of the neighbouring row, so one cell is enough on either side. Columns
+    are numbered around the globe, and rows near a pole are one cell wide.
     """
     if metric == "degrees":
-        return F.lit(step)
-    edge = F.least(F.lit(89.0), (F.abs(row) + 2) * F.lit(step))
-    return F.lit(step) / F.cos(F.radians(edge))
+        own = F.floor(lon / F.lit(step)).cast("bigint")
+        return [own - 1, own, own + 1]
+    edge = (F.abs(row) + 2) * F.lit(step)
+    around = F.when(edge < 89.0, F.floor(F.lit(360.0) * F.cos(F.radians(F.least(edge, F.lit(89.0)))) / F.lit(step))).otherwise(1)
+    count = F.greatest(around, F.lit(1)).cast("bigint")
+    own = F.floor((lon + 180.0) * count / 360.0).cast("bigint")
+    return [F.pmod(own + d, count) for d in (-1, 0, 1)]
 
 
 def _own_cell(df: DataFrame, lon: str, lat: str, radius: float, metric: str) -> DataFrame:
     step = _row_step(radius, metric)
     row = F.floor(F.col(lat) / F.lit(step)).cast("bigint")
-    column = F.floor(F.col(lon) / _column_step(row, step, metric)).cast("bigint")
-    return df.where(_present(lon, lat)).withColumns({"_cy": row, "_cx": column})
+    return df.where(_present(lon, lat)).withColumns({"_cy": row, "_cx": _columns(row, F.col(lon), step, metric)[1]})
 
 
 def _nine_cells(df: DataFrame, lon: str, lat: str, radius: float, metric: str) -> DataFrame:
     step = _row_step(radius, metric)
     base = F.floor(F.col(lat) / F.lit(step)).cast("bigint")
-    cells = []
-    for dy in (-1, 0, 1):
-        row = base + dy
-        column = F.floor(F.col(lon) / _column_step(row, step, metric)).cast("bigint")
-        cells += [F.struct(row.alias("_cy"), (column + dx).alias("_cx")) for dx in (-1, 0, 1)]
-    return df.where(_present(lon, lat)).select("*", F.inline(F.array(*cells)))
-
-
-def _hot_cells(df: DataFrame, cells: Sequence[str], share: str, hot_rows: int) -> DataFrame:
-    counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    limit = F.greatest(F.lit(hot_rows), F.ceil(total / MAX_HOT_CELLS))
-    return counts.where(F.col("_n") > limit).select(
-        *cells, F.ceil(F.col("_n") / limit).cast("int").alias(share)
+    cells = [
+        F.struct((base + dy).alias("_cy"), column.alias("_cx"))
+        for dy in (-1, 0, 1) for column in _columns(base + dy, F.col(lon), step, metric)
+    ]
+    every = F.array(*cells)  # a row of fewer than three cells names some twice
+    return df.where(_present(lon, lat)).select("*", F.inline(every if metric == "degrees" else F.array_distinct(every)))
+
+
+def _hot_cells(points: DataFrame, targets: DataFrame, cells: Sequence[str], hot_rows: int) -> DataFrame:
+    """Cells with more than hot_rows ** 2 pairs to test, and into how many shares either side is cut."""
+    p = points.groupBy(*cells).agg(F.count(F.lit(1)).alias("_p"))
+    t = targets.groupBy(*cells).agg(F.count(F.lit(1)).alias("_t"))
+    work = F.lit(float(hot_rows) ** 2)
+    ts = F.ceil(F.col("_t") / F.lit(hot_rows))
+    ps = F.ceil(F.col("_p").cast("double") * F.ceil(F.col("_t") / ts) / work)
+    return p.join(t, list(cells)).where(F.col("_p").cast("double") * F.col("_t") > work).select(
+        *cells, ps.cast("int").alias("_ps"), ts.cast("int").alias("_ts")
     )
 
 
@@ -91,10 +97,8 @@ def cell_join(
     cell; a target takes one target share and is repeated over the point shares.
     Every pair meets in exactly one block.
     """
-    hot = _hot_cells(points, cells, "_ps", hot_rows).join(
-        _hot_cells(targets, cells, "_ts", hot_rows), list(cells), "full"
-    )
-    hot = F.broadcast(hot)  # fewer than 2 * MAX_HOT_CELLS rows
+    # written, so its true size tells the planner whether to copy or to shuffle it
+    hot = written(_hot_cells(points, targets, cells, hot_rows), "hot-cells")
 
     def blocks(df: DataFrame, own: str, own_block: str, other: str, other_block: str) -> DataFrame:
         # The task number spreads exact copies of a row; files and hash
@@ -197,32 +201,40 @@ def nearest_join(
 ) -> DataFrame:
     """The ``k`` nearest buildings of every business within ``max_distance_m``.
 
-    ``key`` identifies a business; ties go to the smaller building id. With
-    k = 1 there is one flat row per match, with k > 1 aligned arrays.
+    Every business row is matched for itself, also where ``key`` repeats; ties
+    go to the smaller building id. With k = 1 there is one flat row per match,
+    with k > 1 aligned arrays.
     """
+    head = ["business_unique_id", "business_lon", "business_lat", "business_name"]
+    # equal rows are matched once and given back as often as they were there
     named = businesses.select(
         F.col(key).alias("business_unique_id"), F.col("longitude").alias("business_lon"),
         F.col("latitude").alias("business_lat"), F.col("dba_name").alias("business_name"),
-    )
+    ).groupBy(*head).agg(F.count(F.lit(1)).alias("_copies"))
+    points = written(named.withColumn("_row", F.xxhash64(*head)), "places")
     right = buildings.select(
         F.col("osm_id").alias("building_osm_id"), "building_type",
         F.col("center_lon").alias("building_lon"), F.col("center_lat").alias("building_lat"),
-    )
-    # names join back to the few rows that stay, so candidates are sorted narrow
+    ).distinct()
+    # the other columns join back to the few rows that stay, so candidates are sorted narrow
     pairs = _near_pairs(
-        named.drop("business_name"), right, max_distance_m, "meters", ("business_lon", "business_lat"),
+        points.select("_row", "business_lon", "business_lat"), right, max_distance_m, "meters", ("business_lon", "business_lat"),
         ("building_lon", "building_lat"), "distance_meters", hot_rows,
     ).drop("business_lon", "business_lat")
     # A row_number limit is applied per task before the shuffle as well.
-    by_distance = Window.partitionBy("business_unique_id").orderBy("distance_meters", "building_osm_id")
+    by_distance = Window.partitionBy("_row").orderBy("distance_meters", "building_osm_id", "building_type", "building_lon", "building_lat")
     ranked = pairs.withColumn("_rank", F.row_number().over(by_distance)).where(F.col("_rank") <= k)
-    head = ["business_unique_id", "business_lon", "business_lat", "business_name"]
+
+    def with_names(rows: DataFrame) -> DataFrame:
+        every = rows.join(points, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+        return every.drop("_copy", "_copies", "_row")
+
     if k == 1:
-        return ranked.drop("_rank").join(named, "business_unique_id").select(
+        return with_names(ranked.drop("_rank")).select(
             *head, "building_osm_id", "building_type", "building_lon", "building_lat", "distance_meters"
         )
     match = F.struct("_rank", "building_osm_id", "building_type", "building_lon", "building_lat", "distance_meters")
-    grouped = ranked.groupBy("business_unique_id").agg(
+    grouped = ranked.groupBy("_row").agg(
         F.sort_array(F.collect_list(match)).alias("_m")  # at most k matches
     )
     fields = {
@@ -230,7 +242,7 @@ def nearest_join(
         "building_lons": "building_lon", "building_lats": "building_lat",
         "distances_meters": "distance_meters",
     }
-    return grouped.join(named, "business_unique_id").select(
+    return with_names(grouped).select(
         *head, *[F.col(f"_m.{field}").alias(out) for out, field in fields.items()],
         F.size("_m").alias("match_count"),
     )

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from .aggregates import centre_sums, per_group_cap, with_mean_position
 from .rollup import facet_rollup, top_rows
 
-# Fixed values: (first zoom, last zoom, most features, kilobytes per feature).
-HEX_ZOOMS = (1, 8, 200, 0.05)
-CLUSTER_ZOOMS = (9, 12, 1000, 0.5)
-BUILDING_ZOOMS = (13, 18, 5000, 0.02)
+# Fixed values: (first zoom, last zoom, kilobytes per feature).
+HEX_ZOOMS = (1, 8, 0.05)
+CLUSTER_ZOOMS = (9, 12, 0.5)
+BUILDING_ZOOMS = (13, 18, 0.02)
 
 
 def _located(businesses: DataFrame, box: Sequence[float] | None) -> DataFrame:
@@ -70,11 +70,11 @@ def hex_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[float]
 
 
 def hex_aggregate(
-    businesses: DataFrame, zoom: int, box: Sequence[float] | None = None, max_features: int = HEX_ZOOMS[2]
+    businesses: DataFrame, zoom: int, box: Sequence[float] | None = None, top: int | None = None
 ) -> DataFrame:
-    """The largest hexagons of one zoom level."""
+    """The hexagons of one zoom level; with ``top`` only that many of the largest."""
     cells = hex_cells(businesses, [zoom], box)
-    return top_rows(cells, max_features, F.desc("business_count"), F.col("hex_q"), F.col("hex_r"))
+    return cells if top is None else top_rows(cells, top, F.desc("business_count"), F.col("hex_q"), F.col("hex_r"))
 
 
 def cluster_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[float] | None = None) -> DataFrame:
@@ -120,11 +120,11 @@ def cluster_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[flo
 
 
 def cluster_aggregate(
-    businesses: DataFrame, zoom: int, box: Sequence[float] | None = None, max_features: int = CLUSTER_ZOOMS[2]
+    businesses: DataFrame, zoom: int, box: Sequence[float] | None = None, top: int | None = None
 ) -> DataFrame:
-    """The largest clusters of one zoom level."""
+    """The clusters of one zoom level; with ``top`` only that many of the largest."""
     cells = cluster_cells(businesses, [zoom], box)
-    return top_rows(cells, max_features, F.desc("business_count"), F.col("grid_x"), F.col("grid_y"))
+    return cells if top is None else top_rows(cells, top, F.desc("business_count"), F.col("grid_x"), F.col("grid_y"))
 
 
 def grid_on_demand(businesses: DataFrame, zoom: int = 12, box: Sequence[float] | None = None) -> DataFrame:
@@ -151,12 +151,11 @@ _LEVEL_COLUMNS = (
 
 def zoom_pyramid(
     businesses: DataFrame, zooms: Iterable[int] = range(1, 13), box: Sequence[float] | None = None,
-    capped: bool = True,
+    top: int | None = None,
 ) -> DataFrame:
-    """All aggregated levels in one frame keyed by ``zoom_level``.
+    """All aggregated levels in one frame keyed by ``zoom_level``; with ``top`` the largest cells of each level only.
 
-    Each family of levels is one aggregation over (zoom, cell); the caps are
-    applied per level.
+    Each family of levels is one aggregation over (zoom, cell).
     """
     zooms = list(zooms)
     hexes = [z for z in zooms if HEX_ZOOMS[0] <= z <= HEX_ZOOMS[1]]
@@ -176,23 +175,39 @@ def zoom_pyramid(
             "aggregation_type", F.lit("statistical")
         ).withColumnsRenamed({"grid_size": "cell_size", "grid_x": "cell_x", "grid_y": "cell_y"}).select(*_LEVEL_COLUMNS))
     if not parts:
-        raise ValueError("zoom levels 1 to 12 are aggregated; use buildings_in_box above")
+        raise ValueError("zoom levels 1 to 12 are aggregated; features_at serves buildings above")
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if not capped:
+    if top is None:
         return out
-    cap = F.when(F.col("zoom_level") <= HEX_ZOOMS[1], HEX_ZOOMS[2]).otherwise(CLUSTER_ZOOMS[2])
-    # the larger cap bounds what any task hands on, the level's own cap decides
-    widest = per_group_cap(out, "zoom_level", max(HEX_ZOOMS[2], CLUSTER_ZOOMS[2]), *_level_order())
-    return per_group_cap(widest, "zoom_level", cap, *_level_order())
+    return per_group_cap(out, "zoom_level", top, F.desc("business_count"), F.col("cell_x"), F.col("cell_y"))
 
 
-def _level_order() -> list[Column]:
-    return [F.desc("business_count"), F.col("cell_x"), F.col("cell_y")]
+def features_at(
+    levels: DataFrame, buildings: DataFrame, zoom: int, box: Sequence[float] | None = None, top: int | None = None
+) -> DataFrame:
+    """What a map shows at one zoom level: hexagons up to 8, clusters up to 12, buildings up to 18.
+
+    ``levels`` is a stored pyramid, whose partition of the level is the only one
+    read; ``buildings`` has osm_id, center_lon, center_lat and business_count.
+    """
+    if not HEX_ZOOMS[0] <= zoom <= BUILDING_ZOOMS[1]:
+        raise ValueError(f"zoom levels are {HEX_ZOOMS[0]} to {BUILDING_ZOOMS[1]}")
+    if zoom <= CLUSTER_ZOOMS[1]:
+        kind = "hexagonal" if zoom <= HEX_ZOOMS[1] else "statistical"
+        found = levels.where(F.col("zoom_level") == zoom).select(
+            F.lit(kind).alias("feature_type"), F.concat_ws(":", "cell_x", "cell_y").alias("feature_id"), "center_lon", "center_lat", "business_count"
+        )
+    else:
+        found = buildings.select(
+            F.lit("building").alias("feature_type"), F.col("osm_id").cast("string").alias("feature_id"), "center_lon", "center_lat", "business_count"
+        )
+    found = found.where(M.in_box(F.col("center_lon"), F.col("center_lat"), box)).withColumn("zoom_level", F.lit(zoom))
+    return found if top is None else top_rows(found, top, F.desc("business_count"), F.col("feature_id"))
 
 
 def pyramid_summary(levels: DataFrame) -> DataFrame:
     """Features and estimated size per zoom level."""
-    per_feature = F.when(F.col("zoom_level") <= HEX_ZOOMS[1], HEX_ZOOMS[3]).otherwise(CLUSTER_ZOOMS[3])
+    per_feature = F.when(F.col("zoom_level") <= HEX_ZOOMS[1], HEX_ZOOMS[2]).otherwise(CLUSTER_ZOOMS[2])
     return (
         levels.groupBy("zoom_level", "aggregation_type")
         .agg(F.count(F.lit(1)).alias("features"), F.sum("business_count").alias("businesses"))
@@ -201,27 +216,31 @@ def pyramid_summary(levels: DataFrame) -> DataFrame:
 
 
 def sample_points(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows in a repeatable pseudo-random choice, with ``total_available``.
+    """``min(n, rows)`` rows in a repeatable pseudo-random choice, with ``total_available``.
 
-    Rows are ordered by a digest of (key, seed). A histogram over the digest
-    heads (65 536 rows) finds the head at which the sample is full; lower heads
-    are kept whole, and only rows of that one head are ranked.
+    Rows are ordered by a digest of (key, seed). Two counts of its leading
+    digits, of 65,536 steps each, find where the sample is full; then the table
+    is read once more for the rows before that point, and of the rows in the
+    last step, one in four billion of the table, the first ones fill the sample.
     """
-    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    keyed = df.withColumn("_digest", digest).withColumn("_head", F.substring("_digest", 1, 4))
-    counts = keyed.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))  # at most 65 536 rows
-    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    running = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    cuts = running.where(F.col("_before") < n).select("_head", "_n", "_before")
-    kept = keyed.join(F.broadcast(cuts), "_head")
-    whole = kept.where(F.col("_before") + F.col("_n") <= n)
-    edge = kept.where(F.col("_before") + F.col("_n") > n)
-    edge = per_group_cap(edge, "_head", n, F.col("_digest"), F.col(key)).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_head").orderBy("_digest", key))
-    ).where(F.col("_before") + F.col("_rank") <= n)
-    columns = df.columns
-    return whole.select(*columns).unionByName(edge.select(*columns)).withColumn("total_available", total)
+    keyed = df.withColumn("_digest", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    narrow, prefix, before, total = keyed.select("_digest"), "", 0, None
+    for _ in range(2):
+        step = F.substring("_digest", len(prefix) + 1, 4)
+        counts = narrow.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("step").collect()  # at most 65 536 rows
+        total = sum(r["n"] for r in counts) if total is None else total
+        for r in counts:
+            if before + r["n"] >= n:
+                prefix += r["step"]
+                break
+            before += r["n"]
+        else:  # fewer rows than asked for
+            return df.withColumn("total_available", F.lit(total).cast("bigint"))
+        narrow = narrow.where(F.col("_digest").startswith(prefix))
+    rows = keyed.where(F.substring("_digest", 1, len(prefix)) <= prefix)
+    whole = rows.where(~F.col("_digest").startswith(prefix))
+    edge = top_rows(rows.where(F.col("_digest").startswith(prefix)), n - before, F.col("_digest"), F.col(key))
+    return whole.unionByName(edge).drop("_digest").withColumn("total_available", F.lit(total).cast("bigint"))
 
 
 def pack_points(businesses: DataFrame, reference_year: int = 2024) -> DataFrame:
@@ -233,7 +252,7 @@ def pack_points(businesses: DataFrame, reference_year: int = 2024) -> DataFrame:
 
 
 def map_points(
-    businesses: DataFrame, box: Sequence[float] | None = None, max_points: int = 100_000, seed: int = 42
+    businesses: DataFrame, box: Sequence[float] | None, max_points: int, seed: int = 42
 ) -> DataFrame:
     """Packed points of a box, at most ``max_points`` of them."""
     return pack_points(sample_points(_located(businesses, box), max_points, "unique_id", seed))

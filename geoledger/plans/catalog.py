@@ -36,6 +36,7 @@ NOW = dt.datetime(2024, 2, 20)
 SCORE_NOW = dt.datetime(1998, 1, 1)
 BOX = (-122.42, 37.765, -122.40, 37.78)
 BUILDING_ID = 1
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -52,6 +53,13 @@ def r(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _counted_buildings(t: Tables) -> DataFrame:
+    """Buildings with the real number of businesses in reach."""
+    columns = ["longitude", "latitude", "naics_code", "naics_description"]
+    profiles = A.agg_by_building_full(profile.weighted_pair_table(t.businesses.select(*columns), t.centred), weight="weight")
+    return L.with_business_counts(t.centred, profiles)
+
+
 def joined(column: str) -> Column:
     return F.array_join(F.transform(column, lambda v: v.cast("string")), ",")
 
@@ -121,8 +129,8 @@ def sink_snapshot(t: Tables) -> DataFrame:
 def sink_geojson(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "geojson")
     S.sink_geojson(
-        L.enriched_buildings(t.centred), path,
-        properties=["osm_id", "building_type", "building_category", "business_count", "business_intensity"],
+        _counted_buildings(t), path,
+        properties=["osm_id", "building_type", "building_category", "business_count", "density_category"],
     )
     return t.spark.read.text(path).select(F.col("value").alias("feature"))
 
@@ -320,7 +328,7 @@ def hash_bucket(t: Tables) -> DataFrame:
 
 @query
 def age_proxy(t: Tables) -> DataFrame:
-    return t.businesses.select("unique_id", M.age_proxy(F.col("business_end_date")).alias("age"))
+    return t.businesses.select("unique_id", M.age_proxy(F.col("business_start_date")).alias("age"))
 
 
 @query
@@ -368,7 +376,7 @@ def proximity_quality(t: Tables) -> DataFrame:
 
 @query
 def category_density_proxy(t: Tables) -> DataFrame:
-    return L.enriched_buildings(t.centred).select("osm_id", "business_count", "business_intensity", "business_density")
+    return L.stand_in_density(t.centred).select("osm_id", "business_count", "business_intensity", "business_density")
 
 
 # Filters and lookups --------------------------------------------------------
@@ -396,15 +404,14 @@ def not_null_filter(t: Tables) -> DataFrame:
 
 @query
 def buildings_in_bbox(t: Tables) -> DataFrame:
-    return L.buildings_in_bbox(L.enriched_buildings(t.centred), BOX)
+    return L.buildings_in_bbox(_counted_buildings(t), BOX)
 
 
 # Joins ----------------------------------------------------------------------
 
 
 def _nearest(t: Tables) -> DataFrame:
-    columns = ["unique_id", "longitude", "latitude", "dba_name"]
-    return J.nearest_join(t.stored.select(*columns), t.centred, 100.0)
+    return J.nearest_join(t.businesses, t.centred, 100.0)
 
 
 @query
@@ -414,7 +421,7 @@ def nearest_building_join(t: Tables) -> DataFrame:
 
 @query
 def topn_building_join(t: Tables) -> DataFrame:
-    out = J.nearest_join(t.stored, t.centred, 200.0, k=3)
+    out = J.nearest_join(t.businesses, t.centred, 200.0, k=3)
     metres = F.array_join(F.transform("distances_meters", lambda d: F.round(d * 1000).cast("bigint").cast("string")), ",")
     return out.select(
         "business_unique_id", "business_lon", "business_lat", "business_name",
@@ -429,6 +436,10 @@ def _pairs(t: Tables) -> DataFrame:
     return profile.pair_table(written(t.businesses.select(*columns), "places"), t.centred)
 
 
+def _folded(t: Tables) -> DataFrame:
+    return profile.weighted_pair_table(t.businesses, t.centred)
+
+
 @query
 def radius_join(t: Tables) -> DataFrame:
     return r(_pairs(t), 9, "distance_degrees")
@@ -436,7 +447,7 @@ def radius_join(t: Tables) -> DataFrame:
 
 @query
 def radius_join_meters(t: Tables) -> DataFrame:
-    pairs = J.radius_join(t.stored.select("unique_id", "longitude", "latitude"), t.centred, 50.0, "meters")
+    pairs = J.radius_join(t.kept("unique_id", "longitude", "latitude"), t.centred, 50.0, "meters")
     return pairs.select(
         F.col("osm_id").alias("building_id"), F.col("unique_id").alias("business_id"),
         F.round("distance_meters", 4).alias("distance_meters"),
@@ -446,13 +457,13 @@ def radius_join_meters(t: Tables) -> DataFrame:
 @query
 def attach_attributes(t: Tables) -> DataFrame:
     pairs = _pairs(t).select("building_id", "business_id")
-    return J.attach_attributes(pairs, t.stored, "dba_name", "neighborhood", "business_start_date")
+    return J.attach_attributes(pairs, t.businesses, "dba_name", "neighborhood", "business_start_date")
 
 
 @query
 def point_in_polygon_join(t: Tables) -> DataFrame:
     pairs = P.point_in_polygon_join(
-        t.stored.select("unique_id", "longitude", "latitude"), t.buildings.select("osm_id", "geom_wkt")
+        t.kept("unique_id", "longitude", "latitude"), t.buildings.select("osm_id", "geom_wkt")
     )
     return pairs.select("unique_id", "osm_id")
 
@@ -484,13 +495,7 @@ def upsert_update(t: Tables) -> DataFrame:
 
 @query
 def agg_by_building(t: Tables) -> DataFrame:
-    columns = ["unique_id", "longitude", "latitude", "naics_code", "naics_description", "business_start_date", "business_end_date"]
-    near = J.radius_join(t.stored.select(*columns), t.centred, 0.0005)
-    pairs = near.withColumnsRenamed({
-        "osm_id": "building_id", "unique_id": "business_id", "center_lon": "building_center_lon",
-        "center_lat": "building_center_lat",
-    })
-    return A.agg_by_building(pairs)
+    return A.agg_by_building(profile.dated_pair_table(t.businesses, t.centred), weight="weight")
 
 
 @query
@@ -501,17 +506,17 @@ def agg_by_building_full(t: Tables) -> DataFrame:
 
 @query
 def agg_by_building_slim(t: Tables) -> DataFrame:
-    return A.agg_by_building_slim(_pairs(t))
+    return A.agg_by_building_slim(_folded(t), "weight")
 
 
 @query
 def agg_by_grid(t: Tables) -> DataFrame:
-    return A.agg_by_grid(_pairs(t), 0.002)
+    return A.agg_by_grid(_folded(t), 0.002, weight="weight")
 
 
 @query
 def agg_by_grid_fine(t: Tables) -> DataFrame:
-    return A.agg_by_grid(_pairs(t), 0.001, M.GRID_BANDS, "avg_businesses_per_building")
+    return A.agg_by_grid(_folded(t), 0.001, M.GRID_BANDS, "avg_businesses_per_building", "weight")
 
 
 @query
@@ -539,9 +544,22 @@ def zoom_pyramid(t: Tables) -> DataFrame:
     return Z.pyramid_summary(Z.zoom_pyramid(t.businesses))
 
 
+@query
+def hex_top(t: Tables) -> DataFrame:
+    return r(Z.hex_aggregate(t.businesses, 8, top=200), 9, "center_lon", "center_lat")
+
+
+@query
+def zoom_lookup(t: Tables) -> DataFrame:
+    """One lookup per kind of feature: hexagons, clusters, buildings."""
+    levels, buildings = Z.zoom_pyramid(t.businesses), _counted_buildings(t)
+    shown = [Z.features_at(levels, buildings, zoom, BOX) for zoom in (8, 12, 16)]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 @query
 def zoom_levels(t: Tables) -> DataFrame:
-    out = Z.zoom_pyramid(t.businesses, capped=False)
+    out = Z.zoom_pyramid(t.businesses)
     return out.select("zoom_level", "cell_x", "cell_y", "business_count", "business_types", "primary_naics", "center_lon", "center_lat")
 
 
@@ -602,7 +620,7 @@ def column_profile(t: Tables) -> DataFrame:
 
 @query
 def description_sample(t: Tables) -> DataFrame:
-    return A.description_sample(t.businesses)
+    return A.description_sample(t.businesses, 10)
 
 
 # Data quality ---------------------------------------------------------------
@@ -728,7 +746,7 @@ def map_points(t: Tables) -> DataFrame:
 
 @query
 def union_batches(t: Tables) -> DataFrame:
-    batches = [t.businesses.where(F.col("neighborhood") == s).select("unique_id", "neighborhood") for s in ("BUILDING", "MACHINERY", "HOUSEHOLD")]
+    batches = [t.businesses.where(F.col("neighborhood") == s).select("unique_id", "neighborhood") for s in SEGMENTS]
     return U.union_batches(*batches)
 
 
@@ -738,12 +756,6 @@ def distinct_pairs(t: Tables) -> DataFrame:
     return U.distinct_pairs(U.union_batches(pairs, pairs))
 
 
-@query
-def schema_diff(t: Tables) -> DataFrame:
-    new = t.businesses.drop("location_id", "zipcode").withColumn("email", F.lit("x"))
-    return C.schema_diff(t.businesses, new)
-
-
 # Change detection, freshness, refresh ---------------------------------------
 
 
@@ -768,6 +780,11 @@ def detect_changes(t: Tables) -> DataFrame:
     })
 
 
+@query
+def schema_diff(t: Tables) -> DataFrame:
+    return C.schema_diff(_versions(t)).withColumn("version", F.col("version").cast("string"))
+
+
 def _freshness(t: Tables) -> DataFrame:
     return C.freshness_check(t.loads, NOW, {**C.FRESHNESS_HOURS, "quality_reports": 24.0})
 
@@ -788,6 +805,12 @@ def refresh_summary(t: Tables) -> DataFrame:
     return C.refresh_summary(t.refreshes)
 
 
+@query
+def run_status(t: Tables) -> DataFrame:
+    """Every day's events as one pipeline run."""
+    return C.run_status(t.refreshes.withColumn("run_id", F.date_format("ts", "yyyyMMdd")))
+
+
 @query
 def monitor_alerts(t: Tables) -> DataFrame:
     return r(C.monitor_alerts(_freshness(t), _trend(t)), 6, "value")
@@ -799,14 +822,27 @@ def content_fingerprint(t: Tables) -> DataFrame:
     return C.content_fingerprint(t.businesses, columns, "md5")
 
 
+@query
+def content_fingerprint_fast(t: Tables) -> DataFrame:
+    """The default digest: blind to the order of rows, not to a value that changes its column."""
+    plain = t.businesses.select("unique_id", "naics_code", F.lit(None).cast("string").alias("other"))
+    moved = plain.select("unique_id", F.col("other").alias("naics_code"), F.col("naics_code").alias("other"))
+    first, again, other = (C.content_fingerprint(df, ["unique_id", "naics_code", "other"]) for df in (plain, plain.orderBy(F.desc("unique_id")), moved))
+    return first.select(
+        "row_count", (F.col("fingerprint") == again.select("fingerprint").scalar()).alias("order_ignored"),
+        (F.col("fingerprint") != other.select("fingerprint").scalar()).alias("move_seen"),
+    )
+
+
 @query
 def incremental_ingest(t: Tables) -> DataFrame:
-    """Two deliveries of files, the second with newer versions of every third record."""
+    """Two deliveries of files, the second with newer versions of every third record, some of them moved out of the box."""
     raw = t.raw_registrations()
     inbox, table, marks = (fresh_path(t.spark, n) for n in ("inbox", "ingested", "ingest-checkpoint"))
     options = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
     newer = raw.where(F.col("UniqueID").cast("bigint") % 3 == 0).withColumns({
         "DBA Name": F.concat(F.lit("NEW "), F.trim("DBA Name")), "data_as_of": F.lit("2030-01-01"),
+        "Business Location": F.when(F.col("UniqueID").cast("bigint") % 15 == 0, "POINT (-100.5 40.5)").otherwise(F.col("Business Location")),
     })
     for delivery in (raw, newer):
         delivery.write.mode("append").options(**options).csv(inbox)
@@ -852,18 +888,19 @@ def heatmap(t: Tables) -> DataFrame:
 
 @query
 def kmeans_districts(t: Tables) -> DataFrame:
-    out = N.kmeans_districts(t.stored)
+    out = N.kmeans_districts(t.kept("unique_id", "longitude", "latitude"))
     return out.groupBy("district").agg(F.count(F.lit(1)).alias("business_count"))
 
 
 @query
 def dbscan_districts_query(t: Tables) -> DataFrame:
-    return dbscan_districts(t.stored.select("unique_id", "longitude", "latitude"), eps=0.0003, min_points=5)
+    return dbscan_districts(t.kept("unique_id", "longitude", "latitude"), eps=0.0003, min_points=5)
 
 
 @query
 def co_location(t: Tables) -> DataFrame:
-    return r(N.co_location(t.businesses.select("longitude", "latitude", "naics_code")), 9, "lift")
+    out = N.co_location(t.businesses.select("longitude", "latitude", "naics_code"))
+    return r(out, 9, "lift").withColumn("pair_count", F.col("pair_count").cast("bigint"))
 
 
 @query

@@ -1,6 +1,8 @@
 """From raw files to every stored table and report, as a sequence of Spark jobs.
 
-Each step reads what an earlier one wrote, so a step can be run again alone.
+Each step reads what an earlier one wrote and replaces what it wrote before,
+so a step, or all of it, can be run again. The quality history and the refresh
+events are appended to.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from . import profile
 
 def build_businesses(spark: SparkSession, csv_path: str, out: str) -> DataFrame:
     """Cleaned businesses laid out by place, and copies by industry and by neighbourhood."""
-    S.sink_located(R.clean_registrations(R.scan_registrations(spark, csv_path)), f"{out}/businesses")
+    S.sink_located(R.clean_registrations(R.scan_registrations(spark, csv_path)), f"{out}/businesses", mode="overwrite")
     businesses = spark.read.parquet(f"{out}/businesses")
-    S.sink_parquet(businesses, f"{out}/businesses_by_naics", ["naics_code"], rows_per_file=1_000_000)
-    S.sink_parquet(businesses, f"{out}/businesses_by_neighborhood", ["neighborhood"], rows_per_file=1_000_000)
+    S.sink_parquet(businesses, f"{out}/businesses_by_naics", ["naics_code"], rows_per_file=1_000_000, mode="overwrite")
+    S.sink_parquet(businesses, f"{out}/businesses_by_neighborhood", ["neighborhood"], rows_per_file=1_000_000, mode="overwrite")
     return businesses
 
 
@@ -35,28 +37,28 @@ def build_buildings(
 ) -> DataFrame:
     """Footprints, their centres, and copies by type and by category."""
     elements = FP.scan_elements(spark, elements_path, multi_line)
-    S.sink_parquet(FP.buildings_from_elements(elements, simplify_tolerance=simplify_tolerance), f"{out}/buildings")
+    S.sink_parquet(FP.buildings_from_elements(elements, simplify_tolerance=simplify_tolerance), f"{out}/buildings", mode="overwrite")
     buildings = spark.read.parquet(f"{out}/buildings")
-    S.sink_parquet(buildings, f"{out}/buildings_by_type", ["building_type"])
-    S.sink_parquet(buildings, f"{out}/buildings_by_category", ["building_category"])
-    S.sink_parquet(profile.footprint_centres(buildings), f"{out}/centres")
+    S.sink_parquet(buildings, f"{out}/buildings_by_type", ["building_type"], mode="overwrite")
+    S.sink_parquet(buildings, f"{out}/buildings_by_category", ["building_category"], mode="overwrite")
+    S.sink_parquet(profile.footprint_centres(buildings), f"{out}/centres", mode="overwrite")
     return buildings
 
 
 def build_matches(spark: SparkSession, out: str, max_distance_m: float = 100.0, radius: float = 0.0005) -> None:
     """Nearest matches, (building, business) pairs, and their building and grid profiles."""
     businesses, centres = spark.read.parquet(f"{out}/businesses"), spark.read.parquet(f"{out}/centres")
-    S.sink_parquet(nearest_join(businesses, centres, max_distance_m), f"{out}/matches")
-    S.sink_parquet(profile.pair_table(businesses, centres, radius), f"{out}/pairs")
+    S.sink_parquet(nearest_join(businesses, centres, max_distance_m), f"{out}/matches", mode="overwrite")
+    S.sink_parquet(profile.pair_table(businesses, centres, radius), f"{out}/pairs", mode="overwrite")
     pairs = spark.read.parquet(f"{out}/pairs")
-    S.sink_parquet(A.agg_by_building_full(pairs), f"{out}/building_profile")
-    S.sink_parquet(A.agg_by_grid(pairs), f"{out}/grid_profile")
-    S.sink_geojson(spark.read.parquet(f"{out}/building_profile"), f"{out}/building_profile_geojson")
+    S.sink_parquet(A.agg_by_building_full(pairs), f"{out}/building_profile", mode="overwrite")
+    S.sink_parquet(A.agg_by_grid(pairs), f"{out}/grid_profile", mode="overwrite")
+    S.sink_geojson(spark.read.parquet(f"{out}/building_profile"), f"{out}/building_profile_geojson", "overwrite")
 
 
 def build_pyramid(spark: SparkSession, out: str) -> None:
     levels = Z.zoom_pyramid(spark.read.parquet(f"{out}/businesses"))
-    S.sink_parquet(levels, f"{out}/pyramid", ["zoom_level"])
+    S.sink_parquet(levels, f"{out}/pyramid", ["zoom_level"], mode="overwrite")
 
 
 def build_reports(spark: SparkSession, out: str, now: dt.datetime) -> None:
@@ -65,10 +67,10 @@ def build_reports(spark: SparkSession, out: str, now: dt.datetime) -> None:
     centres, pairs = spark.read.parquet(f"{out}/centres"), spark.read.parquet(f"{out}/pairs")
     profiles, matches = spark.read.parquet(f"{out}/building_profile"), spark.read.parquet(f"{out}/matches")
     score = Q.quality_score(businesses, now).withColumn("ts", F.lit(now.isoformat()))
-    S.sink_report_json(Q.validation_report(businesses, buildings), f"{out}/reports/validation")
-    S.sink_report_json(A.coverage_stats(businesses, buildings, centres, pairs, profiles), f"{out}/reports/coverage")
-    S.sink_report_json(A.processing_stats(businesses, buildings, matches), f"{out}/reports/processing")
-    S.sink_report_json(A.match_summary(matches), f"{out}/reports/matches")
+    S.sink_report_json(Q.validation_report(businesses, buildings), f"{out}/reports/validation", "overwrite")
+    S.sink_report_json(A.coverage_stats(businesses, buildings, centres, pairs, profiles), f"{out}/reports/coverage", "overwrite")
+    S.sink_report_json(A.processing_stats(businesses, buildings, matches), f"{out}/reports/processing", "overwrite")
+    S.sink_report_json(A.match_summary(matches), f"{out}/reports/matches", "overwrite")
     score.write.mode("append").json(f"{out}/reports/quality_history")
 
 
@@ -88,7 +90,7 @@ def build_all(
         try:
             step()
         except Exception as error:
-            status, detail = "error", str(error)[:500]
+            status, detail = "error", str(error)
             raise
         finally:
             event = spark.range(1).select(

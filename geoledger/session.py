@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def build_session(app: str = "geoledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,6 +18,7 @@ def build_session(app: str = "geoledger", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.openCostInBytes": "1m",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -28,34 +30,42 @@ def build_session(app: str = "geoledger", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+def use_folder(spark: SparkSession, path: str) -> None:
+    """Folder for intermediate tables of a session that does not name one in ``spark.checkpoint.dir``."""
+    _FOLDERS[spark.sparkContext.applicationId] = path
 
-    Only a local-mode session may fall back to a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+
+def has_folder(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.applicationId in _FOLDERS
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or what :func:`use_folder` was told."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    return _LOCAL_DIRS[app]
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A not yet used path under the shared folder."""
-    return f"{shared_dir(spark)}/geoledger/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/geoledger/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores.
-
-    A large table has far more splits than cores and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside the block when it ends; write its results before that."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _SCRATCH.pop():
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
@@ -70,4 +80,4 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spread(spark.read.schema(df.schema).parquet(path))
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ring_points, with_centroid
-from ..session import fresh_path, spread, written
+from ..session import fresh_path, written
 from .registrations import RAW_COLUMNS
 from .tables import scan
 
@@ -97,7 +97,7 @@ class Tables:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return spread(scan(self.spark, f"{self.dir}/{name}.parquet"))
+        return scan(self.spark, f"{self.dir}/{name}.parquet")
 
     def _run(self, text: str, **inputs: DataFrame) -> DataFrame:
         return self.spark.sql(text, **inputs)
@@ -115,6 +115,10 @@ class Tables:
         """The businesses as a written table, for work that reads them more than once."""
         return written(self.businesses, "businesses")
 
+    def kept(self, *columns: str) -> DataFrame:
+        """Some columns of the businesses as a written table."""
+        return written(self.businesses.select(*columns), "businesses")
+
     @cached_property
     def centred(self) -> DataFrame:
         """Footprint centres as a written table, so every polygon text is parsed once."""

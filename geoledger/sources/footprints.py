@@ -54,5 +54,4 @@ def buildings_from_elements(
     )
     if simplify_tolerance is None:
         return out
-    thin = simplify_footprints(out, tolerance=simplify_tolerance).select("osm_id", "geom_wkt")
-    return out.drop("geom_wkt").join(thin, "osm_id")
+    return simplify_footprints(out, tolerance=simplify_tolerance).select(*out.columns)

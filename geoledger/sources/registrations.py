@@ -51,12 +51,13 @@ def without_null_tokens(df: DataFrame) -> DataFrame:
 
 
 def scan_registrations(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Registration CSV with all columns as text; the header names the columns.
+    """Registration CSV with all columns as text, in the fixed order.
 
-    Files stay splittable unless ``multi_line`` (quoted line breaks) is asked for.
+    Every file's header is checked against it: one with other columns, or in
+    another order, fails instead of being read into wrong columns. Files stay
+    splittable unless ``multi_line`` (quoted line breaks) is asked for.
     """
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "enforceSchema"}
-    return without_null_tokens(spark.read.options(**options, multiLine=str(multi_line).lower()).csv(path))
+    return without_null_tokens(spark.read.schema(RAW_SCHEMA).options(**CSV_OPTIONS, multiLine=str(multi_line).lower()).csv(path))
 
 
 def _cleaned() -> dict[str, Column]:

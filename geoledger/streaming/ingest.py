@@ -13,18 +13,19 @@ from ..sources.registrations import CSV_OPTIONS, RAW_SCHEMA, clean_registrations
 VERSION = "data_as_of"  # raw column that dates a record
 
 
-def incremental_ingest(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str, box=M.SF_BOX) -> None:
+def incremental_ingest(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str) -> None:
     """Take up all files not seen so far, then stop.
 
     Every micro-batch is cleaned and written to its own ``batch_id`` partition;
     a batch that is run again after a failure overwrites that partition, so no
-    row is lost or doubled. :func:`current_businesses` settles which version of
-    a record holds, whatever order the files came in.
+    row is lost or doubled. All rows are kept, wherever they lie:
+    :func:`current_businesses` settles which version of a record holds, whatever
+    order the files came in, and only then looks at places.
     """
     raw = (
         spark.readStream.schema(RAW_SCHEMA).options(**{**CSV_OPTIONS, "enforceSchema": "true"}).csv(in_dir)
     )
-    cleaned = clean_registrations(without_null_tokens(raw), box, keep=[VERSION])
+    cleaned = clean_registrations(without_null_tokens(raw), None, keep=[VERSION])
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{table_dir}/batch_id={batch_id}")
@@ -43,13 +44,18 @@ def _table_schema(spark: SparkSession) -> StructType:
     return StructType([*fields, StructField("batch_id", StringType())])
 
 
-def current_businesses(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Latest version per registration: by record date, then by batch."""
+def _settled(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Latest version per registration: by record date, then by batch (the compacted base is oldest), then by content."""
     rows = spark.read.schema(_table_schema(spark)).parquet(table_dir)
-    order = [F.desc(VERSION), F.col("batch_id").cast("bigint").desc()]
+    order = [F.desc(VERSION), F.col("batch_id").try_cast("bigint").desc_nulls_last(), F.xxhash64(*[c for c in rows.columns if c != "batch_id"])]
     return latest_per_key(rows, ["unique_id"], *order).drop("batch_id")
 
 
+def current_businesses(spark: SparkSession, table_dir: str, box=M.SF_BOX) -> DataFrame:
+    """The version of every registration that holds, if it lies in ``box`` (None: anywhere or nowhere)."""
+    return _settled(spark, table_dir).where(M.in_box(F.col("longitude"), F.col("latitude"), box))
+
+
 def compact(spark: SparkSession, table_dir: str, new_dir: str) -> None:
-    """Write the current rows as batch 0 of a fresh table folder."""
-    current_businesses(spark, table_dir).write.option("compression", "zstd").parquet(f"{new_dir}/batch_id=0")
+    """Write the current rows as the base of a fresh table folder, under a name no batch number can take."""
+    _settled(spark, table_dir).write.option("compression", "zstd").parquet(f"{new_dir}/batch_id=base")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle_sql
 from checks.compare import differences, oracle_connection
 
+from geoledger.plans import catalog
+
 from .conftest import SF
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = {k: q for k, q in entry.queries().items() if k in catalog.QUERIES}, oracle_sql.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -77,7 +77,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     tokens = sites.select("host", "path", F.explode(words).alias("token"))  # an empty token is always among them or added
     literal = rules.select("rule_id", F.explode_outer("tokens").alias("token"))
     wanted = literal.select("token").distinct()
-    counts = tokens.join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(wanted, "token")
     filed = (
         literal.join(counts, "token", "left")
         .groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))

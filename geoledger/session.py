@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,6 +40,12 @@ def has_folder(spark: SparkSession) -> bool:
     return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.applicationId in _FOLDERS
 
 
+def local_folder(spark: SparkSession) -> None:
+    """For entry points: a session on one machine that names no folder gets one of its own; on a cluster nothing is assumed."""
+    if not has_folder(spark) and spark.sparkContext.master.split("[")[0] == "local":
+        use_folder(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or what :func:`use_folder` was told."""
     named = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geoledger.llm import chunk_bpe, importance, queries, simhash_bk, spaced_seeds, surrogates
 from geoledger.llm.common import table
-from geoledger.session import fresh_path
+from geoledger.session import fresh_path, local_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,12 +58,23 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(encoded)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("PII", pii),
-    ("BPE encoding and decoding", bpe),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(run: Stage) -> Stage:
+    def prepared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        local_folder(spark)
+        return run(spark, docs, sf_dir)
+
+    return prepared
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", _stage(quality_classifier)),
+    ("SimHash near-dedup", _stage(near_dedup)),
+    ("benchmark decontamination", _stage(decontamination)),
+    ("PII", _stage(pii)),
+    ("BPE encoding and decoding", _stage(bpe)),
 ]
 
 #: Fingerprints, seeds, keyed surrogates and BPE have no SQL; the tests compare the stages with brute force.
@@ -71,6 +82,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local_folder(spark)
     docs = table(spark, sf_dir, "documents", *COLUMNS)
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name.split()[0].lower()}")

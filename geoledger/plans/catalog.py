@@ -70,7 +70,7 @@ def joined(column: str) -> Column:
 
 @query
 def scan_registrations(t: Tables) -> DataFrame:
-    path = t.write_csv(t.raw_registrations(), "registrations")
+    path = t.registrations_csv()
     raw = R.scan_registrations(t.spark, path)
     names = {
         "UniqueID": "unique_id", "DBA Name": "dba_name", "Source Zipcode": "zipcode", "NAICS Code": "naics_code",
@@ -86,7 +86,7 @@ def scan_pruned(t: Tables) -> DataFrame:
 
 @query
 def scan_osm_elements(t: Tables) -> DataFrame:
-    out = FP.buildings_from_elements(FP.scan_elements(t.spark, t.write_elements()))
+    out = FP.buildings_from_elements(FP.scan_elements(t.spark, t.elements_json()))
     return out.select(
         "osm_id", "osm_type", "building_type", "building_category", "addr_street",
         F.round(F.col("height").cast("double"), 3).alias("height"), "levels", "construction_year",
@@ -217,7 +217,7 @@ def parse_us_date(t: Tables) -> DataFrame:
 
 @query
 def clean_registrations(t: Tables) -> DataFrame:
-    path = t.write_csv(t.raw_registrations(), "registrations")
+    path = t.registrations_csv()
     cleaned = R.clean_registrations(R.scan_registrations(t.spark, path))
     dates = [c for c in cleaned.columns if c.endswith("_date")]
     return cleaned.withColumns({c: F.col(c).cast("timestamp_ntz") for c in dates})

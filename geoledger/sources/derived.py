@@ -7,6 +7,7 @@ unchanged on any engine; ``{name}`` stands for an input table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +91,9 @@ from {events}
 """
 
 
+_FILES: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
     """The derived tables over one folder of test tables, all lazy."""
 
@@ -178,6 +182,19 @@ class Tables:
         none = F.lit(None).cast("string")
         return b.select(*[values.get(c, none).alias(c) for c in RAW_COLUMNS])
 
+    def file(self, label: str, write: Callable[[], str]) -> str:
+        """Path of an input file made once per session and folder of tables."""
+        key = (self.spark.sparkContext.applicationId, self.dir, label)
+        if key not in _FILES:
+            _FILES[key] = write()
+        return _FILES[key]
+
+    def registrations_csv(self) -> str:
+        return self.file("registrations", lambda: self.write_csv(self.raw_registrations(), "registrations"))
+
+    def elements_json(self) -> str:
+        return self.file("elements", self.write_elements)
+
     def write_csv(self, df: DataFrame, label: str) -> str:
         path = fresh_path(self.spark, label)
         options = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}

@@ -658,6 +658,14 @@ select cast(unique_id as varchar) as unique_id, case when unique_id % 3 = 0 then
        case when unique_id % 3 = 0 then '2030-01-01' else strftime(business_start_date, '%Y-%m-%d') end as data_as_of
 from raw where raw_lon between -122.6 and -122.3 and raw_lat between 37.7 and 37.9 and unique_id % 15 <> 0""", "raw")
 
+O["incremental_footprints"] = sql("""
+select t.osm_id, case when t.osm_id % 3 = 0 then 'house' else building_type end as building_type,
+       case when t.osm_id % 3 = 0 then 'residential' else building_category end as building_category,
+       case when t.osm_id % 3 = 0 then 2 else 1 end as version, ring.wkt as geom_wkt
+from typed t join (select osm_id, concat('POLYGON ((', string_agg(concat(cast(x as varchar), ' ', cast(y as varchar)), ', ' order by i), '))') as wkt
+                   from vertices group by osm_id) ring on ring.osm_id = t.osm_id
+where t.osm_id % 29 <> 0 and element_type = 'way'""", "typed", "vertices")
+
 # SQL functions
 O["sql_functions"] = sql(f"""
 select unique_id, naics_code, round({metres("latitude", "longitude", "37.7749::double", "(-122.4194)::double")}, 4) as meters,

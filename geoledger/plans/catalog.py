@@ -856,6 +856,16 @@ def incremental_ingest(t: Tables) -> DataFrame:
     return I.current_businesses(t.spark, table).select("unique_id", "dba_name", "zipcode", "longitude", "latitude", "data_as_of")
 
 
+@query
+def incremental_footprints(t: Tables) -> DataFrame:
+    """Two deliveries of map files, the newer versions first."""
+    inbox, table, marks = (fresh_path(t.spark, n) for n in ("map-inbox", "map-ingested", "map-checkpoint"))
+    for version, every in ((2, 3), (1, 1)):
+        t.write_elements(inbox, version, every)
+        I.incremental_footprints(t.spark, inbox, table, marks)
+    return I.current_buildings(t.spark, table).select("osm_id", "building_type", "building_category", "version", "geom_wkt")
+
+
 # SQL functions --------------------------------------------------------------
 
 

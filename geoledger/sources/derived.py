@@ -201,8 +201,8 @@ class Tables:
         df.write.options(**options).csv(path)
         return path
 
-    def write_elements(self) -> str:
-        """Footprints as map JSON documents, one per line.
+    def write_elements(self, path: str | None = None, version: int = 1, every: int = 1) -> str:
+        """Footprints as map JSON documents, one per line; newer versions are all houses.
 
         Every second ring is left open, every 29th is cut to three points,
         every 37th is a relation.
@@ -215,12 +215,13 @@ class Tables:
             "start_date": "start_date_tag", "construction_date": "construction_tag",
             "architectural_style": "style_tag", "addr:street": "street_tag",
         }
-        entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(v).alias("value")) for k, v in tags.items()])
+        kind = F.col("building_tag") if version == 1 else F.lit("house")
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), (kind if k == "building" else F.col(v)).alias("value")) for k, v in tags.items()])
         element = F.struct(
             F.col("element_type").alias("type"), osm.alias("id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
-            F.lit(1).alias("version"), geometry.alias("geometry"),
+            F.lit(version).alias("version"), geometry.alias("geometry"),
             F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("tags"),
         )
-        path = fresh_path(self.spark, "elements")
-        self.tags.select(F.array(element).alias("elements")).write.json(path)
+        path = path or fresh_path(self.spark, "elements")
+        self.tags.where(osm % every == 0).select(F.array(element).alias("elements")).write.mode("append").json(path)
         return path

@@ -50,6 +50,27 @@ def cuts(data: np.ndarray, bounds: np.ndarray, mask: int) -> np.ndarray:
     return np.union1d(firsts, at[(hashes & np.uint64(mask)) == 0])
 
 
+def last_words(text: str, width: int) -> int:
+    """Where the last ``width`` words begin, with the white space before them; 0 if there are no more."""
+    span = 256 * width
+    while True:
+        base = max(0, len(text) - span)
+        ends = [m.end() for m in WORD.finditer(text, base)]
+        if not base or len(ends) > width + 1:
+            return ends[-width - 1] if len(ends) > width else 0
+        span *= 4
+
+
+def first_words(text: str, width: int) -> int:
+    """Where the first ``width`` words end; the text's length if there are no more."""
+    end = 0
+    for n, m in enumerate(WORD.finditer(text)):
+        if n == width:
+            return end
+        end = m.end()
+    return len(text)
+
+
 class Recent:
     """Two generations of a dict: a full young one becomes the old one, so at most 2 x ``most`` entries are held."""
 
@@ -177,25 +198,20 @@ class Encoder:
         """Ids of the joined chunks, from the ids of each."""
         if self.drops_space or len(texts) < 2:
             return list(chain.from_iterable(parts))
-        ids, text, i = list(parts[0]), texts[0], 1
-        while i < len(texts):
-            right, tail = texts[i], parts[i]
-            spaces_left, spaces_right = [m.end() for m in WORD.finditer(text)], [m.end() for m in WORD.finditer(right)]
+        ids, text = list(parts[0]), texts[0]
+        for right, tail in zip(texts[1:], parts[1:]):
             width = 1
             while True:
-                whole_left, whole_right = width >= len(spaces_left), width >= len(spaces_right)
-                a = 0 if whole_left else spaces_left[-width - 1]
-                b = len(right) if whole_right else spaces_right[width - 1]
-                head, rest = self.plain([text[a:], right[:b]])
-                middle = self.plain([text[a:] + right[:b]])[0]
-                # agreement: both windows are what the chunks hold there, and the joined window begins and ends like them
-                left_ok = whole_left or (ids[len(ids) - len(head) :] == head and middle[:1] == head[:1])
-                right_ok = whole_right or (tail[: len(rest)] == rest and middle[-1:] == rest[-1:])
+                a, b = last_words(text, width), first_words(right, width)
+                head, rest, middle = self.plain([text[a:], right[:b], text[a:] + right[:b]])
+                # agreement: the chunks hold what either window holds alone, and the joined window begins and ends like them
+                left_ok = a == 0 or (ids[len(ids) - len(head) :] == head and middle[:1] == head[:1])
+                right_ok = b == len(right) or (tail[: len(rest)] == rest and middle[-1:] == rest[-1:])
                 if left_ok and right_ok:
-                    ids = ([] if whole_left else ids[: len(ids) - len(head)]) + middle + ([] if whole_right else tail[len(rest) :])
                     break
                 width *= 2
-            text, i = text[-4096:] + right if len(text) > 4096 and WORD.search(text[-4096:]) and not whole_left else text + right, i + 1
+            ids = (ids[: len(ids) - len(head)] if a else []) + middle + (tail[len(rest) :] if b < len(right) else [])
+            text += right
         return ids
 
     def encode(self, texts: list[bytes], starts: list[list[int]]) -> list[list[int]]:

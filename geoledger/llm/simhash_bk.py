@@ -214,7 +214,6 @@ def block_keys(fp: str, radius: int):
     """radius + 1 keys, one per block of bits: fingerprints within the radius agree on at least one block."""
     edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
     return F.array(*[
-        F.shiftrightunsigned(F.shiftleft(fp, BITS - b), BITS - b + a).bitwiseXOR(F.lit(i).cast("long") * (1 << 40)) if b - a < 40 else
         F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(fp, BITS - b), BITS - b + a))
         for i, (a, b) in enumerate(zip(edges, edges[1:]))
     ])

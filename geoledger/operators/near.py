@@ -212,18 +212,26 @@ def nearest_join(
         F.col("latitude").alias("business_lat"), F.col("dba_name").alias("business_name"),
     ).groupBy(*head).agg(F.count(F.lit(1)).alias("_copies"))
     points = written(named.withColumn("_row", F.xxhash64(*head)), "places")
-    right = buildings.select(
+    right = written(buildings.select(
         F.col("osm_id").alias("building_osm_id"), "building_type",
         F.col("center_lon").alias("building_lon"), F.col("center_lat").alias("building_lat"),
-    ).distinct()
-    # the other columns join back to the few rows that stay, so candidates are sorted narrow
-    pairs = _near_pairs(
-        points.select("_row", "business_lon", "business_lat"), right, max_distance_m, "meters", ("business_lon", "business_lat"),
-        ("building_lon", "building_lat"), "distance_meters", hot_rows,
-    ).drop("business_lon", "business_lat")
-    # A row_number limit is applied per task before the shuffle as well.
+    ).distinct(), "targets")
     by_distance = Window.partitionBy("_row").orderBy("distance_meters", "building_osm_id", "building_type", "building_lon", "building_lat")
-    ranked = pairs.withColumn("_rank", F.row_number().over(by_distance)).where(F.col("_rank") <= k)
+
+    def within(places: DataFrame, radius: float) -> DataFrame:
+        # the other columns join back to the few rows that stay, so candidates are sorted narrow
+        pairs = _near_pairs(
+            places.select("_row", "business_lon", "business_lat"), right, radius, "meters", ("business_lon", "business_lat"),
+            ("building_lon", "building_lat"), "distance_meters", hot_rows,
+        ).drop("business_lon", "business_lat")
+        # A row_number limit is applied per task before the shuffle as well.
+        return pairs.withColumn("_rank", F.row_number().over(by_distance)).where(F.col("_rank") <= k)
+
+    # k matches within a quarter of the way are the nearest ones; only the other businesses look further
+    close = written(within(points, max_distance_m / 4), "close-matches")
+    settled = close.where(F.col("_rank") == k).select("_row")
+    rest = written(points.join(settled, "_row", "left_anti").select("_row", "business_lon", "business_lat"), "places")
+    ranked = close.join(settled, "_row", "left_semi").unionByName(within(rest, max_distance_m))
 
     def with_names(rows: DataFrame) -> DataFrame:
         every = rows.join(points, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))

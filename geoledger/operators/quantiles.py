@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BUCKETS = 65_536
 SKETCH = 4096
 SHARDS = 256  # sketches that are merged per column in the end, however many tasks there are
@@ -31,9 +33,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     parts = long.withColumn("shard", shard).groupBy("column", "shard").agg(
         F.count("x").alias("n"), F.kll_sketch_agg_double("x", F.lit(SKETCH)).alias("s")
     )
-    sketch = parts.groupBy("column").agg(
+    # written, as a sketch drawn again would give other brackets; a row per column
+    sketch = written(parts.groupBy("column").agg(
         F.sum("n").alias("total"), F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("s", F.lit(SKETCH)), marks).alias("marks")
-    )
+    ), "brackets")
     brackets = F.array(*[
         F.struct(F.lit(float(p)).alias("probability"), F.col("marks")[2 * i].alias("lo"), F.col("marks")[2 * i + 1].alias("hi"))
         for i, p in enumerate(probabilities)

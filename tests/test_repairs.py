@@ -172,3 +172,16 @@ def test_scratch_tables_are_removed(spark):
         written(spark.range(3), "gone")
         assert any(n.startswith("gone") for n in os.listdir(f"{shared_dir(spark)}/geoledger"))
     assert not any(n.startswith("gone") for n in os.listdir(f"{shared_dir(spark)}/geoledger"))
+
+
+def test_quantiles_of_many_rows_and_far_outliers(spark):
+    from geoledger.operators.quantiles import exact_quantiles
+
+    df = spark.range(0, 60_001, 1, 7).select(
+        F.when(F.col("id") % 1000 == 0, 1e12).otherwise((F.col("id") * 7919 % 60_001).cast("double")).alias("x"), F.lit(2.0).alias("y"), F.lit(None).cast("double").alias("z"),
+    )
+    import numpy as np
+
+    x = [r.x for r in df.collect()]
+    got = {(r.column, r.probability): r.value for r in exact_quantiles(df, ["x", "y", "z"], [0.0, 0.25, 0.5, 0.9995, 1.0]).collect()}
+    assert got == {("x", p): float(np.quantile(x, p)) for p in (0.0, 0.25, 0.5, 0.9995, 1.0)} | {("y", p): 2.0 for p in (0.0, 0.25, 0.5, 0.9995, 1.0)}

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Sequence
 from functools import cached_property
 from itertools import chain
@@ -230,6 +231,17 @@ class Encoder:
         return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
 
 
+_HELD: dict[str, Encoder] = {}
+
+
+def held_encoder(name: str, path: str, shared) -> Encoder:
+    """The encoder of this worker process, kept with its bounded caches from task to task; one at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Encoder(path, shared.value)
+    return _HELD[name]
+
+
 def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63, most: int = 16_384, longest: int = 4096) -> dict[bytes, list[int]]:
     """Ids of up to ``most`` chunks of at most ``longest`` bytes whose reuse saves most, over all documents.
 
@@ -301,12 +313,10 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", mask: int
     or empty text has no ids. No row moves: chunk counts are the only shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, mask, most_shared))
-    held: dict[str, Encoder] = {}
+    name = uuid.uuid4().hex
 
     def make(_texts, data, bounds):
-        if "encoder" not in held:
-            held["encoder"] = Encoder(path, shared.value)
-        encoder = held["encoder"]
+        encoder = held_encoder(name, path, shared)
         at = cuts(data, bounds, mask)
         raw, ends = data.tobytes(), bounds[1:].tolist()
         spans = np.split(at, np.searchsorted(at, bounds[1:-1]))

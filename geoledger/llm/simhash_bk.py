@@ -102,9 +102,9 @@ class BKTree:
 
 def shard_links(
     tree_values: np.ndarray, probe_values: np.ndarray, tree_groups: np.ndarray, probe_groups: np.ndarray, radius: int,
-    same: Callable[[int, int], bool] | None = None,
+    alike: Callable[[int, np.ndarray], np.ndarray] | None = None,
 ) -> list[tuple[int, int]]:
-    """Links (node, probe) that join groups not yet joined; ``same`` confirms a pair before it counts.
+    """Links (node, probe) that join groups not yet joined; ``alike`` says which probes a node may be linked with.
 
     Groups are numbers >= 0; equal ones are joined already. What is left out
     would join nothing new.
@@ -114,19 +114,45 @@ def shard_links(
     for node, near in tree.within(probe_values, radius):
         mine = root[tree_groups[node]]
         apart = near[root[probe_groups[near]] != mine]
+        if len(apart) and alike is not None:
+            apart = alike(node, apart)
         while len(apart):
             probe = int(apart[0])
             theirs = root[probe_groups[probe]]
-            if same is None or same(node, probe):
-                links.append((node, probe))
-                mine, old = min(mine, theirs), max(mine, theirs)
-                root[root == old] = mine
-                apart = apart[root[probe_groups[apart]] != mine]
-            else:
-                apart = apart[1:]
+            links.append((node, probe))
+            mine, old = min(mine, theirs), max(mine, theirs)
+            root[root == old] = mine
+            apart = apart[root[probe_groups[apart]] != mine]
     return links
 
 
+class Alike:
+    """Exact Jaccard similarity of one node's shingles with those of many probes at once, over shingles numbered anew."""
+
+    def __init__(self, nodes: list[np.ndarray], probes: list[np.ndarray], least: float) -> None:
+        self.least = least
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (nodes, probes)]
+        (self.node_size, self.probe_size), split = sizes, int(sizes[0].sum())
+        every, ids = np.unique(np.concatenate([*nodes, *probes]), return_inverse=True)
+        self.node_ids, self.probe_ids = ids[:split], ids[split:]
+        self.node_at, self.probe_at = (np.append(0, np.cumsum(x)) for x in sizes)
+        self.mark = np.zeros(len(every), bool)
+
+    def __call__(self, node: int, probes: np.ndarray) -> np.ndarray:
+        n, m = self.node_size[node], self.probe_size[probes]
+        probes = probes[(np.minimum(n, m) >= self.least * np.maximum(n, m)) & (m > 0)]
+        own = self.node_ids[self.node_at[node] : self.node_at[node + 1]]
+        self.mark[own] = True
+        a, b = self.probe_at[probes], self.probe_at[probes + 1]
+        if len(probes) > 16:
+            sums = np.append(0, np.cumsum(self.mark[self.probe_ids]))
+            both = sums[b] - sums[a]
+        else:
+            both = np.array([np.count_nonzero(self.mark[self.probe_ids[i:j]]) for i, j in zip(a, b)], np.int64)
+        self.mark[own] = False
+        return probes[both >= self.least * (n + self.probe_size[probes] - both)]
+
+
 def _stream(key_columns: list[str], work: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> Callable:
     """Run ``work`` on each key's rows of a sorted partition; one key's rows, bounded by the sharding, are held at a time."""
 
@@ -162,23 +188,13 @@ def sharded_links(members: DataFrame, radius: int, min_similarity: float | None
     """
     checked = min_similarity is not None
 
-    def same_of(left: pd.Series, right: pd.Series) -> Callable[[int, int], bool] | None:
-        if not checked:
-            return None
-
-        def same(i: int, j: int) -> bool:
-            x, y = left.iloc[i], right.iloc[j]
-            if min(len(x), len(y)) < min_similarity * max(len(x), len(y)):
-                return False
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both >= min_similarity * (len(x) + len(y) - both)
-
-        return same
+    def alike(left: pd.Series, right: pd.Series) -> Alike:
+        return Alike(left.tolist(), right.tolist(), min_similarity)
 
     def inside(part: pd.DataFrame) -> list[tuple[int, int]]:
         nodes, values = part["node"].to_numpy(), part["fp"].to_numpy(np.int64).view(np.uint64)
         own = np.arange(len(part))
-        found = shard_links(values, values, own, own, radius, same_of(part["shingles"], part["shingles"]) if checked else None)
+        found = shard_links(values, values, own, own, radius, alike(part["shingles"], part["shingles"]) if checked else None)
         return [(int(nodes[i]), int(nodes[j])) for i, j in found]
 
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SHARD_ROWS))
@@ -202,8 +218,8 @@ def sharded_links(members: DataFrame, radius: int, min_similarity: float | None
         is_tree = part["tree"].to_numpy(bool)
         t, p = np.flatnonzero(is_tree), np.flatnonzero(~is_tree)
         nodes, values = part["node"].to_numpy(), part["fp"].to_numpy(np.int64).view(np.uint64)
-        same = same_of(part["shingles"].iloc[t], part["shingles"].iloc[p]) if checked else None
-        return [(int(nodes[t[i]]), int(nodes[p[j]])) for i, j in shard_links(values[t], values[p], groups[t], groups[p], radius, same)]
+        confirm = alike(part["shingles"].iloc[t], part["shingles"].iloc[p]) if checked else None
+        return [(int(nodes[t[i]]), int(nodes[p[j]])) for i, j in shard_links(values[t], values[p], groups[t], groups[p], radius, confirm)]
 
     pair = ["key", "low", "high"]
     more = met.repartition(*pair).sortWithinPartitions(*pair).mapInPandas(_stream(pair, across), "a long, b long")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import connected, mixed, with_columns
+from .common import connected, filter_words, in_filter, mixed, text_slices, with_columns
 
 BITS = 64
 SHARD_ROWS = 2048
@@ -177,14 +177,15 @@ def _stream(key_columns: list[str], work: Callable[[pd.DataFrame], list[tuple[in
     return run
 
 
-def sharded_links(members: DataFrame, radius: int, min_similarity: float | None = None) -> DataFrame:
-    """Links (a, b) between nodes that share a shard: (key, node, fp, shingles).
+def sharded_links(members: DataFrame, radius: int, min_similarity: float | None = None, shingles: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between nodes that share a shard: (key, node, fp).
 
     Shards of more than SHARD_ROWS members are cut into blocks by a hash of the
     node: first every block is searched for itself, then blocks of one shard
     meet in pairs, where members joined already are passed over. With
     ``min_similarity`` a link also needs that Jaccard similarity of the
-    ``shingles`` (sorted distinct int arrays).
+    ``shingles``: (node, shingles), distinct ints, joined to members last, as
+    they are by far the widest column.
     """
     checked = min_similarity is not None
 
@@ -199,9 +200,12 @@ def sharded_links(members: DataFrame, radius: int, min_similarity: float | None
 
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SHARD_ROWS))
     shared = members.join(sizes.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    columns = ["node", "fp", *(["shingles"] if checked else [])]
     keys = ["key", "block"]
-    dealt = shared.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
+
+    def wide(rows: DataFrame) -> DataFrame:
+        return rows.join(shingles, "node") if checked else rows
+
+    dealt = wide(shared.select(*keys, "node", "fp")).repartition(*keys).sortWithinPartitions(*keys)
     links = written(dealt.mapInPandas(_stream(keys, inside), "a long, b long").distinct(), "near-links")
     large = written(sizes.where("blocks > 1").select("key", "blocks"), "large-shards")
     if large.isEmpty():
@@ -210,7 +214,7 @@ def sharded_links(members: DataFrame, radius: int, min_similarity: float | None
     joined = connected(links, "near-parts")
     names = shared.join(large.select("key"), "key", "left_semi").join(joined, "node", "left").withColumn("part", F.coalesce("root", "node"))
     met = names.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block").select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") < F.col("other")).alias("tree"), "part", *columns
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") < F.col("other")).alias("tree"), "part", "node", "fp"
     )
 
     def across(part: pd.DataFrame) -> list[tuple[int, int]]:
@@ -222,7 +226,7 @@ def sharded_links(members: DataFrame, radius: int, min_similarity: float | None
         return [(int(nodes[t[i]]), int(nodes[p[j]])) for i, j in shard_links(values[t], values[p], groups[t], groups[p], radius, confirm)]
 
     pair = ["key", "low", "high"]
-    more = met.repartition(*pair).sortWithinPartitions(*pair).mapInPandas(_stream(pair, across), "a long, b long")
+    more = wide(met).repartition(*pair).sortWithinPartitions(*pair).mapInPandas(_stream(pair, across), "a long, b long")
     return links.unionByName(written(more.distinct(), "near-links"))
 
 
@@ -283,17 +287,26 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 14, min_similarit
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
     dealt = written(nodes.select(F.posexplode("keys").alias("t", "k"), "node", "fp", F.col("first.row_key").alias("row_key")).select(F.xxhash64("t", "k").alias("key"), "node", "fp", "row_key"), "near-shards")
     shared = dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
-    wanted = written(shared.select("node", "row_key").distinct(), "near-members")
+    shared = written(shared.select("key", "node", "fp", "row_key"), "near-shared")
+    wanted = shared.select("node", "row_key").distinct()
+    words, bits = filter_words(wanted, "row_key", wanted.count(), 32)
+    passes = docs.sparkSession.sparkContext.broadcast(words)  # a bit filter, of bounded size
 
-    def shingled(_texts, data, bounds):
-        raw, at = data.tobytes(), bounds.tolist()
-        low = np.uint64(0xFFFFFFFF)
-        return [pa.array([np.unique((shingle_hashes(raw[a:b], width) & low).astype(np.uint32)).view(np.int32) for a, b in zip(at, at[1:])], pa.list_(pa.int32()))]
-
-    texts = source.withColumn("row_key", F.xxhash64("doc_id", "text")).join(wanted, "row_key")
-    shingles = written(with_columns(texts.select("node", "text"), "text", "shingles array<int>", shingled).select("node", "shingles").dropDuplicates(["node"]), "near-shingles")
-    members = shared.select("key", "node", "fp").join(shingles, "node").select("key", "node", "fp", "shingles")
-    roots = connected(sharded_links(members, radius, min_similarity), "near-groups")
+    def shingled(batches):
+        low, seen = np.uint64(0xFFFFFFFF), set()
+        for batch in batches:
+            for part, data, at in text_slices(batch, "text"):
+                names = part.column("row_key").to_numpy()
+                rows = [i for i in np.flatnonzero(in_filter(passes.value, bits, names.view(np.uint64))).tolist() if names[i] not in seen]
+                seen.update(names[rows].tolist())
+                raw = data.tobytes()
+                sets = [np.unique((shingle_hashes(raw[at[i] : at[i + 1]], width) & low).astype(np.uint32)).view(np.int32) for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["row_key", "shingles"])
+
+    # texts stay where they are: the filter picks those that share a shard, and a few more that the join drops
+    texts = source.select("text", F.xxhash64("doc_id", "text").alias("row_key"))
+    shingles = written(texts.mapInArrow(shingled, "row_key long, shingles array<int>").join(wanted, "row_key").select("node", "shingles"), "near-shingles")
+    roots = connected(sharded_links(shared.select("key", "node", "fp"), radius, min_similarity, shingles), "near-groups")
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("best"))
     final = placed.join(names, "root").select("node", F.col("best.doc_id").alias("group_id"), F.col("best.row_key").alias("best_key"))

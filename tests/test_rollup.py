@@ -85,17 +85,18 @@ def test_upserts(spark):
 
 def test_pyramid_counts_agree_on_every_level(tables):
     located = tables.businesses.where("longitude is not null").count()
-    levels = Z.zoom_pyramid(tables.businesses, capped=False)
+    levels = Z.zoom_pyramid(tables.businesses)
     sums = {r.zoom_level: r.n for r in levels.groupBy("zoom_level").agg(F.sum("business_count").alias("n")).collect()}
     assert sums == {z: located for z in range(1, 13)}
-    capped = {r.zoom_level: r.features for r in Z.pyramid_summary(Z.zoom_pyramid(tables.businesses)).collect()}
-    assert all(capped[z] <= (200 if z <= 8 else 1000) for z in capped)
+    top = {r.zoom_level: r.features for r in Z.pyramid_summary(Z.zoom_pyramid(tables.businesses, top=20)).collect()}
+    cells = {r.zoom_level: r.features for r in Z.pyramid_summary(levels).collect()}
+    assert top == {z: min(20, n) for z, n in cells.items()} and max(cells.values()) > 20
 
 
 def test_pyramid_box_and_single_family(tables):
     box = (-122.42, 37.765, -122.40, 37.78)
     inside = tables.businesses.where("longitude between -122.42 and -122.40 and latitude between 37.765 and 37.78").count()
-    only = Z.zoom_pyramid(tables.businesses, [10], box, capped=False)
+    only = Z.zoom_pyramid(tables.businesses, [10], box)
     assert only.agg(F.sum("business_count")).first()[0] == inside
     with pytest.raises(ValueError):
         Z.zoom_pyramid(tables.businesses, [15])

@@ -9,6 +9,7 @@ components; a shard reports a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,11 @@ from .common import connected, filter_words, in_filter, mixed, text_slices, with
 
 BITS = 64
 SHARD_ROWS = 2048
+PARITY_BITS = 256
+#: A prefix shares 1 + n // SHARED hashes with that of any similar set, n being the smaller size.
+SHARED = 32
+#: One in SAMPLED shingles tells which are frequent; at most FREQUENT of those are told to all tasks.
+SAMPLED, FREQUENT = 32, 1 << 18
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -257,56 +263,171 @@ def near_components(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: st
     return rows.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def node_name(distinct: np.ndarray) -> int:
+    """Signed hash of a set of shingle hashes."""
+    total = mixed(distinct).sum(dtype=np.uint64) ^ np.uint64(len(distinct))
+    return int(mixed(np.array([total]))[0].astype(np.int64))
+
+
+def parity(distinct: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as signed longs: one hash flips one bit, so two sets differ in at least as many hashes as their bits differ."""
+    odd = np.bincount((mixed(distinct) >> np.uint64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix_length(n: int, least: float) -> int:
+    """So many hashes, first by any order common to all sets, share 1 + m // SHARED with those of any set of Jaccard similarity ``least`` or more; m is the smaller size."""
+    return min(n, n - math.ceil(least * n - 1e-6) + 1 + n // SHARED)
+
+
+def frequent_hashes(sampled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes seen often in a column of samples, at most FREQUENT of them, and the size class of each; they only order the hashes."""
+    counts = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("h", F.floor(F.log2("n")).cast("int").alias("class"))
+    counts = written(counts, "near-frequent")
+    least, held = 64, 0
+    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["class"]
+    rows = counts.where(F.col("class") >= least).toPandas()
+    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["class"].to_numpy(np.uint8)[order]
+
+
+def open_pairs(texts: DataFrame, parts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different parts that may have a Jaccard similarity of ``least`` or more; none that has is left out.
+
+    Each set of shingles is keyed by its prefix: its first hashes in an order
+    common to all sets, frequent ones last. Keys that lie within one part are
+    done. Under the others, a pair stays if neither its sizes, its parity bits
+    nor the number of keys it shares rule it out; crowded keys are cut into
+    pairs of blocks of SHARD_ROWS.
+    ``parts`` is (node, root); a node it lacks is a part of its own.
+    """
+    spark = texts.sparkSession
+    ordered = spark.sparkContext.broadcast(frequent)  # of bounded size
+
+    def prefixes(batches):
+        common, classes = ordered.value
+        seen: set[int] = set()
+        for batch in batches:
+            for _, data, bounds in text_slices(batch, "text"):
+                raw, at, out = data.tobytes(), bounds.tolist(), []
+                for a, b in zip(at, at[1:]):
+                    distinct = np.unique(shingle_hashes(raw[a:b], width))
+                    if not len(distinct) or (node := node_name(distinct)) in seen:
+                        continue
+                    seen.add(node)
+                    first = distinct
+                    if len(common):
+                        spot = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+                        first = distinct[np.argsort(np.where(common[spot] == distinct, classes[spot], 0), kind="stable")]
+                    out.append((node, len(distinct), parity(distinct), first[: prefix_length(len(distinct), least)].view(np.int64)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["node", "n", "bits", "keys"])
+
+    types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    heads = texts.select("text").mapInArrow(prefixes, "node long, n long, bits array<long>, keys array<long>")
+    heads = written(heads.dropDuplicates(["node"]).join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "n", "bits", "keys"), "near-heads")
+    ends = heads.select(F.explode("keys").alias("key"), "part").groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count(F.lit(1)).alias("n"))
+    keys = written(ends.where("first <> last").select("key", F.ceil(F.col("n") / SHARD_ROWS).alias("blocks")), "near-open")
+    words, bits = filter_words(keys, "key", keys.count(), 32)
+    passes = spark.sparkContext.broadcast(words)  # a bit filter, of bounded size
+
+    def picked(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("keys")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            ok = np.flatnonzero(in_filter(passes.value, bits, flat.view(np.uint64)))
+            for lo in range(0, len(ok), 1 << 14):
+                some = ok[lo : lo + (1 << 14)]
+                own = batch.select(["node", "part", "n", "bits"]).take(pa.array(row[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[some]), *own.columns], names=["key", *own.schema.names])
+
+    members = heads.mapInArrow(picked, "key long, node long, part long, n long, bits array<long>").join(keys, "key")
+    met = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "part", "n", "bits")
+    met = written(met, "near-members")
+    here, there = met.alias("a"), met.alias("b")
+    differ = " + ".join(f"bit_count(a.bits[{i}] ^ b.bits[{i}])" for i in range(PARITY_BITS // 64))
+    kept = F.expr(
+        "a.key = b.key and a.low = b.low and a.high = b.high and a.node < b.node and a.part <> b.part and (a.low = a.high or a.block <> b.block)"
+        f" and least(a.n, b.n) >= {least}D * greatest(a.n, b.n) - 1e-6D and {differ} <= (a.n + b.n) * {(1 - least) / (1 + least)!r}D + 1e-6D"
+    )
+    pairs = here.join(there, kept).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.least("a.n", "b.n").alias("n"))
+    return pairs.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= 1 + n div {SHARED}").select("a", "b")
+
+
 def near_groups(docs: DataFrame, width: int = 5, radius: int = 14, min_similarity: float = 0.8, tables: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_key, doc_id, group_id) per distinct (doc_id, text): groups of texts whose word shingles are alike.
 
-    Shards are keyed by the smallest of the shingle hashes under ``tables``
-    orders: texts of similarity s share one with probability s, so a pair at 0.8
-    is missed with probability 0.2 ** tables. Within a shard the BK-tree gives
-    the pairs whose fingerprints differ in at most ``radius`` bits, and the exact
-    Jaccard similarity of their shingles decides. Texts with the same shingles
-    are one node. Texts without words form one group.
+    Exact: every pair of a Jaccard similarity of ``min_similarity`` or more is
+    linked, in two steps. The first links most at little cost: shards are keyed
+    by the smallest of the shingle hashes under ``tables`` orders, a BK-tree
+    gives the pairs whose fingerprints differ in at most ``radius`` bits, and
+    the similarity of their shingles decides. The second finds what the first
+    missed between the groups made so far, see :func:`open_pairs`; ``tables``
+    and ``radius`` only divide the work. Texts with the same shingles are one
+    node. Texts without words form one group.
     """
     salts = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(tables)]
 
     def make(_texts, data, bounds):
         raw, at = data.tobytes(), bounds.tolist()
-        fps, nodes, keys = [], [], []
+        fps, nodes, keys, samples = [], [], [], []
         for a, b in zip(at, at[1:]):
             h = shingle_hashes(raw[a:b], width)
             fps.append(signed(fingerprint(h)))
             distinct = np.unique(h)
-            total = mixed(distinct).sum(dtype=np.uint64) ^ np.uint64(len(distinct))
-            nodes.append(int(mixed(np.array([total]))[0].astype(np.int64)))
+            nodes.append(node_name(distinct))
             keys.append([int(mixed(distinct ^ s).min().astype(np.int64)) if len(distinct) else 0 for s in salts])
-        return pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))
+            drawn = mixed(distinct ^ np.uint64(nodes[-1] % (1 << 64))) % np.uint64(SAMPLED) == 0
+            samples.append(distinct[drawn].view(np.int64))
+        return pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int64()))
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = with_columns(source.withColumn("row_key", F.xxhash64("doc_id", "text")), "text", "fp long, node long, keys array<long>", make)
+    made = with_columns(source.withColumn("row_key", F.xxhash64("doc_id", "text")), "text", "fp long, node long, keys array<long>, sample array<long>", make)
     rows = written(made.drop("text"), "near-rows")
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
     dealt = written(nodes.select(F.posexplode("keys").alias("t", "k"), "node", "fp", F.col("first.row_key").alias("row_key")).select(F.xxhash64("t", "k").alias("key"), "node", "fp", "row_key"), "near-shards")
     shared = dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
     shared = written(shared.select("key", "node", "fp", "row_key"), "near-shared")
-    wanted = shared.select("node", "row_key").distinct()
-    words, bits = filter_words(wanted, "row_key", wanted.count(), 32)
-    passes = docs.sparkSession.sparkContext.broadcast(words)  # a bit filter, of bounded size
-
-    def shingled(batches):
-        low, seen = np.uint64(0xFFFFFFFF), set()
-        for batch in batches:
-            for part, data, at in text_slices(batch, "text"):
-                names = part.column("row_key").to_numpy()
-                rows = [i for i in np.flatnonzero(in_filter(passes.value, bits, names.view(np.uint64))).tolist() if names[i] not in seen]
-                seen.update(names[rows].tolist())
-                raw = data.tobytes()
-                sets = [np.unique((shingle_hashes(raw[at[i] : at[i + 1]], width) & low).astype(np.uint32)).view(np.int32) for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["row_key", "shingles"])
-
-    # texts stay where they are: the filter picks those that share a shard, and a few more that the join drops
     texts = source.select("text", F.xxhash64("doc_id", "text").alias("row_key"))
-    shingles = written(texts.mapInArrow(shingled, "row_key long, shingles array<int>").join(wanted, "row_key").select("node", "shingles"), "near-shingles")
-    roots = connected(sharded_links(shared.select("key", "node", "fp"), radius, min_similarity, shingles), "near-groups")
+
+    def shingle_sets(wanted: DataFrame, whole: bool) -> DataFrame:
+        """(node, shingles) of the texts named by (node, row_key): distinct hashes, whole ones or their low 32 bits."""
+        words, bits = filter_words(wanted, "row_key", wanted.count(), 32)
+        passes = docs.sparkSession.sparkContext.broadcast(words)  # a bit filter, of bounded size
+
+        def shingled(batches):
+            seen = set()
+            for batch in batches:
+                for part, data, at in text_slices(batch, "text"):
+                    names = part.column("row_key").to_numpy()
+                    rows = [i for i in np.flatnonzero(in_filter(passes.value, bits, names.view(np.uint64))).tolist() if names[i] not in seen]
+                    seen.update(names[rows].tolist())
+                    raw = data.tobytes()
+                    hashes = [shingle_hashes(raw[at[i] : at[i + 1]], width) for i in rows]
+                    sets = [np.unique(h).view(np.int64) if whole else np.unique(h.astype(np.uint32)).view(np.int32) for h in hashes]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(sets, pa.list_(pa.int64() if whole else pa.int32()))], names=["row_key", "shingles"])
+
+        # texts stay where they are: the filter picks the wanted ones, and a few more that the join drops
+        found = texts.mapInArrow(shingled, f"row_key long, shingles array<{'long' if whole else 'int'}>").join(wanted, "row_key")
+        return written(found.select("node", "shingles").dropDuplicates(["node"]) if whole else found.select("node", "shingles"), "near-shingles")
+
+    links = sharded_links(shared.select("key", "node", "fp"), radius, min_similarity, shingle_sets(shared.select("node", "row_key").distinct(), False))
+    parts = written(connected(links, "near-groups"), "near-parts")
+    pairs = written(open_pairs(texts, parts, frequent_hashes(rows.select(F.explode("sample").alias("h"))), width, min_similarity), "near-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(written(nodes.select("node", F.col("first.row_key").alias("row_key")).join(ends, "node", "left_semi"), "near-ends"), True)
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    late = both.where(F.col("both") >= F.lit(min_similarity) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    roots = connected(parts.toDF("a", "b").unionByName(written(late, "near-late")), "near-groups")
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("best"))
     final = placed.join(names, "root").select("node", F.col("best.doc_id").alias("group_id"), F.col("best.row_key").alias("best_key"))

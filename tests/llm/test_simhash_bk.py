@@ -109,3 +109,43 @@ def test_similar_groups(spark):
     wanted = plain_components(sorted(texts), alike)
     got = {r["doc_id"]: r["group_id"] for r in simhash_bk.near_groups(docs, radius=64, tables=12).collect()}
     assert got == wanted
+
+
+def test_no_pair_at_the_limit_is_lost(spark):
+    """Lone pairs at 0.80 to 0.85: many differ in over 14 bits, some share none of four min-hashes."""
+    rng = random.Random(4)
+    texts, pairs, far, n = {}, [], 0, 0
+    shingles = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    common = [f"c{i}" for i in range(30)]  # a passage of all texts
+    while len(pairs) < 300:
+        base = [*common, *[f"w{rng.randrange(10**6)}" for _ in range(rng.randint(100, 400))]]
+        copy = list(base)
+        for _ in range(rng.randint(3, 12)):
+            copy[rng.randrange(30, len(copy))] = f"w{rng.randrange(10**6)}"
+        a, b = shingles(base), shingles(copy)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            texts[n], texts[n + 1] = " ".join(base), " ".join(copy)
+            far += (plain_fingerprint(texts[n], 5) ^ plain_fingerprint(texts[n + 1], 5)).bit_count() > 14
+            pairs.append((n, n + 1))
+            n += 2
+    assert far
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash_bk.near_groups(docs).collect()}
+    assert got == {i: a for a, b in pairs for i in (a, b)}
+
+
+def test_second_step_alone_is_exact_with_crowded_keys(spark, monkeypatch):
+    """Without any link from the first step, keys of all texts cut into blocks give the same groups."""
+    monkeypatch.setattr(simhash_bk, "SHARD_ROWS", 8)
+    rng = random.Random(6)
+    texts = {}
+    for n in range(60):
+        words = [f"x{i}" for i in range(60)]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+        texts[n] = " ".join(words)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    wanted = plain_components(sorted(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash_bk.near_groups(docs, radius=-1).collect()}
+    assert got == wanted

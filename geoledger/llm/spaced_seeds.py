@@ -9,6 +9,9 @@ laid side by side and compared token by token.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +24,28 @@ from .common import SpanHasher, filter_words, in_filter, mixed, runs, text_slice
 MASKS = ("1110111", "11010111", "110110011", "1011001101")
 SPAN = max(map(len, MASKS))
 CONTEXT = 64
+#: From this many tokens on, the masks survive every substitution that 80 % identity allows.
+SAFE = 12
+
+
+def short_masks(width: int, identity: float) -> list[str]:
+    """Masks over a whole window of ``width`` tokens: whichever tokens ``identity`` lets differ, one mask ignores them all.
+
+    With k such tokens the window is cut into 2 k + 1 blocks (of one token at
+    least), and each mask ignores k of them.
+    """
+    k = width - math.ceil(identity * width - 1e-9)
+    blocks = np.array_split(np.arange(width), min(width, 2 * k + 1))
+    out = []
+    for gone in combinations(blocks, min(k, len(blocks))):
+        ignored = {int(x) for block in gone for x in block}
+        out.append("".join("0" if i in ignored else "1" for i in range(width)))
+    return out
+
+
+def numbered_masks(widths: list[int], identity: float) -> list[tuple[int, str]]:
+    """The fixed masks and those of short windows, each with its number."""
+    return [*enumerate(MASKS, 1), *((w << 16 | i, m) for w in widths for i, m in enumerate(short_masks(w, identity)))]
 
 
 def _kinds() -> np.ndarray:
@@ -45,16 +70,16 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return SpanHasher(data)(starts, ends), rows
 
 
-def seed_hashes(tokens: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def seed_hashes(tokens: np.ndarray, rows: np.ndarray, masks: list[tuple[int, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per mask: first token and hash of every placement that lies within one row."""
     out = []
-    for number, mask in enumerate(MASKS):
+    for number, mask in masks:
         n = len(tokens) - len(mask) + 1
         if n <= 0:
             out.append((np.empty(0, np.int64), np.empty(0, np.uint64)))
             continue
         at = np.flatnonzero(rows[:n] == rows[len(mask) - 1 :])
-        h = np.full(len(at), number + 1, np.uint64)
+        h = np.full(len(at), number, np.uint64)
         for k, bit in enumerate(mask):
             if bit == "1":
                 h = (h + tokens[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -63,15 +88,19 @@ def seed_hashes(tokens: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, at, tokens) of every placement of every mask in (item_id, text)."""
+def benchmark_seeds(items: DataFrame, masks: list[tuple[int, str]], min_tokens: int) -> DataFrame:
+    """(seed, item_id, at) of every placement of every mask in (item_id, text); masks of short windows fit windows of their width only."""
 
     def run(batches):
         for batch in batches:
             for part, _, _ in text_slices(batch, "text"):
                 tokens, rows = token_hashes(part.column("text"))
                 first = np.searchsorted(rows, np.arange(part.num_rows))
-                for at, h in seed_hashes(tokens, rows):
+                widths = np.minimum(np.bincount(rows, minlength=part.num_rows), min_tokens)
+                for (number, mask), (at, h) in zip(masks, seed_hashes(tokens, rows, masks)):
+                    if number > len(MASKS):
+                        fits = widths[rows[at]] == len(mask)
+                        at, h = at[fits], h[fits]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h.view(np.int64)), part.column("item_id").take(pa.array(rows[at])), pa.array((at - first[rows[at]]).astype(np.int32)),
                     ], names=["seed", "item_id", "at"])
@@ -92,7 +121,7 @@ def item_tokens(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, "item_id long, item array<long>")
 
 
-def suspects(docs: DataFrame, words, bits: int) -> DataFrame:
+def suspects(docs: DataFrame, words, bits: int, masks: list[tuple[int, str]]) -> DataFrame:
     """Stretches of documents with placements that pass the bit filter.
 
     (doc_id, stretch, base, seeds array<struct<seed, at>>, tokens): a stretch
@@ -106,7 +135,7 @@ def suspects(docs: DataFrame, words, bits: int) -> DataFrame:
         for batch in batches:
             for part, _, _ in text_slices(batch, "text"):
                 tokens, rows = token_hashes(part.column("text"))
-                found = [(at[ok], h[ok]) for at, h in seed_hashes(tokens, rows) for ok in [in_filter(shared.value, bits, h)]]
+                found = [(at[ok], h[ok]) for at, h in seed_hashes(tokens, rows, masks) for ok in [in_filter(shared.value, bits, h)]]
                 at, h = (np.concatenate(x) for x in zip(*found))
                 if not len(at):
                     continue
@@ -152,18 +181,22 @@ def overlaps(docs: DataFrame, items: DataFrame, min_tokens: int = 13, identity:
     of the item, if it has fewer) of which at least ``identity`` are equal; the
     longest of an alignment is returned. ``docs`` needs (doc_id, text), ``items``
     (item_id, text). Texts are read whole; null ones are empty. A document may
-    be named several times if doc_id repeats. Tokens shorter than a mask
-    together have no seed, so items below seven tokens are found by nothing.
+    be named several times if doc_id repeats. Windows of fewer than SAFE tokens
+    have masks of their own, so short items are found under every substitution
+    that ``identity`` allows; documents are searched with the masks of those
+    widths only that the benchmark has.
 
     The filter handed to all tasks is at most 16 MB, and thin enough that few
     placements pass by chance. Its false positives end in the join, which is on the hash and is split where one passage is in very
     many documents.
     """
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    seeds = written(benchmark_seeds(bench).distinct(), "benchmark-seeds")
+    widths = item_tokens(bench).select(F.least(F.size("item"), F.lit(min_tokens)).alias("width")).where(f"width between 1 and {SAFE - 1}").distinct()
+    masks = numbered_masks(sorted(r["width"] for r in widths.collect()), identity)
+    seeds = written(benchmark_seeds(bench, masks, min_tokens).distinct(), "benchmark-seeds")
     words, bits = filter_words(seeds.select("seed").distinct(), "seed", seeds.count(), 2048)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = written(suspects(source, words, bits), "suspects")
+    found = written(suspects(source, words, bits, masks), "suspects")
     placed = found.select("row_key", "doc_id", "stretch", F.inline("seeds"))
     hits = placed.withColumnRenamed("at", "doc_at").join(seeds, "seed").select("doc_id", "row_key", "stretch", "item_id", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
     sided = hits.join(found.select("row_key", "stretch", "base", "tokens"), ["row_key", "stretch"]).join(item_tokens(bench), "item_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -74,3 +75,17 @@ def test_query_on_whole_table(spark):
     read = lambda name, key: {r[key]: r["text"] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(key, "text").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op4_spaced_seeds"](spark, SF).collect()}
     assert got and got == plain_pairs(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+def test_short_items_under_every_allowed_substitution(spark):
+    items = {n: " ".join(f"i{n}x{k}" for k in range(n)) for n in range(1, 14)}
+    docs, planted = [], set()
+    for n, text in items.items():
+        for gone in (g for k in range(n // 5 + 2) for g in itertools.combinations(range(n), min(k, n))):
+            words = ["other" if k in gone else w for k, w in enumerate(text.split())]
+            if n - len(gone) >= 0.8 * n:
+                planted.add((len(docs), n))
+            docs.append((len(docs), " ".join(["before", "it", *words, "after"])))
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in spaced_seeds.contaminated(left, right).collect()} == planted

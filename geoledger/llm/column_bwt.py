@@ -132,12 +132,12 @@ def spans_of(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def collections(rows: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Search sorted pieces (key, piece_key, anchor, piece) collection by collection, several small keys at a time."""
+    """Search sorted pieces (key, piece_key, anchor, piece) collection by collection, several small keys at a time; repeats are dropped as they come."""
     held: list[pd.DataFrame] = []
-    size = 0
+    size, last = 0, None
 
     def search() -> pd.DataFrame:
-        part = pd.concat(held).drop_duplicates(["key", "piece_key"])
+        part = pd.concat(held)
         groups, _ = pd.factorize(part["key"])
         alone = np.bincount(groups)[groups] == 1  # nothing to compare with
         part, groups = part[~alone], groups[~alone]
@@ -150,7 +150,12 @@ def collections(rows: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
     for batch in rows:
         if not len(batch):
             continue
-        keys = batch["key"].to_numpy()
+        keys, names = batch["key"].to_numpy(), batch["piece_key"].to_numpy()
+        new = np.append((keys[0], names[0]) != last, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]))
+        last = (keys[-1], names[-1])
+        batch, keys = batch[new], keys[new]
+        if not len(batch):
+            continue
         change = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
         for a, b in zip(change, [*change[1:], len(batch)]):
             part = batch.iloc[a:b]
@@ -171,7 +176,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", row_k
 
     Pieces are cut only around anchors that occur more than once, by a bit
     filter of at most 16 MB; equal pieces are compared as one, and their number
-    makes them repeats. A crowded anchor, with over CROWD distinct pieces, is not
+    makes them repeats. A busy anchor's pieces, over CROWD with their repeats,
+    are dealt by piece first, so a task gets at most CROWD of any anchor. A crowded anchor, with over CROWD distinct pieces, is not
     searched in one collection: its windows are counted by a 128-bit hash each,
     combined on the map side.
     """
@@ -198,6 +204,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", row_k
     total = several.where("kinds > 1").count()
     crowded_count = several.where(F.col("kinds") > CROWD).count()
     shared = spark.sparkContext.broadcast(filter_words(several.where("kinds > 1"), "key", total))
+    busy = several.where((F.col("kinds") > 1) & (F.col("kinds") <= CROWD) & (F.col("n") > CROWD))
+    busy_count = busy.count()
+    many = spark.sparkContext.broadcast(filter_words(busy, "key", busy_count))
     crowd = spark.sparkContext.broadcast(filter_words(several.where(F.col("kinds") > CROWD), "key", crowded_count))
 
     def cut(batches):
@@ -209,16 +218,19 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", row_k
                 keep = np.flatnonzero(in_filter(*shared.value, key))
                 raw = data.tobytes()
                 out = []
-                for i, k, p, a, b, s, hot in zip(keep.tolist(), key[keep].view(np.int64).tolist(), piece[keep].view(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), spot[keep].tolist(), in_filter(*crowd.value, key[keep]).tolist()):
+                for i, k, p, a, b, s, hot, often in zip(keep.tolist(), key[keep].view(np.int64).tolist(), piece[keep].view(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), spot[keep].tolist(), in_filter(*crowd.value, key[keep]).tolist(), in_filter(*many.value, key[keep]).tolist()):
                     if p in seen:
                         continue
                     seen.add(p)
-                    out.append((k, p, s - a, raw[a : b + length], hot))
+                    out.append((k, p, s - a, raw[a : b + length], hot, often))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], names=["key", "piece_key", "anchor", "piece", "crowded"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()))], names=["key", "piece_key", "anchor", "piece", "crowded", "busy"])
 
-    cuttings = docs.select(text).mapInArrow(cut, "key long, piece_key long, anchor int, piece binary, crowded boolean")
-    sorted_pieces = cuttings.where("not crowded").select("key", "piece_key", "anchor", "piece").repartition("key").sortWithinPartitions("key", "piece_key")
+    cuttings = docs.select(text).mapInArrow(cut, "key long, piece_key long, anchor int, piece binary, crowded boolean, busy boolean")
+    single = cuttings.where("not crowded and not busy")
+    if busy_count:
+        single = single.unionByName(cuttings.where("busy and not crowded").dropDuplicates(["key", "piece_key"]))
+    sorted_pieces = single.select("key", "piece_key", "anchor", "piece").repartition("key").sortWithinPartitions("key", "piece_key")
     found = sorted_pieces.mapInPandas(lambda rows: collections(rows, length), "key long, piece_key long, first array<int>, last array<int>")
     if crowded_count:
         found = found.unionByName(_counted_windows(cuttings.where("crowded").dropDuplicates(["key", "piece_key"]), length))

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from geoledger.llm import column_bwt, queries
 
@@ -60,3 +61,26 @@ def test_query_on_whole_table(spark):
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.QUERIES["op7_column_bwt"](spark, SF).collect()]
     wanted = [(i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in plain(rows, 400)]
     assert sorted(got, key=repr) == sorted(wanted, key=repr) and any(r[2] for r in got)
+
+
+def test_repeats_are_dropped_as_they_come(monkeypatch):
+    """A collection holds the distinct pieces of an anchor, however many rows they come in."""
+    held, concat = [], pd.concat
+    monkeypatch.setattr(column_bwt.pd, "concat", lambda parts: held.append(sum(map(len, parts))) or concat(parts))
+    pieces = [bytes([97 + i]) * 3 + b"same bytes" for i in range(3)]
+    rows = pd.DataFrame([(1, p, 5, pieces[p]) for p in range(3) for _ in range(500)], columns=["key", "piece_key", "anchor", "piece"])
+    found = concat(list(column_bwt.collections((rows.iloc[i : i + 7] for i in range(0, len(rows), 7)), 8)))
+    assert held == [3]
+    assert [(k, p, list(a), list(b)) for k, p, a, b in found.itertuples(index=False)] == [(1, p, [3], [5]) for p in range(3)]
+
+
+def test_busy_anchors_are_dealt_by_piece(spark, monkeypatch):
+    """Few kinds of pieces in more rows than CROWD: the result is that of all windows, and the repeats are dropped before the deal by key."""
+    monkeypatch.setattr(column_bwt, "CROWD", 3)
+    dropped, once = [], type(spark.range(0)).dropDuplicates
+    monkeypatch.setattr(type(spark.range(0)), "dropDuplicates", lambda self, *a: dropped.append(self.columns) or once(self, *a))
+    rng = random.Random(8)
+    same = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(i, f"{'xy'[i % 2] * 30}{same}{'uv'[i % 2] * 30}") for i in range(40)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in column_bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()]
+    assert sorted(got, key=repr) == plain(rows, 40) and any("busy" in c for c in dropped)

@@ -172,7 +172,9 @@ def sink_jdbc(t: Tables) -> DataFrame:
         return rows  # executors elsewhere can't reach a database in this process
     url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     S.sink_jdbc(rows, url, "buildings", driver)
-    return t.spark.read.jdbc(url, "buildings", properties=driver).select(*[F.col(c).cast(k).alias(c) for c, k in rows.dtypes])
+    ends = rows.agg(F.min("osm_id").alias("low"), F.max("osm_id").alias("high")).first()
+    ranges = {} if ends["low"] is None else {"column": "osm_id", "lowerBound": ends["low"], "upperBound": ends["high"] + 1, "numPartitions": t.spark.sparkContext.defaultParallelism}
+    return t.spark.read.jdbc(url, "buildings", properties=driver, **ranges).select(*[F.col(c).cast(k).alias(c) for c, k in rows.dtypes])
 
 
 @query

@@ -139,3 +139,13 @@ def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
     for marks in ("m1", "m2"):  # a lost checkpoint replays batch 0
         I.incremental_ingest(spark, str(inbox), table, str(tmp_path / marks))
     assert spark.read.parquet(table).count() == 1
+
+
+def test_jdbc_rows_come_back_in_ranges(spark):
+    from geoledger.plans.catalog import QUERIES
+
+    from .conftest import SF
+
+    back = QUERIES["sink_jdbc"](spark, SF)
+    assert back.rdd.getNumPartitions() > 1
+    assert back.count() == back.select("osm_id").distinct().count() > 0

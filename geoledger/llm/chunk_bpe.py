@@ -201,18 +201,19 @@ class Encoder:
             return list(chain.from_iterable(parts))
         ids, text = list(parts[0]), texts[0]
         for right, tail in zip(texts[1:], parts[1:]):
-            width = 1
+            width, before = 1, None
             while True:
                 a, b = last_words(text, width), first_words(right, width)
                 head, rest, middle = self.plain([text[a:], right[:b], text[a:] + right[:b]])
-                # agreement: the chunks hold what either window holds alone, and the joined window begins and ends like them
+                # agreement: the chunks hold what either window holds alone, the joined window begins and ends like them, and a wider one gives the same ids
                 left_ok = a == 0 or (ids[len(ids) - len(head) :] == head and middle[:1] == head[:1])
                 right_ok = b == len(right) or (tail[: len(rest)] == rest and middle[-1:] == rest[-1:])
-                if left_ok and right_ok:
+                joined = (ids[: len(ids) - len(head)] if a else []) + middle + (tail[len(rest) :] if b < len(right) else [])
+                if left_ok and right_ok and (joined == before or (a == 0 and b == len(right))):
                     break
+                before = joined if left_ok and right_ok else None
                 width *= 2
-            ids = (ids[: len(ids) - len(head)] if a else []) + middle + (tail[len(rest) :] if b < len(right) else [])
-            text += right
+            ids, text = joined, text + right
         return ids
 
     def encode(self, texts: list[bytes], starts: list[list[int]]) -> list[list[int]]:

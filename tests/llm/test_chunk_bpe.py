@@ -57,3 +57,16 @@ def test_query_on_whole_table(spark):
         assert got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_join_needs_agreement_of_a_wider_window():
+    """A token over the joint that only shows with two words on the left: the narrow window begins and ends like its parts."""
+    encoder = object.__new__(chunk_bpe.Encoder)
+    encoder.drops_space = False
+
+    def plain(texts):
+        return [[9 if w == "BCD" else ord(w) for w in t.replace("b c d", "BCD").split()] for t in texts]
+
+    encoder.plain = plain
+    left, right = "x y a b c", " d e f g"
+    assert encoder.join([left, right], plain([left, right])) == plain([left + right])[0]

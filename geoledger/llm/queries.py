@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chunk_bpe, column_bwt, importance, simhash_bk, spaced_seeds, surrogates, url_rules, va_file, warc_zstd
+from . import (
+    chat_format, chunk_bpe, column_bwt, importance, main_text, simhash_bk, spaced_seeds, spelling, surrogates, turn_repair, url_rules, va_file, warc_zstd,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +149,106 @@ SURROGATE_KEY = b"replace this key in production"
 @query
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replaced(table(spark, sf_dir, "documents", "doc_id", "text"), SURROGATE_KEY)
+
+
+@query
+def op11_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
+
+
+@query
+def op12_kd_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.corpus_words(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def _crc32_sql(halves: str) -> str:
+    """crc32 in SQL over a list of half bytes, low half first; the table follows from the polynomial."""
+    steps = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        steps.append(i)
+    return f"xor(list_reduce(list_prepend(4294967295, {halves}), lambda a, b: xor({steps}[(xor(a, b) & 15) + 1], a >> 4)), 4294967295)"
+
+
+#: Half bytes of a text's UTF-8, of code points below U+0400.
+_HALVES = (
+    "flatten([CASE WHEN ord(c) < 128 THEN [CAST(ord(c) & 15 AS BIGINT), ord(c) >> 4] ELSE "
+    "[CAST((ord(c) >> 6) & 15 AS BIGINT), 12, ord(c) & 15, 8 + ((ord(c) >> 4) & 3)] END FOR c IN string_split({0}, '')])"
+)
+
+
+def _spelling_oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE runs AS (SELECT s, word, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word AS s, word FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[A-Za-zÀ-ÿ]+')) AS word FROM documents)) GROUP BY s, word),
+h AS (SELECT word, k, {_crc32_sql(_HALVES.format("s"))} AS h FROM runs),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, CAST(h % length(word) AS INT)) || substr(word, CAST(h % length(word) AS INT) + 2) ELSE word END AS word, k FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n, any_value(n) AS n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM best),
+chain AS (SELECT word, word AS root FROM w UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT c.word, c.root FROM chain c WHERE NOT EXISTS (SELECT 1 FROM forms f WHERE f.word = c.root AND f.form IS NOT NULL))
+SELECT w.word, w.n, CAST(coalesce(f.n_near, 0) AS BIGINT) AS n_near, f.form, f.form_n, l.root FROM w LEFT JOIN forms f USING (word) JOIN last l USING (word)
+"""
+
+
+ORACLES["op12_kd_spelling"] = _spelling_oracle()
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def _repair_oracle() -> str:
+    """All ways of taking one row from one state, as a table; vectors backward, then the least of the cheapest forward."""
+    added, kept = (2, 2, 3, 2), {("s", 0): 1, ("u", 0): 2, ("u", 1): 2, ("u", 3): 2, ("a", 2): 3}
+    ways = []
+    for state in range(4):
+        at = state
+        for n in range(3):
+            ways += [(state, kind, 3 * n + 4, "I" * n + "D", at) for kind in ("s", "u", "a", "x", "drop")]
+            ways += [(state, kind, 3 * n + 3, "I" * n + "R", added[at]) for kind in ("s", "u", "a", "x")]
+            ways += [(state, kind, 3 * n, "I" * n + "K", to) for (kind, begin), to in kept.items() if begin == at]
+            at = added[at]
+    table_ = "[" + ", ".join(f"{{'s': {s}, 'k': '{k}', 'c': {c}, 'e': '{e}', 't': {t}}}" for s, k, c, e, t in ways) + "]"
+    tried = "[{{'c': w.c + CASE WHEN cut AND NOT ends_with(w.e, 'D') THEN 3 ELSE 0 END + {v}[w.t + 1], 'e': w.e, 't': w.t}} FOR w IN " + table_.replace("{", "{{").replace("}", "}}") + " IF w.s = {s} AND w.k = kind]"
+    vector = ", ".join(f"list_min({tried.format(s=s, v='b.v')}).c" for s in range(4))
+    white = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+h AS (SELECT *, {_crc32_sql(_HALVES.format("s"))} % 20 AS h FROM c),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?]{white}*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM o),
+r AS MATERIALIZED (SELECT *, fault = 'truncated' AS cut, CASE WHEN fault IN ('blank', 'duplicate') THEN 'drop' WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'x' END AS kind FROM f),
+b AS (SELECT conv_id, max(i) + 1 AS i, [0, 6, 3, 0] AS v FROM r GROUP BY conv_id
+  UNION ALL SELECT r.conv_id, r.i, [{vector}] FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM r GROUP BY conv_id
+  UNION ALL SELECT conv_id, i, best.t, audit || best.e, list_concat(lines, list_concat(
+      [['user:', 'assistant:'][(k + CASE state WHEN 2 THEN 1 ELSE 0 END) % 2 + 1] FOR k IN range(length(best.e) - 1)],
+      CASE right(best.e, 1) WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE best.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] ELSE [] END))
+  FROM (SELECT w.conv_id, r.i, w.state, w.audit, w.lines, r.role, r.text, list_sort({tried.format(s="w_state", v="v")})[1] AS best
+    FROM (SELECT w.*, w.state AS w_state FROM w) w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = r.i + 1)),
+e AS (SELECT conv_id, audit || ['', 'II', 'I', ''][state + 1] AS audit, list_concat(lines, CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END) AS lines
+  FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+  CAST(coalesce(b.v[1], 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 1 LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+ORACLES["op13_turn_repair"] = _repair_oracle()

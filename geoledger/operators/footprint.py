@@ -7,19 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import all_points, bounding_box, once, polygon_rings, rings_contain
+from ..functions.geometry import once, polygon_rings
 from ..session import written
+from .cover import CELL_COLUMNS, cell_width, covers, polygon_cover
 from .near import HOT_ROWS, cell_join
 
-# Cells of level 0 are BASE_CELL degrees wide; every level doubles the width.
-BASE_CELL = 0.0005
-TOP_LEVEL = 20
-
-
-def _width(level: Column) -> Column:
-    return F.lit(BASE_CELL) * F.pow(F.lit(2.0), level)
-
-
 def point_in_polygon_join(
     points: DataFrame,
     footprints: DataFrame,
@@ -30,42 +22,21 @@ def point_in_polygon_join(
 ) -> DataFrame:
     """Pairs of a point and a footprint that contains it.
 
-    A footprint goes to the grid level whose cell is at least as large as its
-    bounding box, so it covers at most 2 x 2 cells whatever its size. A point
-    is looked up on the levels in use (at most TOP_LEVEL + 1 of them).
+    Footprints become cells (:mod:`.cover`): in a cell wholly inside, every
+    point is a pair without a test; in one on the rim, a point meets only the
+    edges that cross the cell. No row of the join holds more than that, however
+    long an outline is. A point is looked up on the levels in use, at most one
+    for each STEP levels from BOTTOM_LEVEL to TOP_LEVEL.
     """
-    ringed = once(footprints, _rings=F.filter(polygon_rings(F.col(wkt)), lambda r: F.size(r["points"]) >= 4)).where(F.size("_rings") > 0)
-    boxed = once(ringed, **{f"_{k}": v for k, v in bounding_box(all_points(F.col("_rings"))).items()})
-    extent = F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y"))
-    level = F.least(
-        F.lit(TOP_LEVEL),
-        F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(BASE_CELL)) / F.lit(BASE_CELL)))),
-    ).cast("int")
     # written out, as it is read for the levels, for the hot cells and for the join
-    leveled = written(boxed.where(extent.isNotNull()).drop(wkt).withColumn("_lv", level), "rings")
-
-    def cells(low: str, high: str) -> Column:
-        width = _width(F.col("_lv"))
-        return F.sequence(F.floor(F.col(low) / width).cast("bigint"), F.floor(F.col(high) / width).cast("bigint"))
-
-    covered = (
-        leveled.withColumn("_cx", F.explode(cells("_min_x", "_max_x")))
-        .withColumn("_cy", F.explode(cells("_min_y", "_max_y")))
-    )
-    # The distinct levels are at most TOP_LEVEL + 1 numbers.
-    levels = leveled.agg(F.collect_set("_lv").alias("l")).scalar()
-    located = (
-        points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-        .withColumn("_lv", F.explode(levels))
-        .withColumn("_cx", F.floor(F.col(lon) / _width(F.col("_lv"))).cast("bigint"))
-        .withColumn("_cy", F.floor(F.col(lat) / _width(F.col("_lv"))).cast("bigint"))
-    )
+    cells = written(polygon_cover(footprints, wkt), "cover")
+    levels = cells.agg(F.collect_set("_lv").alias("l")).scalar()
     x, y = F.col(lon), F.col(lat)
-    inside_box = x.between(F.col("_min_x"), F.col("_max_x")) & y.between(F.col("_min_y"), F.col("_max_y"))
-    pairs = cell_join(located, covered, ["_lv", "_cy", "_cx"], inside_box, hot_rows)
-    return pairs.where(rings_contain(F.col("_rings"), x, y)).drop(
-        "_rings", "_min_x", "_max_x", "_min_y", "_max_y"
-    )
+    located = points.where(x.isNotNull() & y.isNotNull()).withColumn("_lv", F.explode(levels)).withColumns({
+        "_cx": F.floor(x / cell_width(F.col("_lv"))).cast("bigint"), "_cy": F.floor(y / cell_width(F.col("_lv"))).cast("bigint"),
+    })
+    pairs = cell_join(located, cells, ["_lv", "_cy", "_cx"], covers(x, y), hot_rows)
+    return pairs.drop(*CELL_COLUMNS)
 
 
 def _kept_vertices(xy: np.ndarray, tolerance: float) -> np.ndarray:

@@ -658,6 +658,30 @@ select cast(unique_id as varchar) as unique_id, case when unique_id % 3 = 0 then
        case when unique_id % 3 = 0 then '2030-01-01' else strftime(business_start_date, '%Y-%m-%d') end as data_as_of
 from raw where raw_lon between -122.6 and -122.3 and raw_lat between 37.7 and 37.9 and unique_id % 15 <> 0""", "raw")
 
+_KEYED = """
+select cast(unique_id as varchar) as unique_id, case when unique_id % 70 = 0 then dba_name when unique_id % 3 = 0 then concat('NEW ', dba_name) else dba_name end as dba_name, raw_zip as zipcode,
+       case when unique_id % 70 = 0 then -122.42 when unique_id % 15 = 0 then -100.5 else raw_lon end as longitude,
+       case when unique_id % 70 = 0 then 37.77 when unique_id % 15 = 0 then 40.5 else raw_lat end as latitude,
+       case when unique_id % 70 = 0 then '2031-01-01' when unique_id % 3 = 0 then '2030-01-01' else strftime(business_start_date, '%Y-%m-%d') end as data_as_of,
+       naics_code, naics_description, raw_start as business_start_date
+from raw"""
+O["keyed_ingest"] = sql(f"select unique_id, dba_name, zipcode, longitude, latitude, data_as_of from ({_KEYED}) k", "raw")
+O["ingest_changes"] = sql("""
+select 0 as batch, 1 as sign, count(*) as row_count, cast(sum(unique_id) as bigint) as id_sum from raw
+union all select 1, s, count(*), cast(sum(unique_id) as bigint) from raw, (values (-1), (1)) v(s) where unique_id % 3 = 0 group by s
+union all select 2, s, count(*), cast(sum(unique_id) as bigint) from raw, (values (-1), (1)) v(s) where unique_id % 70 = 0 group by s""", "raw")
+O["live_pyramid"] = sql(f"""
+select zoom_level, cell_x, cell_y, business_count, business_types, primary_naics, center_lon, center_lat,
+       dominant_naics, spatial_variance, oldest_business, newest_business
+from (select zoom_level, hex_q as cell_x, hex_r as cell_y, business_count, business_types, primary_naics, avg_lon as center_lon, avg_lat as center_lat,
+             cast(null as varchar) as dominant_naics, cast(null as double) as spatial_variance, cast(null as timestamp) as oldest_business, cast(null as timestamp) as newest_business
+      from ({_HEX}) h
+      union all select zoom_level, grid_x, grid_y, business_count, business_types, primary_naics, center_lon, center_lat,
+             top_naics_code, round(coalesce(lon_std, 0) + coalesce(lat_std, 0), 9), oldest_business, newest_business
+      from ({_CLUSTER}) c left join ({top_value("celled", "z, cx, cy", "naics_code")}) t on t.z = zoom_level and t.cx = grid_x and t.cy = grid_y) l""", "raw",
+    located=f"select * from ({_KEYED}) k where longitude between -122.6 and -122.3 and latitude between 37.7 and 37.9",
+    celled=f"select cast(z as integer) as z, naics_code, {rounded('longitude', 's')} as cx, {rounded('latitude', 's')} as cy from located, {_CLUSTER_ZOOMS} zs")
+
 O["incremental_footprints"] = sql("""
 select t.osm_id, case when t.osm_id % 3 = 0 then 'house' else building_type end as building_type,
        case when t.osm_id % 3 = 0 then 'residential' else building_category end as building_category,

@@ -22,6 +22,7 @@ from ..operators import pyramid as Z
 from ..operators import quality as Q
 from ..operators import upsert as U
 from ..operators.density import dbscan_districts
+from ..operators.live_pyramid import LivePyramid
 from ..operators.rollup import top_rows
 from ..session import fresh_path, written
 from ..sources import footprints as FP
@@ -31,6 +32,7 @@ from ..sources.derived import Tables
 from ..sources.sql_functions import register_sql_functions
 from ..sources.tables import scan
 from ..streaming import ingest as I
+from ..streaming import keyed as K
 from . import profile
 
 NOW = dt.datetime(2024, 2, 20)
@@ -858,6 +860,53 @@ def incremental_ingest(t: Tables) -> DataFrame:
     return I.current_businesses(t.spark, table).select("unique_id", "dba_name", "zipcode", "longitude", "latitude", "data_as_of")
 
 
+def _three_deliveries(t: Tables, after=lambda table, batch: None) -> K.KeyedTable:
+    """All records; newer versions of every third, some out of the box; then late older ones and moves, a base folded in between."""
+    raw, uid = t.raw_registrations(), F.col("UniqueID").cast("bigint")
+    inbox, folder, marks = (fresh_path(t.spark, n) for n in ("inbox", "keyed", "keyed-checkpoint"))
+    table = K.registrations_table(t.spark, folder, buckets=16)
+    newer = raw.where(uid % 3 == 0).withColumns({
+        "DBA Name": F.concat(F.lit("NEW "), F.trim("DBA Name")), "data_as_of": F.lit("2030-01-01"),
+        "Business Location": F.when(uid % 15 == 0, "POINT (-100.5 40.5)").otherwise(F.col("Business Location")),
+    })
+    late = raw.where(uid % 5 == 0).withColumns({"DBA Name": F.lit("LATE"), "data_as_of": F.lit("1980-01-01")})
+    moved = raw.where(uid % 70 == 0).withColumns({"data_as_of": F.lit("2031-01-01"), "Business Location": F.lit("POINT (-122.42 37.77)")})
+    options = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    for batch, delivery in enumerate((raw, newer, late.unionByName(moved))):
+        delivery.write.mode("append").options(**options).csv(inbox)
+        K.ingest_changes(table, inbox, marks)
+        after(table, batch)
+        if batch == 0:
+            table.fold()
+    return table
+
+
+@query
+def keyed_ingest(t: Tables) -> DataFrame:
+    """Rows of the keyed table: a base and the changes that the stream's state let through."""
+    return _three_deliveries(t).rows().select("unique_id", "dba_name", "zipcode", "longitude", "latitude", "data_as_of")
+
+
+@query
+def ingest_changes(t: Tables) -> DataFrame:
+    """What each delivery took back and brought; late rows do neither."""
+    table = _three_deliveries(t)
+    parts = [
+        table.signed_changes(batch).groupBy("sign").agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("unique_id").cast("bigint")).alias("id_sum")).withColumn("batch", F.lit(batch))
+        for batch in range(3)
+    ]
+    return U.union_batches(*parts).select("batch", "sign", "row_count", "id_sum")
+
+
+@query
+def live_pyramid(t: Tables) -> DataFrame:
+    """The zoom pyramid after three deliveries, each folded in by the cells it touches."""
+    pyramid = LivePyramid(t.spark, fresh_path(t.spark, "live-pyramid"))
+    _three_deliveries(t, lambda table, batch: pyramid.update(batch, written(table.signed_changes(batch), "signed"), table.rows(batch)))
+    out = pyramid.levels(2).drop("cell_size", "aggregation_type")
+    return r(out, 9, "spatial_variance")
+
+
 @query
 def incremental_footprints(t: Tables) -> DataFrame:
     """Two deliveries of map files, the newer versions first."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..session import written
-from .near import HOT_ROWS, collapse_positions, radius_join
+from .cell_pairs import TEST_WORK, cell_at, cell_pairs, with_finest_cell
+from .near import collapse_positions
 
 _PLANE_RADIUS_M = 111_195.0
 
@@ -73,36 +74,59 @@ def distributions(businesses: DataFrame, area: str = "neighborhood", kind: str =
     return counts.withColumn("area_share", share)
 
 
-def co_location(
-    businesses: DataFrame, radius: float = 0.0003, kind: str = "naics_code", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def _kind_pairs(located: DataFrame, radius: float, test_work: int) -> DataFrame:
+    """(kind_1, kind_2, pairs): weighted pairs of rows in reach, parts of the sum, without rows with themselves."""
+    whole, tests = cell_pairs(located, test_work)
+    used = [r["level"] for r in whole.select("level").unionByName(tests.select("level")).distinct().collect()]  # at most LEVELS + 1
+    if not used:
+        return located.select("kind", F.col("kind").alias("kind_2"), F.lit(0).cast("decimal(38,0)").alias("pairs")).limit(0).toDF("kind_1", "kind_2", "pairs")
+    wide = "decimal(38,0)"
+    w = F.col("w").cast("decimal(19,0)")
+    celled = located.select("*", F.inline(F.array(*[F.struct(*cell_at(level)) for level in sorted(used)])))
+
+    def side(df: DataFrame, cell: str, **columns: str) -> DataFrame:
+        return df.select("level", F.col("cx").alias(f"{cell}x"), F.col("cy").alias(f"{cell}y"), *[F.col(c).alias(n) for c, n in columns.items()])
+
+    # cells wholly in reach: what all their partners hold of a kind, times what the cell holds of its kinds
+    counts = celled.groupBy("level", "cx", "cy", "kind").agg(F.sum(w).cast("decimal(25,0)").alias("n"), F.sum(w * w).cast(wide).alias("q"))
+    apart = F.struct("ax", "ay") < F.struct(F.col("bx"), F.col("by"))
+    others = whole.where(apart).join(side(counts, "b", kind="kind_2", n="m"), ["level", "bx", "by"]).groupBy("level", "ax", "ay", "kind_2").agg(F.sum("m").cast("decimal(25,0)").alias("m"))
+    product = F.col("n").cast(wide) * F.col("m").cast("decimal(25,0)")
+    between = others.join(side(counts, "a", kind="kind_1", n="n"), ["level", "ax", "ay"]).select("kind_1", "kind_2", product.cast(wide).alias("pairs"))
+    own = whole.where(~apart).drop("bx", "by")
+    mixed = own.join(side(counts, "a", kind="kind_1", n="n", q="q"), ["level", "ax", "ay"]).join(side(counts, "a", kind="kind_2", n="m"), ["level", "ax", "ay"]).where(F.col("kind_1") <= F.col("kind_2"))
+    within = mixed.select("kind_1", "kind_2", F.when(F.col("kind_1") < F.col("kind_2"), product).otherwise(((product - F.col("q")) * F.lit("0.5").cast("decimal(2,1)"))).cast(wide).alias("pairs"))
+    # the others row by row
+    rows = {"longitude": "x", "latitude": "y", "kind": "kind", "w": "w"}
+    left, right = (side(celled, c, **{k: f"{v}_{i}" for k, v in rows.items()}) for c, i in (("a", 1), ("b", 2)))
+    met = tests.drop("na", "nb").join(left, ["level", "ax", "ay"]).join(right, ["level", "bx", "by"])
+    dx, dy = F.col("x_1") - F.col("x_2"), F.col("y_1") - F.col("y_2")
+    once_each = apart | (F.struct("x_1", "y_1", "kind_1") < F.struct(F.col("x_2"), F.col("y_2"), F.col("kind_2")))
+    near = met.where((dx * dx + dy * dy <= F.lit(float(radius) ** 2)) & once_each)
+    tested = near.select("kind_1", "kind_2", (F.col("w_1").cast("decimal(19,0)") * F.col("w_2").cast("decimal(19,0)")).cast(wide).alias("pairs"))
+    return between.unionByName(within).unionByName(tested)
+
+
+def co_location(businesses: DataFrame, radius: float = 0.0003, kind: str = "naics_code", test_work: int = TEST_WORK) -> DataFrame:
     """Pairs of kinds found within ``radius`` degrees of each other, with lift.
 
-    Rows at the same position and of the same kind are counted first, so the
-    distance join runs over distinct (position, kind) rows and a pair of those
-    stands for the product of their counts. ``lift`` compares the share of a
-    kind pair with what independent kinds would give.
+    Rows at the same position and of the same kind are counted first. Pairs of
+    cells wholly in reach multiply their counts per kind; only pairs of cells
+    across the radius are tested row by row, each direction once, and these are
+    taken apart until they hold few rows (:mod:`.cell_pairs`). ``lift`` compares
+    the share of a kind pair with what independent kinds would give.
     """
-    located = written(collapse_positions(businesses.where(F.col(kind).isNotNull()), kind), "kinds")
-    left = located.select("longitude", "latitude", F.col(kind).alias("kind_1"), F.col("weight").alias("w1"))
-    right = located.select(
-        F.col("longitude").alias("center_lon"), F.col("latitude").alias("center_lat"),
-        F.col(kind).alias("kind_2"), F.col("weight").alias("w2"),
-    )
-    pairs = radius_join(left, right, radius, hot_rows=hot_rows).where(
-        F.struct("longitude", "latitude", "kind_1")
-        < F.struct(F.col("center_lon"), F.col("center_lat"), F.col("kind_2"))
+    folded = collapse_positions(businesses.where(F.col(kind).isNotNull()), kind)
+    located = written(with_finest_cell(folded.select("longitude", "latitude", F.col(kind).alias("kind"), F.col("weight").alias("w")), radius), "kinds")
+    between = _kind_pairs(located, radius, test_work).select(
+        F.least("kind_1", "kind_2").alias("kind_1"), F.greatest("kind_1", "kind_2").alias("kind_2"), "pairs",
     )
-    between = pairs.select(
-        F.least("kind_1", "kind_2").alias("kind_1"), F.greatest("kind_1", "kind_2").alias("kind_2"),
-        (F.col("w1").cast("decimal(19,0)") * F.col("w2").cast("decimal(19,0)")).alias("pairs"),
+    same = located.where(F.col("w") > 1).select(
+        F.col("kind").alias("kind_1"), F.col("kind").alias("kind_2"), F.expr("cast(cast(w as decimal(19,0)) * cast(w - 1 as decimal(18,0)) * 0.5BD as decimal(38,0))").alias("pairs"),
     )
-    same = left.where(F.col("w1") > 1).select(
-        "kind_1", F.col("kind_1").alias("kind_2"), F.expr("cast(w1 as decimal(19,0)) * cast(w1 - 1 as decimal(19,0))").alias("twice")
-    ).select("kind_1", "kind_2", F.expr("cast(twice * 0.5 as decimal(38,0))").alias("pairs"))
-    counted = between.unionByName(same).groupBy("kind_1", "kind_2").agg(F.sum("pairs").alias("pair_count"))
+    counted = written(between.unionByName(same).groupBy("kind_1", "kind_2").agg(F.sum("pairs").alias("pair_count")), "kind-pairs")
     total = counted.agg(F.sum(F.col("pair_count").cast("double")).alias("t")).scalar()
-    sizes = left.groupBy(F.col("kind_1").alias("kind")).agg(F.sum("w1").alias("n"))
+    sizes = located.groupBy("kind").agg(F.sum("w").alias("n"))
     rows = sizes.agg(F.sum("n").alias("t")).scalar()
     p1 = sizes.select(F.col("kind").alias("kind_1"), F.col("n").alias("n1"))
     p2 = sizes.select(F.col("kind").alias("kind_2"), F.col("n").alias("n2"))

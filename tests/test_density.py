@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoledger.operators.analytics import co_location
+from geoledger.operators.cell_pairs import cell_pairs, with_finest_cell
 from geoledger.operators.density import dbscan_districts
 
 
@@ -63,6 +66,26 @@ def test_co_location(spark):
             if (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 0.0003 ** 2:
                 key = tuple(sorted((p[0], q[0])))
                 want[key] = want.get(key, 0) + 1
-    for hot_rows in (50_000, 5):
-        got = {(r.kind_1, r.kind_2): r.pair_count for r in co_location(df, 0.0003, hot_rows=hot_rows).collect()}
+    for test_work in (100_000, 256, 4, 1):
+        got = {(r.kind_1, r.kind_2): r.pair_count for r in co_location(df, 0.0003, test_work=test_work).collect()}
         assert got == want
+
+
+def test_a_crowded_place_is_counted_by_cells(spark):
+    rng = np.random.default_rng(8)
+    r, n = 0.0003, 6_000
+    x, y = np.concatenate([rng.normal(0.5, r / 3, n), rng.uniform(0.5, 0.51, 500)]), np.concatenate([rng.normal(0.5, r / 3, n), rng.uniform(0.5, 0.51, 500)])
+    rows = [("ab"[i % 2], float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "naics_code string, longitude double, latitude double")
+    got = {(g.kind_1, g.kind_2): g.pair_count for g in co_location(df, r).collect()}
+    want = {("a", "a"): 0, ("a", "b"): 0, ("b", "b"): 0}
+    for i in range(len(x)):
+        near = (x[i] - x[:i]) ** 2 + (y[i] - y[:i]) ** 2 <= r * r
+        for kind in "ab":
+            want[tuple(sorted((rows[i][0], kind)))] += int(near["ab".index(kind) :: 2].sum())
+    assert got == want
+    spots = df.select("longitude", "latitude")
+    tests = cell_pairs(with_finest_cell(spots, r))[1].agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+    plain = cell_pairs(with_finest_cell(spots, r), test_work=10**12)[1].agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+    assert tests < plain / 10
+    assert co_location(df.limit(0), r).collect() == []

@@ -191,6 +191,24 @@ def associations(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Targets of a cell, one search radius wide, for each of the k wanted, from which on a quarter of the radius is tried first.
+DENSE = 8
+#: Times the radius may be quartered for a start.
+FINEST = 5
+
+
+def _with_start(places: DataFrame, targets: DataFrame, radius: float, k: int) -> DataFrame:
+    """Places with ``_start``: how often the radius is quartered for their first search, by the targets in their cell.
+
+    A quarter of the radius holds a sixteenth of the targets, so every step asks for sixteen times as many.
+    """
+    cells = _own_cell(targets, "building_lon", "building_lat", radius, "meters").groupBy("_cy", "_cx").agg(F.count(F.lit(1)).alias("_t"))
+    steps = F.floor(F.log(F.col("_t") / F.lit(float(DENSE * k))) / F.lit(math.log(16.0)) + 1)
+    dense = cells.where(F.col("_t") >= DENSE * k).select("_cy", "_cx", F.least(steps, F.lit(FINEST)).cast("int").alias("_start"))
+    placed = _own_cell(places, "business_lon", "business_lat", radius, "meters").join(written(dense, "dense-cells"), ["_cy", "_cx"], "left")
+    return placed.drop("_cy", "_cx").withColumn("_start", F.coalesce("_start", F.lit(0)))
+
+
 def nearest_join(
     businesses: DataFrame,
     buildings: DataFrame,
@@ -204,45 +222,49 @@ def nearest_join(
     Every business row is matched for itself, also where ``key`` repeats; ties
     go to the smaller building id. With k = 1 there is one flat row per match,
     with k > 1 aligned arrays.
+
+    Positions are searched, not rows. Where many buildings are near, a search
+    begins with a small part of the radius: k matches within it are the nearest
+    ones, and only positions with fewer look four times as far, up to the
+    whole radius. So a crowded place tests about as many pairs as a thin one.
     """
-    head = ["business_unique_id", "business_lon", "business_lat", "business_name"]
-    # equal rows are matched once and given back as often as they were there
+    head, at = ["business_unique_id", "business_lon", "business_lat", "business_name"], ["business_lon", "business_lat"]
     named = businesses.select(
         F.col(key).alias("business_unique_id"), F.col("longitude").alias("business_lon"),
         F.col("latitude").alias("business_lat"), F.col("dba_name").alias("business_name"),
-    ).groupBy(*head).agg(F.count(F.lit(1)).alias("_copies"))
-    points = written(named.withColumn("_row", F.xxhash64(*head)), "places")
+    ).where(_present(*at))
     right = written(buildings.select(
         F.col("osm_id").alias("building_osm_id"), "building_type",
         F.col("center_lon").alias("building_lon"), F.col("center_lat").alias("building_lat"),
     ).distinct(), "targets")
-    by_distance = Window.partitionBy("_row").orderBy("distance_meters", "building_osm_id", "building_type", "building_lon", "building_lat")
-
-    def within(places: DataFrame, radius: float) -> DataFrame:
-        # the other columns join back to the few rows that stay, so candidates are sorted narrow
-        pairs = _near_pairs(
-            places.select("_row", "business_lon", "business_lat"), right, radius, "meters", ("business_lon", "business_lat"),
-            ("building_lon", "building_lat"), "distance_meters", hot_rows,
-        ).drop("business_lon", "business_lat")
+    places = written(_with_start(named.select(*at).distinct(), right, max_distance_m, k), "places")
+    by_distance = Window.partitionBy(*at).orderBy("distance_meters", "building_osm_id", "building_type", "building_lon", "building_lat")
+
+    def within(some: DataFrame, radius: float) -> DataFrame:
+        pairs = _near_pairs(some.select(*at), right, radius, "meters", tuple(at), ("building_lon", "building_lat"), "distance_meters", hot_rows)
         # A row_number limit is applied per task before the shuffle as well.
         return pairs.withColumn("_rank", F.row_number().over(by_distance)).where(F.col("_rank") <= k)
 
-    # k matches within a quarter of the way are the nearest ones; only the other businesses look further
-    close = written(within(points, max_distance_m / 4), "close-matches")
-    settled = close.where(F.col("_rank") == k).select("_row")
-    rest = written(points.join(settled, "_row", "left_anti").select("_row", "business_lon", "business_lat"), "places")
-    ranked = close.join(settled, "_row", "left_semi").unionByName(within(rest, max_distance_m))
-
-    def with_names(rows: DataFrame) -> DataFrame:
-        every = rows.join(points, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-        return every.drop("_copy", "_copies", "_row")
+    starts = sorted((r["_start"] for r in places.select("_start").distinct().collect()), reverse=True)  # at most FINEST + 1
+    found, rest = [], None
+    for step in range(max(starts, default=0), 0, -1):
+        some = places.where(F.col("_start") == step).select(*at)
+        some = some if rest is None else some.unionByName(rest)
+        matches = written(within(some, max_distance_m / 4**step), "matches")
+        settled = matches.where(F.col("_rank") == k).select(*at)
+        found.append(matches.join(settled, at, "left_semi") if k > 1 else matches)
+        rest = written(some.join(settled, at, "left_anti"), "places")
+    last = places.where("_start = 0").select(*at)
+    ranked = within(last if rest is None else last.unionByName(rest), max_distance_m)
+    for matches in found:
+        ranked = ranked.unionByName(matches)
 
     if k == 1:
-        return with_names(ranked.drop("_rank")).select(
+        return named.join(ranked.drop("_rank"), at).select(
             *head, "building_osm_id", "building_type", "building_lon", "building_lat", "distance_meters"
         )
     match = F.struct("_rank", "building_osm_id", "building_type", "building_lon", "building_lat", "distance_meters")
-    grouped = ranked.groupBy("_row").agg(
+    grouped = ranked.groupBy(*at).agg(
         F.sort_array(F.collect_list(match)).alias("_m")  # at most k matches
     )
     fields = {
@@ -250,7 +272,7 @@ def nearest_join(
         "building_lons": "building_lon", "building_lats": "building_lat",
         "distances_meters": "distance_meters",
     }
-    return with_names(grouped).select(
+    return named.join(grouped, at).select(
         *head, *[F.col(f"_m.{field}").alias(out) for out, field in fields.items()],
         F.size("_m").alias("match_count"),
     )

@@ -56,11 +56,9 @@ def r(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _counted_buildings(t: Tables) -> DataFrame:
+def _counted_buildings(t: Tables, box=None) -> DataFrame:
     """Buildings with the real number of businesses in reach."""
-    columns = ["longitude", "latitude", "naics_code", "naics_description"]
-    profiles = A.agg_by_building_full(profile.weighted_pair_table(t.businesses.select(*columns), t.centred), weight="weight")
-    return L.with_business_counts(t.centred, profiles)
+    return profile.counted_buildings(t.businesses, t.centred, box)
 
 
 def joined(column: str) -> Column:
@@ -414,7 +412,7 @@ def not_null_filter(t: Tables) -> DataFrame:
 
 @query
 def buildings_in_bbox(t: Tables) -> DataFrame:
-    return L.buildings_in_bbox(_counted_buildings(t), BOX)
+    return L.buildings_in_bbox(_counted_buildings(t, BOX), BOX)
 
 
 # Joins ----------------------------------------------------------------------
@@ -562,7 +560,7 @@ def hex_top(t: Tables) -> DataFrame:
 @query
 def zoom_lookup(t: Tables) -> DataFrame:
     """One lookup per kind of feature: hexagons, clusters, buildings."""
-    levels, buildings = Z.zoom_pyramid(t.businesses), _counted_buildings(t)
+    levels, buildings = Z.zoom_pyramid(t.businesses), _counted_buildings(t, BOX)
     shown = [Z.features_at(levels, buildings, zoom, BOX) for zoom in (8, 12, 16)]
     return shown[0].unionByName(shown[1]).unionByName(shown[2])
 

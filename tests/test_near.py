@@ -165,3 +165,36 @@ def test_simplify_keeps_the_shape(spark):
     assert out[2].vertices_after == 4
     assert out[3].geom_wkt is None and out[4].geom_wkt == rows[3][1]
     assert out[5].vertices_after == 5  # would collapse, so it stays
+
+
+def test_nearest_adapts_to_density(spark):
+    """A crowd of buildings in a thin town: the same matches as all pairs, for far fewer tests."""
+    rnd = random.Random(12)
+    crowd = [(-122.41 + rnd.gauss(0, 0.0001), 37.77 + rnd.gauss(0, 0.0001)) for _ in range(1500)]
+    town = [(rnd.uniform(-122.42, -122.40), rnd.uniform(37.76, 37.78)) for _ in range(300)]
+    buildings = [(i, x, y, "b") for i, (x, y) in enumerate(crowd + town)]
+    places = [(i, x + rnd.gauss(0, 0.00005), y + rnd.gauss(0, 0.00005), f"n{i}") for i, (x, y) in enumerate(rnd.sample(crowd, 150) + rnd.sample(town, 150))]
+    places += [(5, *places[5][1:3], "again"), (900, None, 37.77, "nowhere")]
+    left = spark.createDataFrame(places, "unique_id long, longitude double, latitude double, dba_name string")
+    right = spark.createDataFrame(buildings, "osm_id long, center_lon double, center_lat double, building_type string")
+    for k in (1, 3):
+        want = []
+        for i, x, y, name in places:
+            near = [] if x is None else sorted((metres(y, x, b[2], b[1]), b[0]) for b in buildings)
+            ids = [b for d, b in near if d <= 100][:k]
+            if ids:
+                want.append((i, name, ids))
+        out = J.nearest_join(left, right, 100.0, k=k).collect()
+        assert sorted((r.business_unique_id, r.business_name, [r.building_osm_id] if k == 1 else list(r.building_osm_ids)) for r in out) == sorted(want)
+    spots = right.select("osm_id", F.col("center_lon").alias("building_lon"), F.col("center_lat").alias("building_lat"))
+    at = left.where("longitude is not null").select(F.col("longitude").alias("business_lon"), F.col("latitude").alias("business_lat"))
+    starts = [r["_start"] for r in J._with_start(at, spots, 100.0, 1).collect()]
+    assert min(starts) == 0 and max(starts) >= 2
+
+    def tests(places, radius):
+        a, b = J._own_cell(places, "business_lon", "business_lat", radius, "meters"), J._nine_cells(spots, "building_lon", "building_lat", radius, "meters")
+        return a.join(b, ["_cy", "_cx"]).count()
+
+    started = J._with_start(at, spots, 100.0, 1)
+    adapted = sum(tests(started.where(F.col("_start") == s), 100.0 / 4**s) for s in set(starts) - {0})
+    assert 2 * adapted < tests(started.where("_start > 0"), 100.0 / 4)  # one width for all, as a first step

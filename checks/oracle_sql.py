@@ -652,6 +652,12 @@ select count(*) as row_count, cast(sum(cast('0x' || substr(md5(concat_ws(chr(31)
        coalesce(cast(longitude as varchar), chr(0)), coalesce(cast(latitude as varchar), chr(0)))), 1, 15) as hugeint)) as varchar) as fingerprint from businesses""", "businesses")
 O["content_fingerprint_fast"] = sql("""
 select count(*) as row_count, true as order_ignored, count(naics_code) > 0 as move_seen from businesses""", "businesses")
+_V_COLUMNS = "unique_id, dba_name, naics_code, longitude"
+O["version_changes"] = sql(f"""
+select coalesce(n.unique_id, o.unique_id) as unique_id, case when o.unique_id is null then 'added' when n.unique_id is null then 'removed' else 'changed' end as change
+from (select * from older except select * from newer) o full join (select * from newer except select * from older) n on n.unique_id = o.unique_id""", "businesses",
+    older=f"select {_V_COLUMNS} from businesses where unique_id % 211 <> 0",
+    newer=f"select unique_id, case when unique_id % 101 = 0 then concat('NEW ', dba_name) else dba_name end as dba_name, naics_code, longitude from businesses where unique_id % 307 <> 0")
 O["incremental_ingest"] = sql("""
 select cast(unique_id as varchar) as unique_id, case when unique_id % 3 = 0 then concat('NEW ', dba_name) else dba_name end as dba_name, raw_zip as zipcode,
        raw_lon as longitude, raw_lat as latitude,
@@ -740,6 +746,21 @@ from (select cast(year(business_start_date) as integer) as cohort, k as years,
              count(*) filter (where business_start_date + to_years(k) <= timestamp '1999-01-01'
                       and (business_end_date is null or business_end_date >= business_start_date + to_years(k))) as surviving
       from businesses, (values (1), (2), (3), (5)) v(k) group by 1, 2) q where at_risk > 0""", "businesses")
+_NOW = "timestamp '1996-01-01'"
+O["survival_curve"] = sql(f"""
+select cohort, kind, age_days, at_risk, closings, round(case when left_over = 0 then 0 else survival end, 9) as survival,
+       case when left_over > 0 then round(survival * sqrt(spread), 9) end as std_error
+from (select *, min(at_risk - closings) over w as left_over, product(1 - closings / at_risk) over w as survival,
+             sum(case when at_risk > closings then closings / (at_risk * (at_risk - closings)) else 0 end) over w as spread
+      from (select d.cohort, d.kind, d.age_days, count(*) as at_risk, count(*) filter (a.closed and a.age_days = d.age_days) as closings
+            from (select distinct cohort, kind, age_days from ages where closed) d
+            join ages a on a.cohort = d.cohort and a.kind is not distinct from d.kind and a.age_days >= d.age_days group by 1, 2, 3) q
+      window w as (partition by cohort, kind order by age_days)) c""", "businesses",
+    ended="select *, case when unique_id % 3 = 0 then business_end_date - to_days(cast(unique_id % 300 as integer)) else business_end_date end as until from businesses",
+    ages=f"""
+select cast(year(business_start_date) as integer) as cohort, naics_description as kind, until is not null and until <= {_NOW} as closed,
+       date_diff('day', business_start_date, case when until <= {_NOW} then until else {_NOW} end) as age_days
+from ended where business_start_date <= {_NOW}""")
 O["distributions"] = sql("""
 select neighborhood, naics_description, count(*) as business_count, count(*) / sum(count(*)) over (partition by neighborhood) as area_share
 from businesses group by 1, 2""", "businesses")

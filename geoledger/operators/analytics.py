@@ -67,6 +67,35 @@ def survival_rates(businesses: DataFrame, now: dt.datetime, years: Sequence[int]
     return out.withColumn("survival_rate", F.col("surviving") / F.col("at_risk"))
 
 
+def survival_curve(businesses: DataFrame, now: dt.datetime, kind: str = "naics_description") -> DataFrame:
+    """Product-limit estimate per year of start and kind: a row per age in days at which businesses closed.
+
+    All businesses count: one still open, or closed after ``now``, is at risk up
+    to its age at ``now`` and then leaves without an event. ``at_risk`` have
+    reached the age; ``survival`` is the product over the ages so far of the
+    share that got past each, and ``std_error`` is Greenwood's (null once nobody
+    is left). Rows are counted per age first, so sums run over ages, not rows.
+    """
+    start, end, today = F.col("business_start_date"), F.col("business_end_date"), M.moment(now)
+    closed = end.isNotNull() & (end <= today)
+    age = F.datediff(F.when(closed, end).otherwise(today), start)
+    ages = businesses.where(start <= today).select(F.year(start).alias("cohort"), F.col(kind).alias("kind"), age.alias("age_days"), closed.alias("closed")).where(
+        F.col("age_days") >= 0
+    ).groupBy("cohort", "kind", "age_days").agg(F.count_if("closed").alias("closings"), F.count_if(~F.col("closed")).alias("censored"))
+    group = Window.partitionBy("cohort", "kind")
+    older = group.orderBy(F.desc("age_days")).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = group.orderBy("age_days").rowsBetween(Window.unboundedPreceding, 0)
+    n, d = F.col("at_risk"), F.col("closings")
+    gone = F.max(n == d).over(so_far)
+    share = F.when(n > d, F.log(1 - d / n)).otherwise(0.0)
+    spread = F.when(n > d, d / (n * (n - d).cast("double"))).otherwise(0.0)
+    at_risk = ages.withColumn("at_risk", F.sum(F.col("closings") + F.col("censored")).over(older)).where(d > 0)
+    curve = at_risk.withColumn("survival", F.when(gone, 0.0).otherwise(F.exp(F.sum(share).over(so_far))))
+    return curve.withColumn("std_error", F.when(F.col("survival") > 0, F.col("survival") * F.sqrt(F.sum(spread).over(so_far)))).select(
+        "cohort", "kind", "age_days", "at_risk", "closings", "survival", "std_error",
+    )
+
+
 def distributions(businesses: DataFrame, area: str = "neighborhood", kind: str = "naics_description") -> DataFrame:
     """Count per area and industry with the share inside the area."""
     counts = businesses.groupBy(area, kind).agg(F.count(F.lit(1)).alias("business_count"))

@@ -158,7 +158,14 @@ def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, alg
         nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
         digest = F.shiftrightunsigned(F.xxhash64(nulls, *columns), 16).cast("decimal(20,0)")
     elif algorithm == "md5":
-        text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
+        # a text that holds the separator, the mark of a null or the escape itself is escaped
+        def spelled(c: str) -> Column:
+            value = F.col(c).cast("string")
+            for mark, name in (("\u001b", "E"), ("\u001f", "S"), ("\u0000", "N")):
+                value = F.replace(value, F.lit(mark), F.lit(f"\u001b{name}"))
+            return F.coalesce(value, F.lit("\u0000"))
+
+        text = F.concat_ws("\u001f", *map(spelled, columns))
         digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")

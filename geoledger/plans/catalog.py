@@ -21,6 +21,7 @@ from ..operators import near as J
 from ..operators import pyramid as Z
 from ..operators import quality as Q
 from ..operators import upsert as U
+from ..operators import versions as V
 from ..operators.density import dbscan_districts
 from ..operators.live_pyramid import LivePyramid
 from ..operators.rollup import top_rows
@@ -842,6 +843,18 @@ def content_fingerprint_fast(t: Tables) -> DataFrame:
     )
 
 
+@query
+def version_changes(t: Tables) -> DataFrame:
+    """Keys added, removed and changed between two stored versions, found by their digest trees."""
+    columns = ["unique_id", "dba_name", "naics_code", "longitude"]
+    rows, uid = t.businesses.select(*columns), F.col("unique_id")
+    old, new = (fresh_path(t.spark, n) for n in ("old-version", "new-version"))
+    V.write_version(rows.where(uid % 211 != 0), old, ["unique_id"])
+    moved = rows.where(uid % 307 != 0).withColumn("dba_name", F.when(uid % 101 == 0, F.concat(F.lit("NEW "), "dba_name")).otherwise(F.col("dba_name")))
+    V.write_version(moved, new, ["unique_id"])
+    return V.version_changes(t.spark, old, new, ["unique_id"])
+
+
 @query
 def incremental_ingest(t: Tables) -> DataFrame:
     """Two deliveries of files, the second with newer versions of every third record, some of them moved out of the box."""
@@ -976,6 +989,12 @@ def survival_rates(t: Tables) -> DataFrame:
     return N.survival_rates(t.businesses, dt.datetime(1999, 1, 1), (1, 2, 3, 5))
 
 
+@query
+def survival_curve(t: Tables) -> DataFrame:
+    ended = F.when(F.col("unique_id") % 3 == 0, F.col("business_end_date") - F.make_dt_interval(F.col("unique_id") % 300)).otherwise(F.col("business_end_date"))
+    return r(N.survival_curve(t.businesses.withColumn("business_end_date", ended), dt.datetime(1996, 1, 1)), 9, "survival", "std_error")
+
+
 @query
 def distributions(t: Tables) -> DataFrame:
     return N.distributions(t.businesses)

@@ -406,6 +406,22 @@ O["zoom_pyramid"] = sql(f"""
 select zoom_level, case when zoom_level <= 8 then 'hexagonal' else 'statistical' end as aggregation_type, count(*) as features,
        cast(sum(business_count) as bigint) as businesses, round(count(*) * case when zoom_level <= 8 then 0.05::double else 0.5::double end, 4) as size_kb
 from ({_LEVELS}) l group by zoom_level""", "located")
+def _cube(lon: str, lat: str, size: str, rest: str, source: str) -> str:
+    """Axial coordinates hq, hr by rounding three axes."""
+    return f"""
+select {rest}, cast(case when dq > dr and dq > ds then -rr - rs else rq end as bigint) as hq, cast(case when not (dq > dr and dq > ds) and dr > ds then -rq - rs else rr end as bigint) as hr
+from (select *, abs(rq - fq) as dq, abs(rr - fr) as dr, abs(rs - fs) as ds
+      from (select *, round_even(fq, 0) as rq, round_even(fr, 0) as rr, round_even(fs, 0) as rs
+            from (select *, -fq - fr as fs from (select *, (sqrt(3::double) / 3) * ({lon} / {size}) - ({lat} / {size}) / 3 as fq, ({lat} / {size}) * 2 / 3 as fr from {source}) a) b) c) d"""
+
+
+O["true_hexagons"] = sql(f"""
+select cast(8 as integer) as zoom_level, h.hq as hex_q, h.hr as hex_r, round(x, 9) as center_lon, round(y, 9) as center_lat, h.n as business_count,
+       coalesce((select cast(sum(n) as bigint) from hexes o where {{near}}), 0) as neighbour_count, (select count(*) from hexes o where {{near}}) as neighbours, p.hq as parent_q, p.hr as parent_r
+from hexes h join parents p on p.cq = h.hq and p.cr = h.hr""".replace("{near}", "o.hq - h.hq between -1 and 1 and o.hr - h.hr between -1 and 1 and o.hq - h.hq + o.hr - h.hr between -1 and 1 and (o.hq <> h.hq or o.hr <> h.hr)"), "located",
+    hexes=f"select hq, hr, count(*) as n from ({_cube('longitude', 'latitude', '(0.1::double / 128)', 'unique_id', 'located')}) q group by 1, 2",
+    centres="select hq as cq, hr as cr, (0.1::double / 128) * sqrt(3::double) * (hq + hr / 2) as x, (0.1::double / 128) * 3 * hr / 2 as y from hexes",
+    parents=_cube("x", "y", "(0.1::double / 64)", "cq, cr, x, y", "centres"))
 O["zoom_lookup"] = sql(f"""
 select zoom_level, case when zoom_level <= 8 then 'hexagonal' else 'statistical' end as feature_type,
        concat(cast(cell_x as varchar), ':', cast(cell_y as varchar)) as feature_id, center_lon, center_lat, business_count from ({_LEVELS}) l

@@ -106,6 +106,45 @@ def hex_r(lat: Column, size: Column) -> Column:
     return F.rint(F.lit(2 / 3) * (lat / size)).cast("bigint")
 
 
+def true_hex(lon: Column, lat: Column, size: float | Column) -> Column:
+    """Axial coordinates ``struct<q,r>`` of the hexagon (pointy top, side ``size``) whose centre is nearest.
+
+    All three cube axes are rounded, and the one moved most follows from the others.
+    """
+    size = F.lit(float(size)) if not isinstance(size, Column) else size
+    x, y = lon / size, lat / size
+    q, r = F.lit(math.sqrt(3) / 3) * x - y / 3, y * 2 / 3
+    s = -q - r
+    rq, rr, rs = F.rint(q), F.rint(r), F.rint(s)
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
+    follows_q, follows_r = (dq > dr) & (dq > ds), dr > ds
+    return F.struct(
+        F.when(follows_q, -rr - rs).otherwise(rq).cast("bigint").alias("q"),
+        F.when(~follows_q & follows_r, -rq - rs).otherwise(rr).cast("bigint").alias("r"),
+    )
+
+
+def true_hex_center(q: Column, r: Column, size: float | Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a hexagon's centre."""
+    size = F.lit(float(size)) if not isinstance(size, Column) else size
+    return size * F.lit(math.sqrt(3)) * (q + r / 2), size * 3 * r / 2
+
+
+def hex_ring(q: Column, r: Column, distance: int = 1) -> Column:
+    """The ``6 * distance`` hexagons that many steps away, as ``array<struct<q,r>>``."""
+    around, at = [], (-distance, distance)
+    for dq, dr in ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)):
+        for _ in range(distance):
+            around.append(F.struct((q + at[0]).alias("q"), (r + at[1]).alias("r")))
+            at = (at[0] + dq, at[1] + dr)
+    return F.array(*around)
+
+
+def true_hex_parent(q: Column, r: Column, size: float | Column, parent_size: float | Column) -> Column:
+    """The coarser hexagon that holds a hexagon's centre; hexagons don't nest, but every one has one parent."""
+    return true_hex(*true_hex_center(q, r, size), parent_size)
+
+
 def hex_center_lon(q: Column, size: Column) -> Column:
     return q * size * F.lit(math.sqrt(3))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..session import written
 from .aggregates import centre_sums, per_group_cap, with_mean_position
 from .rollup import facet_rollup, top_rows
 
@@ -77,6 +78,30 @@ def hex_aggregate(
     return cells if top is None else top_rows(cells, top, F.desc("business_count"), F.col("hex_q"), F.col("hex_r"))
 
 
+def true_hexagons(businesses: DataFrame, zoom: int, box: Sequence[float] | None = None) -> DataFrame:
+    """Businesses per true hexagon of a zoom level, with its centre, its parent and what its six neighbours hold.
+
+    Beside :func:`hex_cells`, whose ids round two axes on their own. Cells are
+    counted first; neighbours are found by an equality join of counted cells.
+    """
+    size, coarser = M.hex_size(zoom), M.hex_size(max(zoom - 1, HEX_ZOOMS[0]))
+    cell = M.true_hex(F.col("longitude"), F.col("latitude"), size)
+    counted = written(_located(businesses, box).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("business_count")).select(
+        F.col("cell.q").alias("hex_q"), F.col("cell.r").alias("hex_r"), "business_count",
+    ), "hexagons")
+    around = counted.select(F.inline(M.hex_ring(F.col("hex_q"), F.col("hex_r"))), "business_count").groupBy(F.col("q").alias("hex_q"), F.col("r").alias("hex_r")).agg(
+        F.sum("business_count").alias("neighbour_count"), F.count(F.lit(1)).alias("neighbours")
+    )
+    q, r = F.col("hex_q"), F.col("hex_r")
+    lon, lat = M.true_hex_center(q, r, size)
+    parent = M.true_hex_parent(q, r, size, coarser)
+    return counted.join(around, ["hex_q", "hex_r"], "left").select(
+        F.lit(zoom).alias("zoom_level"), "hex_q", "hex_r", lon.alias("center_lon"), lat.alias("center_lat"), "business_count",
+        F.coalesce("neighbour_count", F.lit(0)).alias("neighbour_count"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"),
+        parent["q"].alias("parent_q"), parent["r"].alias("parent_r"),
+    )
+
+
 def cluster_cells(businesses: DataFrame, zooms: Iterable[int], box: Sequence[float] | None = None) -> DataFrame:
     """Count, kinds, spread and period per (zoom, rounded cell)."""
     sized = _per_zoom(businesses, box, {z: M.cluster_size(z) for z in zooms}, "grid_size")

@@ -558,6 +558,11 @@ def hex_top(t: Tables) -> DataFrame:
     return r(Z.hex_aggregate(t.businesses, 8, top=200), 9, "center_lon", "center_lat")
 
 
+@query
+def true_hexagons(t: Tables) -> DataFrame:
+    return r(Z.true_hexagons(t.businesses, 8), 9, "center_lon", "center_lat")
+
+
 @query
 def zoom_lookup(t: Tables) -> DataFrame:
     """One lookup per kind of feature: hexagons, clusters, buildings."""

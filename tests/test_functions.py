@@ -135,3 +135,37 @@ def test_bands_and_scores(spark):
     assert column(spark, [2, 3], "int", M.mixed_use) == [False, True]
     assert column(spark, [None, "7207"], "string", M.code_class)[0] is None
     assert column(spark, [3, 7, 30], "int", M.point_size) == [4, 3, 2]
+
+
+def test_true_hexagons_are_the_nearest_and_have_six_neighbours(spark):
+    import random
+
+    from geoledger.operators.pyramid import true_hexagons
+
+    rnd, size = random.Random(6), M.hex_size(8)
+    at = [(i, -122.42 + rnd.random() * 0.02, 37.76 + rnd.random() * 0.02) for i in range(400)] + [(900, None, 37.0)]
+    df = spark.createDataFrame(at, "unique_id long, longitude double, latitude double")
+
+    def centre(q, r):
+        return size * math.sqrt(3) * (q + r / 2), size * 1.5 * r
+
+    hexed = df.where("longitude is not null").withColumn("h", M.true_hex(F.col("longitude"), F.col("latitude"), size))
+    rows = hexed.select("longitude", "latitude", "h.q", "h.r", M.hex_ring(F.col("h.q"), F.col("h.r")).alias("near"), M.hex_ring(F.col("h.q"), F.col("h.r"), 2).alias("far")).collect()
+    counts: dict = {}
+    for row in rows:
+        own = math.dist(centre(row["q"], row["r"]), (row["longitude"], row["latitude"]))
+        others = [math.dist(centre(row["q"] + a, row["r"] + b), (row["longitude"], row["latitude"])) for a in range(-3, 4) for b in range(-3, 4) if a or b]
+        assert own <= min(others)
+        step = size * math.sqrt(3)
+        for ring, n, reach in ((row["near"], 6, 1), (row["far"], 12, 2)):
+            cells = {(c["q"], c["r"]) for c in ring}
+            assert len(cells) == n
+            assert all((reach - 0.3) * step < math.dist(centre(*c), centre(row["q"], row["r"])) < (reach + 0.01) * step for c in cells)
+        counts[row["q"], row["r"]] = counts.get((row["q"], row["r"]), 0) + 1
+    got = {(r["hex_q"], r["hex_r"]): r for r in true_hexagons(df, 8).collect()}
+    assert {k: r["business_count"] for k, r in got.items()} == counts
+    for (q, r), row in got.items():
+        near = [counts[q + a, r + b] for a, b in ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)) if (q + a, r + b) in counts]
+        assert (row["neighbours"], row["neighbour_count"]) == (len(near), sum(near))
+        parent = centre(row["parent_q"], row["parent_r"])
+        assert math.dist((2 * parent[0], 2 * parent[1]), centre(q, r)) <= 2 * size + 1e-9

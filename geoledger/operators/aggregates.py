@@ -105,16 +105,23 @@ def agg_by_grid(
     pairs: DataFrame, size: float = 0.002, bands: Sequence = M.FULL_GRID_BANDS, ratio: str = "density_ratio",
     weight: str | None = None,
 ) -> DataFrame:
-    """Per floor cell: pairs, buildings, codes, mean centre, dominant category, band."""
+    """Per floor cell: pairs, buildings, codes, mean centre, dominant category, band.
+
+    Pairs are summed per building and code first, so the profile of a cell is
+    rolled up from its buildings and not from every pair.
+    """
     lon, lat = "building_center_lon", "building_center_lat"
-    celled = pairs.withColumns({
+    per_building = pairs.groupBy("building_id", "building_category", lon, lat, "naics_code").agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_pairs")
+    )
+    celled = per_building.withColumns({
         "grid_x": M.floor_cell(F.col(lon), size), "grid_y": M.floor_cell(F.col(lat), size),
     })
     out = facet_rollup(
         celled, ["grid_x", "grid_y"], "total_businesses",
         distinct={"building_count": "building_id", "business_type_diversity": "naics_code"},
         modes={"dominant_building_type": "building_category"},
-        sums=centre_sums(lon, lat, F.col(weight) if weight else None), weight=F.col(weight) if weight else None,
+        sums=centre_sums(lon, lat, F.col("_pairs")), weight=F.col("_pairs"),
     )
     n = F.col("total_businesses")
     return with_mean_position(out, "total_businesses").withColumns({
@@ -202,10 +209,11 @@ def density_distribution(profiles: DataFrame, count: str = "business_count") ->
 
 def coverage_stats(
     businesses: DataFrame, buildings: DataFrame, centred: DataFrame, pairs: DataFrame,
-    by_building: DataFrame, radius: float = 0.0005,
+    by_building: DataFrame, radius: float = 0.0005, weight: str | None = None,
 ) -> DataFrame:
-    """One row of totals over the stages of the building profile."""
+    """One row of totals over the stages of the building profile; ``pairs`` may be folded with a ``weight``."""
     rows = F.count(F.lit(1))
+    folded = F.lit(1) if weight is None else F.col(weight)
     metres = F.lit(M.METRES_PER_DEGREE)
     # each side is one row
     parts = [
@@ -213,9 +221,9 @@ def coverage_stats(
         buildings.agg(rows.alias("buildings_loaded")),
         centred.agg(rows.alias("buildings_with_centroids")),
         pairs.agg(
-            rows.alias("spatial_associations"),
+            F.coalesce(F.sum(folded), F.lit(0)).cast("long").alias("spatial_associations"),
             distinct_with_null("naics_code").alias("total_unique_business_types"),
-            F.round(F.avg("distance_degrees") * metres, 1).alias("avg_association_distance_meters"),
+            F.round(F.sum(F.col("distance_degrees") * folded) / F.sum(folded) * metres, 1).alias("avg_association_distance_meters"),
             F.round(F.max("distance_degrees") * metres, 1).alias("max_association_distance_meters"),
         ),
         by_building.agg(

@@ -201,17 +201,21 @@ def check_addresses(df: DataFrame) -> DataFrame:
 
 
 def validation_report(businesses: DataFrame, buildings: DataFrame | None = None) -> DataFrame:
-    """One row: the checks that count and their mean."""
+    """One row: the checks that count and their mean. All counts over the businesses come from one pass; outliers need their quartiles first."""
+    present = [f for f in VALIDATION_FIELDS if f in businesses.columns]
+    counts = businesses.agg(
+        _rows().alias("_t"), *[F.count(f).alias(f"_{f}") for f in present], F.count_if(_in_city()).alias("_city"),
+        F.count("naics_code").alias("_code"), F.count("street_address").alias("_address"),
+    )
     parts = [
-        overall_completeness(businesses).withColumnRenamed("overall_completeness", "completeness"),
-        check_coordinates(businesses).select(F.col("city_coverage_rate").alias("coordinates")),
-        check_naics(businesses).select(F.col("naics_coverage_rate").alias("naics")),
+        counts.select(
+            *[rate(f"_{f}", "_t").alias(f) for f in present], rate("_city", "_t").alias("coordinates"), rate("_code", "_t").alias("naics"), rate("_address", "_t").alias("addresses"),
+        ).select(_mean(present).alias("completeness"), "coordinates", "naics", "addresses"),
         detect_outliers(businesses).select(F.when(F.col("passes_outlier_check"), 1.0).otherwise(0.5).alias("outliers")),
-        check_addresses(businesses).select(F.col("address_completeness").alias("addresses")),
     ]
     if buildings is not None:
         parts.append(check_geometries(buildings).select(F.col("valid_polygon_rate").alias("geometries")))
-    names = [p.columns[0] for p in parts]
+    names = [c for c in ("completeness", "coordinates", "naics", "outliers", "addresses", "geometries") if any(c in p.columns for p in parts)]
     return one_row(*parts).select(
         *names, _mean(names).alias("overall_score"), F.lit(len(names)).alias("total_checks")
     )

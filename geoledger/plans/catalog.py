@@ -618,8 +618,8 @@ def density_distribution(t: Tables) -> DataFrame:
 
 @query
 def coverage_stats(t: Tables) -> DataFrame:
-    pairs = written(_pairs(t), "pairs")
-    return A.coverage_stats(t.stored, t.buildings, t.centred, pairs, A.agg_by_building_full(pairs))
+    pairs = written(_folded(t), "pairs")
+    return A.coverage_stats(t.stored, t.buildings, t.centred, pairs, A.agg_by_building_full(pairs, weight="weight"), weight="weight")
 
 
 @query

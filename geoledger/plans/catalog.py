@@ -167,15 +167,26 @@ def append_refresh_events(t: Tables) -> DataFrame:
 
 @query
 def sink_jdbc(t: Tables) -> DataFrame:
-    """Written to a database and read back: the one in memory that comes with Spark, so on one machine only."""
+    """Written to a database and read back in ranges.
+
+    ``spark.geoledger.jdbc.url`` names the database (and ``.driver`` its
+    driver). Without it, on one machine, it is the one in memory that comes
+    with Spark; on a cluster, whose executors can't reach that, it is an error.
+    """
     rows = S.db_building_rows(t.buildings).select("osm_id", "building_type", "address", "geom_wkt", "centroid_lon", "centroid_lat")
-    if t.spark.sparkContext.master.split("[")[0] != "local":
-        return rows  # executors elsewhere can't reach a database in this process
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    S.sink_jdbc(rows, url, "buildings", driver)
+    url = t.spark.conf.get("spark.geoledger.jdbc.url", None)
+    if url is None:
+        if t.spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.geoledger.jdbc.url to a database that all executors reach")
+        url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    else:
+        driver = t.spark.conf.get("spark.geoledger.jdbc.driver", None)
+    options = {"driver": driver} if driver else {}
+    name = f"buildings_{uuid.uuid4().hex}"
+    S.sink_jdbc(rows, url, name, options)
     ends = rows.agg(F.min("osm_id").alias("low"), F.max("osm_id").alias("high")).first()
     ranges = {} if ends["low"] is None else {"column": "osm_id", "lowerBound": ends["low"], "upperBound": ends["high"] + 1, "numPartitions": t.spark.sparkContext.defaultParallelism}
-    return t.spark.read.jdbc(url, "buildings", properties=driver, **ranges).select(*[F.col(c).cast(k).alias(c) for c, k in rows.dtypes])
+    return t.spark.read.jdbc(url, name, properties=options, **ranges).select(*[F.col(c).cast(k).alias(c) for c, k in rows.dtypes])
 
 
 @query

@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Sequence
 from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +73,12 @@ def first_words(text: str, width: int) -> int:
 
 
 class Recent:
-    """Two generations of a dict: a full young one becomes the old one, so at most 2 x ``most`` entries are held."""
+    """Two generations of a dict: a full young one becomes the old one, so at most 2 x ``most`` bytes are held, entry by entry with OVERHEAD."""
+
+    OVERHEAD = 150
 
     def __init__(self, most: int) -> None:
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.held, self.young, self.old = most, 0, {}, {}
 
     def get(self, key):
         found = self.young.get(key)
@@ -85,15 +87,25 @@ class Recent:
         return found
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
+        if self.held >= self.most:
+            self.held, self.old, self.young = 0, self.young, {}
+        self.held += len(key) + len(value) + self.OVERHEAD
         self.young[key] = value
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    """Ids as the bytes of 32-bit numbers: small to keep, and joined without a loop."""
+    return np.asarray(ids, np.int32).tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, np.int32).tolist()
+
+
 class Encoder:
-    """Tokenizer of one task with its caches. Built inside the task from the vocabulary file."""
+    """Tokenizer of one task with its caches of ``words`` and ``chunks`` bytes. Built inside the task from the vocabulary file."""
 
-    def __init__(self, path: str, shared: dict[bytes, list[int]] | None = None, words: int = 150_000, chunks: int = 10_000) -> None:
+    def __init__(self, path: str, shared: dict[bytes, bytes] | None = None, words: int = 12 << 20, chunks: int = 6 << 20) -> None:
         import os
 
         from tokenizers import Tokenizer
@@ -103,7 +115,6 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.shared, self.words, self.chunks = shared or {}, Recent(words), Recent(chunks)
-        self.joined: dict[tuple[str, str], bool] = {}
 
     @cached_property
     def spec(self) -> dict:
@@ -141,15 +152,15 @@ class Encoder:
     def plain(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def new_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Plain words go in lines of many: tokens that close a pre-token tell where each word ends.
+    def new_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word. Plain words go in lines of many: tokens that close a pre-token tell where each word ends.
 
         A line whose count of such tokens isn't the expected one is encoded word by word.
         """
         first = (self.spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         if self.ends_word is None or first.get("type") != "Split":
-            return self.plain(words)
-        out: dict[str, list[int]] = {}
+            return list(map(packed, self.plain(words)))
+        out: dict[str, bytes] = {}
         simple = [w for w in words if PLAIN.fullmatch(w) and "<" not in w]
         lines = [simple[i : i + 256] for i in range(0, len(simple), 256)]
         for line, ids in zip(lines, self.plain(["\n".join(line) for line in lines])):
@@ -157,15 +168,16 @@ class Encoder:
             ends = np.flatnonzero(self.ends_word[np.array(ids, np.int64)]) + 1 if ids else np.empty(0, np.int64)
             if counts.min() > 0 and len(ends) == counts.sum() and (not len(ends) or ends[-1] == len(ids)):
                 stops = ends[np.cumsum(counts) - 1].tolist()
+                whole = packed(ids)
                 for w, a, b in zip(line, [0, *stops], stops):
-                    out[w] = ids[a:b]
+                    out[w] = whole[4 * a : 4 * b]
         rest = [w for w in words if w not in out]
-        out.update(zip(rest, self.plain(rest)))
+        out.update(zip(rest, map(packed, self.plain(rest))))
         return [out[w] for w in words]
 
-    def encode_chunks(self, chunks: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of every chunk as a text of its own."""
-        found: dict[bytes, list[int]] = {}
+    def encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of every chunk as a text of its own."""
+        found: dict[bytes, bytes] = {}
         missing = []
         for c in dict.fromkeys(chunks):
             ids = self.shared.get(c) or self.chunks.get(c)
@@ -175,7 +187,7 @@ class Encoder:
                 found[c] = ids
         if self.drops_space:
             split = [WORD.findall(c.decode()) for c in missing]
-            local: dict[str, list[int]] = {}
+            local: dict[str, bytes] = {}
             fresh = []
             for w in dict.fromkeys(chain.from_iterable(split)):
                 ids = self.words.get(w)
@@ -186,9 +198,9 @@ class Encoder:
             for w, ids in zip(fresh, self.new_words(fresh)):
                 local[w] = ids
                 self.words.put(w, ids)
-            made = [list(chain.from_iterable(map(local.__getitem__, words))) for words in split]
+            made = [b"".join(map(local.__getitem__, words)) for words in split]
         else:
-            made = self.plain([c.decode() for c in missing])
+            made = list(map(packed, self.plain([c.decode() for c in missing])))
         for c, ids in zip(missing, made):
             found[c] = ids
             if len(c) <= 1 << 14:
@@ -216,35 +228,26 @@ class Encoder:
             ids, text = joined, text + right
         return ids
 
-    def encode(self, texts: list[bytes], starts: list[list[int]]) -> list[list[int]]:
-        """Ids of every text; ``starts`` are its chunk starts."""
+    def encode(self, texts: list[bytes], starts: list[list[int]]) -> list[bytes]:
+        """Packed ids of every text; ``starts`` are its chunk starts."""
         chunked = [[t[a:b] for a, b in zip(s, [*s[1:], len(t)])] for t, s in zip(texts, starts)]
         known = self.encode_chunks(list(chain.from_iterable(chunked)))
-        return [self.join([c.decode() for c in cs] if not self.drops_space else cs, [known[c] for c in cs]) if cs else [] for cs in chunked]
+        if self.drops_space:
+            return [b"".join(map(known.__getitem__, cs)) for cs in chunked]
+        return [packed(self.join([c.decode() for c in cs], [unpacked(known[c]) for c in cs])) if cs else b"" for cs in chunked]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         if self.spec.get("decoder") is None:  # the library then joins the tokens by a space
-            return [" ".join(map(self.tokens.__getitem__, i)) for i in ids]
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values)), " ")
+        return pa.array(self.tokenizer.decode_batch(ids.to_pylist(), skip_special_tokens=False), pa.string())
 
     @cached_property
-    def tokens(self) -> list[str]:
-        return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-
+    def tokens(self) -> pa.Array:
+        return pa.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], pa.string())
 
-_HELD: dict[str, Encoder] = {}
 
-
-def held_encoder(name: str, path: str, shared) -> Encoder:
-    """The encoder of this worker process, kept with its bounded caches from task to task; one at a time."""
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = Encoder(path, shared.value)
-    return _HELD[name]
-
-
-def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63, most: int = 16_384, longest: int = 4096) -> dict[bytes, list[int]]:
-    """Ids of up to ``most`` chunks of at most ``longest`` bytes whose reuse saves most, over all documents.
+def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63, most: int = 16_384, longest: int = 4096) -> dict[bytes, bytes]:
+    """Packed ids of up to ``most`` chunks of at most ``longest`` bytes whose reuse saves most, over all documents.
 
     Chunk hashes and counts are combined on the map side; counts of savings, in
     steps of a twelfth, tell how many steps from the top fit; each of those
@@ -298,10 +301,10 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63
         for batch in batches:
             chunks = batch.column("chunk").to_pylist()
             ids = encoder.encode_chunks(chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array([ids[c] for c in chunks], pa.list_(pa.int32()))], names=["chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array([ids[c] for c in chunks], pa.binary())], names=["chunk", "ids"])
 
     once = docs.select(text).mapInArrow(picked, "key long, chunk binary").dropDuplicates(["key"]).select("chunk")
-    found = once.mapInArrow(encoded, "chunk binary, ids array<int>").toArrow()  # at most ``most`` chunks of ``longest`` bytes
+    found = once.mapInArrow(encoded, "chunk binary, ids binary").toArrow()  # at most ``most`` chunks of ``longest`` bytes
     return dict(zip(found.column("chunk").to_pylist(), found.column("ids").to_pylist()))
 
 
@@ -314,21 +317,24 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", mask: int
     or empty text has no ids. No row moves: chunk counts are the only shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, mask, most_shared))
-    name = uuid.uuid4().hex
-
-    def make(_texts, data, bounds):
-        encoder = held_encoder(name, path, shared)
-        at = cuts(data, bounds, mask)
-        raw, ends = data.tobytes(), bounds[1:].tolist()
-        spans = np.split(at, np.searchsorted(at, bounds[1:-1]))
-        starts = [(s - b).tolist() for s, b in zip(spans, bounds[:-1].tolist())]
-        ids = encoder.encode([raw[a:b] for a, b in zip(bounds[:-1].tolist(), ends)], starts)
-        flat = np.fromiter(chain.from_iterable(ids), np.int32)
-        offsets = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(i) for i in ids], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(encoder.decode(ids), pa.string())
-
-    return with_columns(docs, text, "ids array<int>, decoded string", make)
+
+    def of_task():
+        encoder = Encoder(path, shared.value)
+
+        def make(_texts, data, bounds):
+            at = cuts(data, bounds, mask)
+            raw, ends = data.tobytes(), bounds[1:].tolist()
+            spans = np.split(at, np.searchsorted(at, bounds[1:-1]))
+            starts = [(s - b).tolist() for s, b in zip(spans, bounds[:-1].tolist())]
+            ids = encoder.encode([raw[a:b] for a, b in zip(bounds[:-1].tolist(), ends)], starts)
+            offsets = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            return rows, encoder.decode(rows)
+
+        return make
+
+    return with_columns(docs, text, "ids array<int>, decoded string", of_task, per_task=True)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

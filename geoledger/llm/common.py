@@ -142,9 +142,12 @@ def in_filter(words: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def with_columns(df: DataFrame, column: str, fields: str, make, limit: int = SLICE_BYTES) -> DataFrame:
+def with_columns(df: DataFrame, column: str, fields: str, make, limit: int = SLICE_BYTES, per_task: bool = False) -> DataFrame:
     """Every row of ``df`` with new columns made from one text column, Arrow batch by batch.
 
+    With ``per_task``, ``make`` takes no arguments and returns the function for
+    one task; what that holds is let go when the task ends.
+
     ``make(texts, data, bounds)`` gets rows of about ``limit`` bytes of text (an
     Arrow array, its bytes, the row bounds in them) and returns one array per
     field of the DDL string ``fields``. Columns of these names are replaced.
@@ -154,9 +157,10 @@ def with_columns(df: DataFrame, column: str, fields: str, make, limit: int = SLI
     schema = type(added)(kept.schema.fields + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = make() if per_task else make
         for batch in batches:
             for part, data, bounds in text_slices(batch, column, limit):
-                made = make(part.column(column), data, bounds)
+                made = values(part.column(column), data, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[m if isinstance(m, pa.Array) else pa.array(m) for m in made]],
                     names=[*part.schema.names, *added.fieldNames()],

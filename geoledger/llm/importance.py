@@ -21,6 +21,8 @@ BUCKETS = 1 << 16
 LENGTH = 100  # n-grams a document's log weight is scaled to
 PRIOR = 20  # n-grams of weight zero added to every document, so a few words decide little
 STEP = 0.25
+#: Bytes of text taken at once; n-grams hold some fifty bytes for each.
+GRAM_SLICE = 1 << 19
 
 
 def _kinds() -> np.ndarray:
@@ -90,7 +92,7 @@ def weights(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000, doc_
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part, data, bounds in text_slices(batch, "text"):
+            for part, data, bounds in text_slices(batch, "text", GRAM_SLICE):
                 bucket, row = grams(data, bounds)
                 good = np.array([g == 1 for g in part.column("good").to_pylist()], bool)
                 raw += np.bincount(bucket, minlength=BUCKETS)
@@ -114,7 +116,7 @@ def weights(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000, doc_
         return pa.array(n), pa.array(LENGTH * total / (n + PRIOR))
 
     keyed = known.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return with_columns(keyed, "text", "n_grams long, log_weight double", weigh).drop("text")
+    return with_columns(keyed, "text", "n_grams long, log_weight double", weigh, GRAM_SLICE).drop("text")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7, most_labels: int = 100_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -221,7 +221,8 @@ def repaired(rows: DataFrame) -> DataFrame:
     says = F.md5(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.length("role").cast("string"), "role", "text").cast("binary"))
     has = F.struct(F.col("turn").isNotNull().alias("has"), F.col("turn").alias("turn"))
     named = folded.withColumn("says", F.when(F.col("copies") > 0, says))
-    again = named.where("says is not null").groupBy("says").agg(F.count(F.lit(1)).alias("places"), F.min(has).alias("first")).where("places > 1").select("says", "first")
+    placed = named.where("says is not null").groupBy("says").agg(F.count(F.lit(1)).alias("places"), F.min(has).alias("first"))
+    again = written(placed.where("places > 1").select("says", "first"), "said-again")  # its size tells whether to copy it; a hot text then splits the join
     flagged = named.join(again, "says", "left").select(
         "conv_id", "turn", "role", "text", "copies", (F.col("first").isNotNull() & ~F.col("turn").eqNullSafe(F.col("first.turn"))).alias("seen"),
     )

@@ -134,7 +134,8 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = column_bwt.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400)
-    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    readable = F.expr("make_valid_utf8(cast(kept AS string))")
+    return kept.withColumns({"kept_sha256": F.sha2("kept", 256), "kept_text": readable}).drop("kept")
 
 
 @query

@@ -308,18 +308,20 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text", mask: int = 63
     return dict(zip(found.column("chunk").to_pylist(), found.column("ids").to_pylist()))
 
 
-def encode_and_decode(docs: DataFrame, path: str, text: str = "text", mask: int = 63, most_shared: int = 16_384) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", mask: int = 63, most_shared: int = 16_384, word_cache: int = 12 << 20) -> DataFrame:
     """Every row with ``ids`` (array<int>) and ``decoded`` (the ids decoded again); columns of these names are replaced.
 
     Ids equal the library's encode(text, add_special_tokens=False) without
     truncation or padding, ``decoded`` its decode(ids, skip_special_tokens=False).
     ``path`` is the vocabulary file, at the same place on every executor. A null
     or empty text has no ids. No row moves: chunk counts are the only shuffle.
+    ``word_cache`` are the bytes of words a task may keep in each of two
+    generations; a larger one saves time where the vocabulary is large.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, mask, most_shared))
 
     def of_task():
-        encoder = Encoder(path, shared.value)
+        encoder = Encoder(path, shared.value, word_cache)
 
         def make(_texts, data, bounds):
             at = cuts(data, bounds, mask)

@@ -116,7 +116,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 @query
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = chunk_bpe.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+    encoded = chunk_bpe.encode_and_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(), word_cache=48 << 20)
     return chunk_bpe.digests(encoded.drop("text"))
 
 

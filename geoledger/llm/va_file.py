@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-SCAN = "query_no long, vec_no long, upper long, lower long"
+SCAN = "query_no long, vec_no long, upper double, lower double"
+LONGEST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
@@ -44,8 +45,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, block: int
     ``query_block`` queries through an equi-join on the pair of block numbers,
     and a task holds one such pair. Repeated vec_ids count as separate rows. An
     empty table gives no rows.
+
+    Where the largest components could carry a sum past 64 bits, scores are
+    summed and ordered as 38-digit decimals and only shown cut to the range of a
+    long. A component counts for 9 * 10^18 over the root of the vector's length at
+    most, on either side, so a sum has 38 digits at most. Bounds are doubles;
+    where those can round, they are widened by more than they can be off.
     """
-    source = written(vectors.select("vec_id", "v", is_query.alias("asks")), "va-source")
+    most = F.floor(F.lit(9e18) / F.sqrt(F.greatest(F.size("v"), F.lit(1))))
+    bounded = F.transform("v", lambda e: F.greatest(-most, F.least(most, e)))
+    source = written(vectors.select("vec_id", bounded.alias("v"), is_query.alias("asks")), "va-source")
     ids = _best(source.where("vec_id is not null").withColumn("key", F.to_json("v")).select("key", "vec_id"), "key", k + 1, "vec_id")
     groups = ids.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most k + 1 each
     distinct = source.where("vec_id is not null").groupBy(F.to_json("v").alias("key")).agg(F.max("asks").alias("asks"))
@@ -55,13 +64,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, block: int
     total, asked = numbered.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     if not stats or not asked:
         return source.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lo = np.array([r["lo"] for r in stats], float)
-    step = np.maximum(1.0, np.ceil((np.array([r["hi"] for r in stats], float) - lo + 1) / cells))
+    largest = sum(max(abs(r["lo"]), abs(r["hi"])) ** 2 for r in stats)
+    wide = largest > LONGEST
+    lo, hi = (np.array([r[side] for r in stats], float) for side in ("lo", "hi"))
+    biggest = np.maximum(np.abs(lo), np.abs(hi))
+    rounding = (len(stats) + 16) * 2.0**-51 if largest >= 2**52 else 0.0  # bounds are exact integers below that
+    step = np.maximum(1.0, np.ceil((hi - lo + 1) / cells))
     blocks, query_blocks = -(-total // block), -(-asked // query_block)
 
     @F.pandas_udf("binary")
     def cell_file(vs: pd.Series) -> pd.Series:
-        return vs.map(lambda v: ((np.asarray(v, float) - lo[: len(v)]) // step[: len(v)]).astype(np.uint8).tobytes())
+        return vs.map(lambda v: np.clip((np.asarray(v, float) - lo[: len(v)]) // step[: len(v)], 0, cells - 1).astype(np.uint8).tobytes())
 
     approximation = written(
         numbered.select("vec_no", F.size("v").alias("dims"), cell_file("v").alias("cell"), F.pmod("vec_no", F.lit(blocks)).alias("block")), "va-file"
@@ -88,16 +101,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, block: int
             kept = min(k + 1, len(rows))
             for first in range(0, len(queries), 128):
                 q = queries[first : first + 128]
-                centre, reach = q @ middle.T, (np.abs(q) @ half)[:, None]
+                centre, reach = q @ middle.T, (np.abs(q) @ half + rounding * (np.abs(q) @ (biggest[:dims] + step[:dims])))[:, None]
                 # within a block all bounds of a query reach equally far, so the centres alone order them
                 floor = np.partition(centre, -kept, axis=1)[:, -kept][:, None] - 2 * reach
                 a, b = np.nonzero(centre >= floor)
                 out.append(pd.DataFrame({
                     "query_no": names[first + a], "vec_no": rows["vec_no"].to_numpy()[b],
-                    "upper": np.floor(centre[a, b] + reach[a, 0]).astype(np.int64),
-                    "lower": np.ceil(centre[a, b] - reach[a, 0]).astype(np.int64),
+                    "upper": np.floor(centre[a, b] + reach[a, 0]),
+                    "lower": np.ceil(centre[a, b] - reach[a, 0]),
                 }))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in SCAN.split(", ")})
+        return pd.concat(out) if out else pd.DataFrame({name: pd.Series([], dtype="int64" if kind == "long" else "float64") for name, kind in map(str.split, SCAN.split(", "))})
 
     bounds = written(here.groupBy("block", "query_block").cogroup(there.groupBy("block", "query_block")).applyInPandas(scan, SCAN), "va-bounds")
     floors = _best(bounds, "query_no", k + 1, F.desc("lower")).groupBy("query_no").agg(
@@ -106,14 +119,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, block: int
     left = written(bounds.join(floors, "query_no").where("floor is null or upper >= floor").select("query_no", "vec_no", "upper"), "va-candidates")
     exact = numbered.select("vec_no", "v", "ids")
     vectors_asked = asking.select("query_no", "q")
-    done = None
+    done, factor = None, "decimal(19,0)" if wide else "long"
     while True:
         due = _best(left, "query_no", batch, F.desc("upper"), "vec_no").drop("rank")
-        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, e: s + e)
+        number = "decimal(38,0)" if wide else "long"
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: (a.cast(factor) * b.cast(factor)).cast(number)), F.lit(0).cast(number), lambda s, e: (s + e).cast(number))
         read = due.join(exact, "vec_no").join(vectors_asked, "query_no").select("query_no", "vec_no", score.alias("score"), F.element_at("ids", 1).alias("first"))
         found = _best(read if done is None else done.unionByName(read), "query_no", k + 1, F.desc("score"), "first").drop("rank")
         done = written(found, "va-found")
-        worst = done.groupBy("query_no").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("worst"))
+        worst = done.groupBy("query_no").agg(F.when(F.count(F.lit(1)) > k, F.min("score").cast("double")).alias("worst"))
         rest = left.join(due.select("query_no", "vec_no"), ["query_no", "vec_no"], "left_anti").join(worst, "query_no")
         left = written(rest.where("worst is null or upper >= worst").select("query_no", "vec_no", "upper"), "va-candidates")
         if left.isEmpty():
@@ -128,6 +142,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = 64, block: int
     askers = source.where("vec_id is not null and asks").select(F.col("vec_id").alias("query_id"), F.to_json("v").alias("key")).join(keys, "key")
     one = F.array_position(F.transform("found", lambda f: f["vec_id"]), F.col("query_id")).cast("int")
     others = F.filter("found", lambda f, i: (i + 1) != one)
+    score = -F.col("f.s")
+    if wide:
+        score = F.greatest(F.lit(-LONGEST - 1).cast("decimal(38,0)"), F.least(F.lit(LONGEST).cast("decimal(38,0)"), score)).cast("long")
     return askers.join(short, "query_no").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "f")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score")
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), score.alias("score")
     )

@@ -42,3 +42,16 @@ def test_repeated_ids_and_small_tables(spark):
     assert search(spark.createDataFrame([(20, [1.0])], schema), 20) == []
     assert search(spark.createDataFrame([(1, [1.0]), (2, [1.0])], schema), 20) == []
     assert search(spark.createDataFrame([(20, [1.0]), (20, [1.0]), (3, [2.0])], schema), 20) == [(20, 1, 3, 64 * 128), (20, 1, 3, 64 * 128), (20, 2, 20, 64 * 64), (20, 2, 20, 64 * 64)]
+
+
+def test_large_components(spark):
+    """Scores past 64 bits are ordered exactly and shown at the end of the range; bounds that round lose nothing."""
+    rng = np.random.default_rng(5)
+    for size in (2.0**24, 2.0**30, 1e17, 1e30):
+        rows = [(i, [float(x) for x in rng.normal(0, size, 4)]) for i in range(120)] + [(200, [1.0] * 4), (201, [0.5] * 4), (220, [0.0] * 4)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        limit = 45 * 10**17  # 9e18 over the root of 4
+        cut = [(i, [max(-limit, min(limit, math.floor(64 * x))) for x in v]) for i, v in rows]
+        expected = [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in plain(cut, 20)]
+        assert search(df, 20) == expected
+        assert search(df, 5, cells=4, block=16, query_block=2, batch=4) == [e for e in expected if e[1] <= 5]

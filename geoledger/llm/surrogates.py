@@ -10,8 +10,10 @@ the real ones, and those that collide are drawn again until none does.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -28,8 +30,8 @@ SCRIPTS = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
 RANGES = ((0x3041, 0x3096), (0x30A1, 0x30FA), (0x0621, 0x064A), (0x05D0, 0x05EA), (0xAC00, 0xD7A3), (0x4E00, 0x9FFF))
-SYLLABLES = {"latin": ("ba", "den", "el", "fi", "gor", "ha", "jo", "kel", "li", "mar", "no", "or", "pe", "ral", "san", "ti"), "cyrillic": ("ба", "ден", "ел", "фи", "гор", "ха", "ко", "кел", "ли", "мар", "но", "ор", "пе", "рал", "сан", "ти")}
-ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("latin", "s"): "son", ("cyrillic", "f"): "а", ("cyrillic", "m"): "он", ("cyrillic", "s"): "енко"}
+SYLLABLES = {"latin": ("ba", "den", "el", "fi", "gor", "ha", "jo", "kel", "li", "mar", "no", "or", "pe", "ral", "san", "ti"), "greek": ("βα", "δεν", "ελ", "φι", "γορ", "χα", "ιο", "κελ", "λι", "μαρ", "νο", "ορ", "πε", "ραλ", "σαν", "τι"), "cyrillic": ("ба", "ден", "ел", "фи", "гор", "ха", "ко", "кел", "ли", "мар", "но", "ор", "пе", "рал", "сан", "ти")}
+ENDINGS = {("greek", "f"): "α", ("greek", "m"): "ος", ("greek", "s"): "ιδης", ("latin", "f"): "a", ("latin", "m"): "o", ("latin", "s"): "son", ("cyrillic", "f"): "а", ("cyrillic", "m"): "он", ("cyrillic", "s"): "енко"}
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NAME = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
@@ -39,6 +41,7 @@ PATTERNS = (
     ("secret", re.compile(r"(?i:(?:token|secret|api[_-]?key|password|passwd)[\"']?\s*[:=]\s*[\"']?)([0-9A-Za-z_+/-]{12,})")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("ipv4", re.compile(rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9])(?!\.[0-9])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")),
@@ -46,7 +49,16 @@ PATTERNS = (
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")),
 )
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({NAME}(?: {NAME}){{0,2}})")
-HINT = re.compile("[0-9@]")
+HINT = re.compile("[0-9@]|::")
+
+
+def _groups(found: str) -> list[int]:
+    """The eight numbers of an IPv6 address; none if the text is no address."""
+    try:
+        packed = ipaddress.IPv6Address(found).packed
+    except ValueError:
+        return []
+    return [packed[i] << 8 | packed[i + 1] for i in range(0, 16, 2)]
 
 
 def canonical(kind: str, found: str) -> str:
@@ -56,6 +68,8 @@ def canonical(kind: str, found: str) -> str:
         return digits if kind != "phone" or len(digits) != 10 else "1" + digits
     if kind == "iban":
         return found.replace(" ", "")
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(found))
     return found if kind == "secret" and not re.fullmatch("[0-9a-fA-F]+", found) else found.lower()
 
 
@@ -63,27 +77,34 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities (start, end, kind, canonical spelling), in order, none inside another.
 
     Persons are found by a title; their given names and surnames are entities
-    of their own, so "Mrs Anna Smith" and "Anna Smith" further on agree.
+    of their own, so "Mrs Anna Smith", "Anna Smith" and "Anna" further on agree.
+    A word that is both in one text counts as what it stood for after a title,
+    else as a surname. An IPv6 address has three groups or more that are not
+    zero: fewer name a kind of address, or are no address ("a[1::2]").
     """
     spans: list[tuple[int, int, str, str]] = []
     if HINT.search(text):
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
                 a, b = m.span(m.lastindex or 0)
+                if kind == "ipv6" and sum(g > 0 for g in _groups(text[a:b])) < 3:
+                    continue
                 if not any(x < b and a < y for x, y, _, _ in spans):
                     spans.append((a, b, kind, canonical(kind, text[a:b])))
     if any(t in text for t in TITLES):
-        people: dict[str, str] = {}
-        for m in TITLED.finditer(text):
-            *given, last = m[2].split(" ")
-            people[m[2]] = TITLES[m[1]]
-            if given:
-                people.setdefault(last, TITLES[m[1]])
+        people: dict[str, list[str]] = {}  # name: kind of each of its words
+        titled = [(m[2].split(" "), f"given_{TITLES[m[1]]}") for m in TITLED.finditer(text)]
+        for parts, given in titled:
+            people[" ".join(parts)] = [given] * (len(parts) - 1) + ["surname"]
+        for parts, _ in titled:
+            people.setdefault(parts[-1], ["surname"])
+        for parts, given in titled:
+            for part in parts[:-1]:
+                people.setdefault(part, [given])
         for name in sorted(people, key=len, reverse=True):
             for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
                 at = m.start()
-                for i, part in enumerate(parts := name.split(" ")):
-                    kind = "surname" if i == len(parts) - 1 else f"given_{people[name]}"
+                for part, kind in zip(name.split(" "), people[name]):
                     if not any(x < at + len(part) and at < y for x, y, _, _ in spans):
                         spans.append((at, at + len(part), kind, part.lower()))
                     at += len(part) + 1
@@ -111,6 +132,19 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+@lru_cache(1 << 12)
+def _relatives(letter: str) -> str:
+    """Letters of the same script and case that lie near in the code."""
+    script, base = unicodedata.name(letter, "").split(" ")[0], ord(letter) & ~127
+    near = map(chr, range(base, base + 128))
+    return "".join(c for c in near if unicodedata.category(c) == unicodedata.category(letter) and unicodedata.name(c, "").split(" ")[0] == script) or letter
+
+
+def _script(name: str) -> str:
+    """The script that syllables are known for, or that of the first letter."""
+    return unicodedata.name(name[0], "").split(" ")[0].lower()
+
+
 def _letters(text: str, key: bytes, *tweak: object) -> str:
     """Every letter and digit replaced by one of its script and case."""
     n, out = _number(key, *tweak, text), []
@@ -125,6 +159,10 @@ def _letters(text: str, key: bytes, *tweak: object) -> str:
         elif high:
             n, k = divmod(n, high - low + 1)
             out.append(chr(low + k))
+        elif c.isalpha():
+            near = _relatives(c)
+            n, k = divmod(n, len(near))
+            out.append(near[k])
         else:
             out.append(c)
     return "".join(out)
@@ -144,6 +182,12 @@ def surrogate(kind: str, real: str, attempt: int, key: bytes) -> str:
     if kind == "ipv4":
         n = _shuffled(sum(int(p) << 8 * (3 - i) for i, p in enumerate(real.split("."))), 1 << 32, key, kind, attempt)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ipv6":  # zeros stay, so that what is left out of the notation does, and a group keeps its width while draws last
+        def group(i: int, g: int) -> int:
+            low, high = (16 ** (len(f"{g:x}") - 1), 16 ** len(f"{g:x}")) if attempt < 8 else (1, 1 << 16)
+            return low + _number(key, kind, real, attempt, i) % (high - low) if g else 0
+
+        return str(ipaddress.IPv6Address(b"".join(group(i, g).to_bytes(2, "big") for i, g in enumerate(_groups(real)))))
     if kind == "email":
         local, _, domain = real.partition("@")
         labels, top = domain.rsplit(".", 1)
@@ -154,7 +198,9 @@ def surrogate(kind: str, real: str, attempt: int, key: bytes) -> str:
     if kind == "iban":
         return real[:2] + _letters(real[2:], key, kind, attempt)
     if kind in ("given_f", "given_m", "surname"):
-        script = "cyrillic" if re.match("[а-яё]", real) else "latin"
+        script = _script(real)
+        if script not in SYLLABLES:  # letter by letter, longer where short names run out
+            return _letters(real + real[-1] * (attempt // 4), key, kind, attempt)
         n, out = _number(key, kind, real, attempt), ""
         for _ in range(2 + attempt):
             n, k = divmod(n, 16)
@@ -174,6 +220,15 @@ def styled(kind: str, found: str, new: str) -> str:
         return new.upper() if len(found) > 1 and found.isupper() else new.capitalize()
     if kind == "secret" and found != found.lower() and re.fullmatch("[0-9A-F]+", found):
         return new.upper()
+    if kind == "ipv6":
+        head, gap, tail = found.partition("::")
+        before, after = [h for h in head.split(":") if h], [t for t in tail.split(":") if t]
+        made = [f"{g:x}" for g in _groups(new)]
+        shown = gap.join(
+            ":".join(m.zfill(len(f)) for f, m in zip(part, drawn))
+            for part, drawn in ((before, made), (after, made[8 - len(after) :]))
+        ) if gap else ":".join(m.zfill(len(f)) for f, m in zip(before, made))
+        return shown if found == found.lower() else shown.upper()
     if kind == "email" and found != found.lower():
         return new.upper() if found.isupper() else "".join(n.upper() if f.isupper() else n for f, n in zip(found, new))
     return new
@@ -225,14 +280,23 @@ def replaced(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "t
     """
     drawn = assign(entities(docs, text), key)
     odd = written(drawn.where("attempt > 0").select("kind", "entity", "attempt"), "redrawn")
+    again, name = _unused("again", docs), _unused("row_name", docs)
     if odd.isEmpty():
-        source = docs.withColumn("_odd", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
+        source = docs.withColumn(again, F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
     else:
         held = _occurrences(docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).alias("text")))
-        per_row = written(held.join(odd, ["kind", "entity"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("_odd")), "redrawn-rows")
-        named = docs.withColumn("row_key_", F.xxhash64(F.col(doc_id).cast("string"), text))
-        source = named.join(per_row.withColumnRenamed("row_key", "row_key_"), "row_key_", "left").drop("row_key_")
-    return _apply(source, key, text).select(*[c for c in docs.columns if c != "n_replaced"], "n_replaced")
+        per_row = held.join(odd, ["kind", "entity"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("again"))
+        named = docs.withColumn(name, F.xxhash64(F.col(doc_id).cast("string"), text))
+        source = named.join(written(per_row.toDF(name, again), "redrawn-rows"), name, "left").drop(name)
+    return _apply(source, key, text, again).select(*[c for c in docs.columns if c != "n_replaced"], "n_replaced")
+
+
+def _unused(name: str, rows: DataFrame) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -244,7 +308,7 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_key", F.xxhash64("doc", "text")).select("row_key", "text").mapInPandas(run, "row_key long, kind string, entity string")
 
 
-def _apply(source: DataFrame, key: bytes, text: str) -> DataFrame:
+def _apply(source: DataFrame, key: bytes, text: str, again_name: str) -> DataFrame:
     @F.pandas_udf("text string, n_replaced int")
     def change(texts: pd.Series, odd: pd.Series) -> pd.DataFrame:
         out = []
@@ -261,5 +325,6 @@ def _apply(source: DataFrame, key: bytes, text: str) -> DataFrame:
             out.append(("".join(pieces) + t[at:], len(spans)))
         return pd.DataFrame(out, columns=["text", "n_replaced"])
 
-    made = source.withColumn("_made", change(F.col(text), F.col("_odd")))
-    return made.withColumns({text: F.col("_made.text"), "n_replaced": F.col("_made.n_replaced")}).drop("_made", "_odd")
+    name = _unused("made", source)
+    made = source.withColumn(name, change(F.col(text), F.col(again_name)))
+    return made.withColumns({text: F.col(name)["text"], "n_replaced": F.col(name)["n_replaced"]}).drop(name, again_name)

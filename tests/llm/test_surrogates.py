@@ -82,3 +82,35 @@ def test_query_on_whole_table(spark):
         if not a:
             assert after[i] == text
     assert real and not real & made and len(made) == len(mapping)
+
+
+def test_given_names_alone_and_other_scripts(spark):
+    texts = [
+        "Mrs Anna Smith spoke. Anna left; Annabel stayed.", "Mr Αλέξανδρος Παπαδόπουλος and Αλέξανδρος again", "Frau Іванна Їжак rief an. Іванна ging.",
+        "Mr 山田 太郎 met Ms 김 민지.", "Mr გიორგი ბერიძე spoke", "Mr Thomas met Mr Thomas Brown",
+    ]
+    got = [r["text"] for _, r in sorted(texts_of(spark, texts).items())]
+    english = re.fullmatch(r"Mrs (\w+) (\w+) spoke\. (\w+) left; Annabel stayed\.", got[0])
+    assert english and english[1] == english[3] != "Anna"
+    greek = re.fullmatch(r"Mr ([Α-Ωα-ως]+) ([Α-Ωα-ως]+) and ([Α-Ωα-ως]+) again", got[1])
+    assert greek and greek[1] == greek[3] and greek[1].endswith("ος")
+    cyrillic = re.fullmatch(r"Frau ([А-Яа-я]+) ([А-Яа-я]+) rief an\. ([А-Яа-я]+) ging\.", got[2])
+    assert cyrillic and cyrillic[1] == cyrillic[3]
+    assert re.fullmatch(r"Mr [一-鿿]{2} [一-鿿]{2} met Ms [가-힣] [가-힣]{2}\.", got[3]) and re.fullmatch(r"Mr [ა-ჿ]{6} [ა-ჿ]{6} spoke", got[4])
+    thomas = re.fullmatch(r"Mr (\w+) met Mr (\w+) (\w+)", got[5])
+    assert thomas and not re.search("Thomas|Brown", got[5])
+
+
+def test_ipv6(spark):
+    texts = ["from 2001:db8:85a3::8a2e:370:7334, 2001:0DB8:85A3:0000:0000:8A2E:0370:7334.", "a[1::2], std::x, ::1, fe80::1, 12:30:45, 00:1b:44:11:3a:b7 and 1:2:3:4:5:6:7:8:9", "x 2001:db8:85a3::8a2e:370:7334"]
+    got = texts_of(spark, texts)
+    assert got[1]["text"] == texts[1]
+    short, full = re.fullmatch(r"from ([0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}), ([0-9A-F]{4}(?::[0-9A-F]{4}){7})\.", got[0]["text"]).groups()
+    assert surrogates._groups(short) == surrogates._groups(full) != surrogates._groups("2001:db8:85a3::8a2e:370:7334") and got[2]["text"] == f"x {short}"
+
+
+def test_clashing_columns(spark):
+    names = [chr(65 + i) + chr(97 + j) + "x" for i in range(26) for j in range(26)]  # so many that some are drawn again
+    docs = spark.createDataFrame([(i, f"Mr {n} spoke.", "o", "m", "r", "a") for i, n in enumerate(names)], "doc_id long, text string, Again string, made string, row_name string, row_key string")
+    rows = surrogates.replaced(docs, KEY).collect()
+    assert len({r["text"] for r in rows}) == len(names) and {tuple(r)[2:6] for r in rows} == {("o", "m", "r", "a")}

@@ -258,6 +258,16 @@ def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
     return every.join(twice, "digest", "left_semi").groupBy("key", "piece_key").agg(F.sort_array(F.collect_list("at")).alias("first")).withColumn("last", F.col("first"))
 
 
+def _folded(source: DataFrame) -> DataFrame:
+    """``source`` with one row per row_key and in ``copies`` how many it stands for; texts of rows that do not repeat stay in place."""
+    again = written(source.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated-rows")
+    if again.isEmpty():
+        return source.withColumn("copies", F.lit(1).cast("long"))
+    alone = source.join(again, "row_key", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    one = source.join(again, "row_key", "left_semi").groupBy("row_key").agg(*[F.first(c).alias(c) for c in source.columns if c != "row_key"])
+    return alone.unionByName(one.join(again, "row_key"))
+
+
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -267,11 +277,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     A window is ``length`` bytes that also start anywhere else, in the same or
     another row; windows never cross rows and are judged on the input. A null
     text is empty; rows that repeat (doc_id, text) repeat each other. ``kept`` is
-    binary, as a cut may fall inside a character.
+    binary, as a cut may fall inside a character. Repeated rows are searched as
+    one: only their texts are folded by a shuffle, and the spans found go back to
+    all of them.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    keyed = source.withColumn("copies", F.lit(1))
-    spans = repeated_spans(keyed, length)
+    spans = repeated_spans(_folded(source), length)
     joined = source.join(spans, "row_key", "left").select("doc_id", "text", "first", "last")
 
     def strip(batches):

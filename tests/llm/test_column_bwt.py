@@ -84,3 +84,19 @@ def test_busy_anchors_are_dealt_by_piece(spark, monkeypatch):
     rows = [(i, f"{'xy'[i % 2] * 30}{same}{'uv'[i % 2] * 30}") for i in range(40)]
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in column_bwt.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()]
     assert sorted(got, key=repr) == plain(rows, 40) and any("busy" in c for c in dropped)
+
+
+def test_equal_rows_are_searched_once(spark):
+    """Thousands of equal rows cost one search, and the spans reach all of them; rows of one id with other texts stay apart."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdef ") for _ in range(4000))
+    rows = [(1, base)] * 3000 + [(1, base[:1000] + "zz"), (2, base[2000:2600]), (3, "alone" * 3), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    source = docs.selectExpr("doc_id", "coalesce(text, '') as text").withColumn("row_key", column_bwt.F.xxhash64("doc_id", "text"))
+    folded = column_bwt._folded(source).collect()
+    assert len(folded) == 5 and sum(r["copies"] for r in folded) == len(rows)
+    entries = column_bwt.repeated_spans(column_bwt._folded(source)).collect()
+    assert max(len(r["first"]) for r in entries) < 100
+    got = sorted(map(tuple, column_bwt.remove_repeats(docs).collect()), key=repr)
+    distinct = plain([(1, base), (1, base), *rows[3000:]], 400)
+    assert sorted(set(got), key=repr) == sorted(set(distinct), key=repr) and len(got) == len(rows)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -236,26 +237,39 @@ def sharded_links(members: DataFrame, radius: int, min_similarity: float | None
     return links.unionByName(written(more.distinct(), "near-links"))
 
 
-def block_keys(fp: str, radius: int):
-    """radius + 1 keys, one per block of bits: fingerprints within the radius agree on at least one block."""
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[
-        F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(fp, BITS - b), BITS - b + a))
-        for i, (a, b) in enumerate(zip(edges, edges[1:]))
-    ])
+def agreeing_blocks(nodes: int, radius: int) -> int:
+    """How many blocks of bits a shard shares, so that a shard of evenly spread fingerprints holds SHARD_ROWS at most, however many there are."""
+    m = 1
+    while m < BITS - radius and nodes > SHARD_ROWS << BITS * m // (radius + m):
+        m += 1
+    return m
+
+
+def block_keys(fp: str, radius: int, agreeing: int = 1):
+    """A key for every choice of ``agreeing`` of radius + agreeing blocks of bits.
+
+    Fingerprints within the radius differ in at most ``radius`` blocks, so they
+    agree on all blocks of one choice: 5 keys of 12 bits or more for a radius of 4,
+    15 keys of 21, 35 of 27, 70 of 32.
+    """
+    count = radius + agreeing
+    edges = [round(i * BITS / count) for i in range(count + 1)]
+    cut = [F.shiftrightunsigned(F.shiftleft(fp, BITS - b), BITS - b + a) for a, b in zip(edges, edges[1:])]
+    return F.array(*[F.xxhash64(F.lit(n), *[cut[i] for i in chosen]) for n, chosen in enumerate(combinations(range(count), agreeing))])
 
 
 def near_components(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: fingerprints link at ``radius`` or fewer differing bits.
 
-    Exact: each of radius + 1 blocks of bits deals the distinct fingerprints
-    into shards, and two within the radius agree on one block at least. Rows of
+    Exact: each choice of blocks of bits deals the distinct fingerprints into
+    shards, and two within the radius agree on one choice at least. Shards share
+    the more bits the more fingerprints there are, so they do not grow with the table. Rows of
     one fingerprint are one node, so copies cost one row. The component's name is
     its smallest doc_id; null ids are passed over unless there is no other.
     """
     rows = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", width).select("doc_id", "fp"), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    members = nodes.select(F.explode(block_keys("fp", radius)).alias("key"), F.col("fp").alias("node"), "fp")
+    members = nodes.select(F.explode(block_keys("fp", radius, agreeing_blocks(nodes.count(), radius))).alias("key"), F.col("fp").alias("node"), "fp")
     roots = connected(sharded_links(members, radius), "near-components")
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -149,3 +149,25 @@ def test_second_step_alone_is_exact_with_crowded_keys(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["group_id"] for r in simhash_bk.near_groups(docs, radius=-1).collect()}
     assert got == wanted
+
+
+@pytest.mark.parametrize("agreeing", [1, 2, 3, 4])
+def test_every_choice_of_blocks_keeps_every_link(spark, agreeing):
+    rng = random.Random(agreeing)
+    values = [rng.getrandbits(64) for _ in range(150)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for v in values[:120]]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    keys = simhash_bk.block_keys("fp", 4, agreeing)
+    members = spark.createDataFrame([(v, v) for v in signed], "node long, fp long").select(simhash_bk.F.explode(keys).alias("key"), "node", "fp")
+    got = {tuple(sorted(p)) for p in simhash_bk.sharded_links(members, 4).collect()}
+    close = [(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 4]
+    root = plain_components(signed, lambda a, b: tuple(sorted((a, b))) in got)
+    assert close and got <= {tuple(sorted((signed[a], signed[b]))) for a, b in close}
+    assert all(root[signed[a]] == root[signed[b]] for a, b in close)
+
+
+def test_shards_do_not_grow_with_the_table():
+    for nodes in (10**5, 10**7, 10**9, 10**11):
+        m = simhash_bk.agreeing_blocks(nodes, 4)
+        assert nodes / 2 ** (64 * m // (4 + m)) <= simhash_bk.SHARD_ROWS
+    assert [simhash_bk.agreeing_blocks(10**e, 4) for e in (5, 7, 9, 11)] == [1, 2, 2, 3]  # blocks of 12 bits or more

@@ -212,6 +212,16 @@ O["build_polygon_wkt"] = sql("""
 select b.osm_id, wkt from buildings b left join (
   select osm_id, concat('POLYGON ((', string_agg(concat(cast(x as varchar), ' ', cast(y as varchar)), ', ' order by i), '))') as wkt
   from vertices where osm_id % 29 <> 0 group by osm_id) r on r.osm_id = b.osm_id""", "vertices")
+O["simplify_terraces"] = """
+WITH h AS (SELECT p_partkey AS osm_id, CAST(p_partkey % 50 AS BIGINT) AS i, CAST(p_partkey // 50 AS BIGINT) AS j FROM part),
+c AS (SELECT osm_id, i, j, (7 * i + 3 * j) % 4 = 0 AS low, (7 * (i + 1) + 3 * j) % 5 = 0 AS rightmost, (7 * i + 3 * (j + 1)) % 4 = 0 AS high,
+  (7 * i + 3 * j) % 5 = 0 AS leftmost FROM h),
+n AS (SELECT *, low::INT + rightmost::INT + high::INT + leftmost::INT AS bends FROM c)
+SELECT osm_id, 9 AS vertices_before, CAST(5 + bends AS INTEGER) AS vertices_after,
+  CAST(4 * 100 * i + 200 + bends * 100 * i + 50 * (low::INT + high::INT) + 130 * rightmost::INT + 30 * leftmost::INT AS BIGINT) AS x_total,
+  CAST(4 * 100 * j + 200 + bends * 100 * j + 30 * low::INT + 130 * high::INT + 50 * (rightmost::INT + leftmost::INT) AS BIGINT) AS y_total
+FROM n
+"""
 O["simplify_footprints"] = sql("""
 select b.osm_id, wkt as geom_wkt, case when wkt is not null then 9 end as vertices_before, case when wkt is not null then 5 end as vertices_after
 from buildings b left join (

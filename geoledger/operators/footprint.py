@@ -39,14 +39,8 @@ def point_in_polygon_join(
     return pairs.drop(*CELL_COLUMNS)
 
 
-def _kept_vertices(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which vertices Douglas-Peucker keeps of a closed ring, cut at the vertex farthest from the start."""
-    if len(xy) < 5:
-        return np.ones(len(xy), dtype=bool)
-    far = int(np.argmax(np.hypot(*(xy - xy[0]).T)))
-    keep = np.zeros(len(xy), dtype=bool)
-    keep[[0, far, -1]] = True
-    spans = [(0, far), (far, len(xy) - 1)]
+def thin_spans(xy: np.ndarray, keep: np.ndarray, spans: list[tuple[int, int]], tolerance: float) -> None:
+    """Mark in ``keep`` what Douglas-Peucker keeps between the two ends of every span."""
     while spans:
         lo, hi = spans.pop()
         if hi - lo < 2:
@@ -63,9 +57,35 @@ def _kept_vertices(xy: np.ndarray, tolerance: float) -> np.ndarray:
             mid = lo + 1 + worst
             keep[mid] = True
             spans += [(lo, mid), (mid, hi)]
+
+
+def _kept_vertices(xy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices Douglas-Peucker keeps of a closed ring, cut at the vertex farthest from the start."""
+    if len(xy) < 5:
+        return np.ones(len(xy), dtype=bool)
+    far = int(np.argmax(np.hypot(*(xy - xy[0]).T)))
+    keep = np.zeros(len(xy), dtype=bool)
+    keep[[0, far, -1]] = True
+    thin_spans(xy, keep, [(0, far), (far, len(xy) - 1)], tolerance)
     return keep if keep.sum() >= 4 else np.ones(len(xy), dtype=bool)
 
 
+def rings_text(rings: str) -> Column:
+    """Polygon or multipolygon text of a column of rings; null where there are none."""
+
+    def text(ring: Column) -> Column:
+        pairs = F.transform(ring["points"], lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+        return F.concat(F.when(ring["hole"], ", (").otherwise("), (("), F.array_join(pairs, ", "), F.lit(")"))
+
+    body = F.concat(F.substring(F.array_join(F.transform(rings, text), ""), 4, 2**30), F.lit(")"))  # "((..), (..)), ((..))"
+    parts = F.size(F.filter(rings, lambda r: ~r["hole"]))
+    return F.when(parts > 1, F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")"))).when(parts > 0, F.concat(F.lit("POLYGON "), body))
+
+
+def vertex_count(rings: str) -> Column:
+    return F.aggregate(F.transform(rings, lambda r: F.size(r["points"])), F.lit(0), lambda a, n: a + n)
+
+
 def simplify_footprints(footprints: DataFrame, wkt: str = "geom_wkt", tolerance: float = 1e-5) -> DataFrame:
     """Every row with simplified polygon text and the vertex counts before and after.
 
@@ -97,17 +117,7 @@ def simplify_footprints(footprints: DataFrame, wkt: str = "geom_wkt", tolerance:
         lambda r, k: F.struct(r["hole"].alias("hole"), F.filter(r["points"], lambda p, i: F.get(k, i)).alias("points")),
     ))
 
-    def text(ring: Column) -> Column:
-        pairs = F.transform(ring["points"], lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
-        return F.concat(F.when(ring["hole"], ", (").otherwise("), (("), F.array_join(pairs, ", "), F.lit(")"))
-
-    def vertices(rings_: Column) -> Column:
-        return F.aggregate(F.transform(rings_, lambda r: F.size(r["points"])), F.lit(0), lambda a, n: a + n)
-
-    body = F.concat(F.substring(F.array_join(F.transform("_thin", text), ""), 4, 2**30), F.lit(")"))  # "((..), (..)), ((..))"
-    parts = F.size(F.filter("_thin", lambda r: ~r["hole"]))
-    written_out = F.when(parts > 1, F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")"))).otherwise(F.concat(F.lit("POLYGON "), body))
     return thin.select(
-        *[c for c in footprints.columns if c != wkt], F.coalesce(F.when(parts > 0, written_out), F.col(wkt)).alias(wkt),
-        vertices(F.col("_good")).alias("vertices_before"), vertices(F.col("_thin")).alias("vertices_after"),
+        *[c for c in footprints.columns if c != wkt], F.coalesce(rings_text("_thin"), F.col(wkt)).alias(wkt),
+        vertex_count("_good").alias("vertices_before"), vertex_count("_thin").alias("vertices_after"),
     )

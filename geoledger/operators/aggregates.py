@@ -23,12 +23,28 @@ def _by_building(pairs: DataFrame) -> DataFrame:
     return pairs.withColumnsRenamed({k: v for k, v in _BUILDING_KEYS.items() if k != v})
 
 
+def _rolled(pairs: DataFrame, buildings: DataFrame | None, totals: Sequence[str] = (), **profile) -> DataFrame:
+    """Rollup per building; with ``buildings``, once per centre in ``pairs`` and handed to all buildings there.
+
+    A building row that repeats counts as often, which ``business_count`` and ``totals`` follow.
+    """
+    keys = list(_BUILDING_KEYS.values())
+    if buildings is None:
+        return facet_rollup(_by_building(pairs), keys, "business_count", **profile)
+    spots = facet_rollup(_by_building(pairs), ["center_lon", "center_lat"], "business_count", **profile)
+    own = buildings.withColumnRenamed("osm_id", "building_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+    joined = own.join(spots, ["center_lon", "center_lat"])
+    scaled = {c: F.col(c) * F.col("_copies") for c in ("business_count", *totals)}
+    return joined.withColumns(scaled).select(*keys, *[c for c in spots.columns if c not in keys])
+
+
 def agg_by_building(
-    pairs: DataFrame, bands: Sequence = M.BUILDING_BANDS, per_business: int = 10, per_kind: int = 5, weight: str | None = None
+    pairs: DataFrame, bands: Sequence = M.BUILDING_BANDS, per_business: int = 10, per_kind: int = 5, weight: str | None = None,
+    buildings: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts, kinds, first type and active period per building; ``weight`` as in :func:`agg_by_building_full`."""
-    out = facet_rollup(
-        _by_building(pairs), list(_BUILDING_KEYS.values()), "business_count",
+    """Counts, kinds, first type and active period per building; ``weight`` and ``buildings`` as in :func:`agg_by_building_full`."""
+    out = _rolled(
+        pairs, buildings,
         distinct={"unique_business_types": "naics_code", "business_diversity": "naics_description"},
         firsts={"primary_business_type": "naics_description"}, first_by="business_id",
         mins={"earliest_business": F.col("business_start_date")},
@@ -42,15 +58,17 @@ def agg_by_building(
     })
 
 
-def agg_by_building_full(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+def agg_by_building_full(pairs: DataFrame, weight: str | None = None, buildings: DataFrame | None = None) -> DataFrame:
     """Per building: most frequent type, distance profile, score and bands.
 
     ``weight`` names a column that says how many businesses a row stands for.
+    With ``buildings`` (osm_id, type, category, centre), pairs are those of
+    distinct centres and need no building columns but the centre.
     """
     w = F.col(weight) if weight else None
     d = F.col("distance_degrees")
-    out = facet_rollup(
-        _by_building(pairs), list(_BUILDING_KEYS.values()), "business_count",
+    out = _rolled(
+        pairs, buildings, ["_distance"],
         distinct={"unique_business_types": "naics_code", "business_diversity": "naics_description"},
         modes={"primary_business_type": "naics_description"},
         sums={"_distance": d * w if weight else d},
@@ -69,10 +87,10 @@ def agg_by_building_full(pairs: DataFrame, weight: str | None = None) -> DataFra
     )
 
 
-def agg_by_building_slim(pairs: DataFrame, weight: str | None = None) -> DataFrame:
-    """Per building: count, kinds, most frequent type, four bands and a count score."""
-    out = facet_rollup(
-        _by_building(pairs), list(_BUILDING_KEYS.values()), "business_count",
+def agg_by_building_slim(pairs: DataFrame, weight: str | None = None, buildings: DataFrame | None = None) -> DataFrame:
+    """Per building: count, kinds, most frequent type, four bands and a count score; ``buildings`` as in :func:`agg_by_building_full`."""
+    out = _rolled(
+        pairs, buildings,
         distinct={"unique_business_types": "naics_code"},
         modes={"primary_business_type": "naics_description"}, weight=F.col(weight) if weight else None,
     )
@@ -101,15 +119,7 @@ def with_mean_position(df: DataFrame, count: str, lon: str = "center_lon", lat:
     return df.withColumns({lon: mean("_sum_lon"), lat: mean("_sum_lat")}).drop("_sum_lon", "_sum_lat")
 
 
-def agg_by_grid(
-    pairs: DataFrame, size: float = 0.002, bands: Sequence = M.FULL_GRID_BANDS, ratio: str = "density_ratio",
-    weight: str | None = None,
-) -> DataFrame:
-    """Per floor cell: pairs, buildings, codes, mean centre, dominant category, band.
-
-    Pairs are summed per building and code first, so the profile of a cell is
-    rolled up from its buildings and not from every pair.
-    """
+def _cells_from_pairs(pairs: DataFrame, size: float, weight: str | None) -> DataFrame:
     lon, lat = "building_center_lon", "building_center_lat"
     per_building = pairs.groupBy("building_id", "building_category", lon, lat, "naics_code").agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_pairs")
@@ -117,12 +127,46 @@ def agg_by_grid(
     celled = per_building.withColumns({
         "grid_x": M.floor_cell(F.col(lon), size), "grid_y": M.floor_cell(F.col(lat), size),
     })
-    out = facet_rollup(
+    return facet_rollup(
         celled, ["grid_x", "grid_y"], "total_businesses",
         distinct={"building_count": "building_id", "business_type_diversity": "naics_code"},
         modes={"dominant_building_type": "building_category"},
         sums=centre_sums(lon, lat, F.col("_pairs")), weight=F.col("_pairs"),
     )
+
+
+def _cells_from_spots(pairs: DataFrame, buildings: DataFrame, size: float, weight: str | None) -> DataFrame:
+    """Codes are counted over distinct centres; buildings and categories over buildings, each with the pairs of its centre."""
+    lon, lat = "center_lon", "center_lat"
+    cell = {"grid_x": M.floor_cell(F.col(lon), size), "grid_y": M.floor_cell(F.col(lat), size)}
+    per_code = written(_by_building(pairs).groupBy(lon, lat, "naics_code").agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_pairs")
+    ), "spot-codes")
+    per_spot = per_code.groupBy(lon, lat).agg(F.sum("_pairs").alias("_pairs"))
+    own = buildings.select(F.col("osm_id").alias("building_id"), "building_category", lon, lat).join(per_spot, [lon, lat]).withColumns(cell)
+    cells = facet_rollup(
+        own, ["grid_x", "grid_y"], "total_businesses", distinct={"building_count": "building_id"},
+        modes={"dominant_building_type": "building_category"}, sums=centre_sums(lon, lat, F.col("_pairs")), weight=F.col("_pairs"),
+    )
+    kinds = per_code.withColumns(cell).select("grid_x", "grid_y", "naics_code").distinct().groupBy("grid_x", "grid_y").agg(
+        F.count(F.lit(1)).alias("business_type_diversity")
+    )
+    return cells.join(kinds, ["grid_x", "grid_y"]).select(
+        "grid_x", "grid_y", "total_businesses", "building_count", "business_type_diversity", "dominant_building_type", "_sum_lon", "_sum_lat"
+    )
+
+
+def agg_by_grid(
+    pairs: DataFrame, size: float = 0.002, bands: Sequence = M.FULL_GRID_BANDS, ratio: str = "density_ratio",
+    weight: str | None = None, buildings: DataFrame | None = None,
+) -> DataFrame:
+    """Per floor cell: pairs, buildings, codes, mean centre, dominant category, band.
+
+    Pairs are summed per building and code first, so the profile of a cell is
+    rolled up from its buildings and not from every pair; with ``buildings``,
+    as in :func:`agg_by_building_full`, per centre and code.
+    """
+    out = _cells_from_pairs(pairs, size, weight) if buildings is None else _cells_from_spots(pairs, buildings, size, weight)
     n = F.col("total_businesses")
     return with_mean_position(out, "total_businesses").withColumns({
         ratio: n / F.col("building_count"),
@@ -211,7 +255,7 @@ def coverage_stats(
     businesses: DataFrame, buildings: DataFrame, centred: DataFrame, pairs: DataFrame,
     by_building: DataFrame, radius: float = 0.0005, weight: str | None = None,
 ) -> DataFrame:
-    """One row of totals over the stages of the building profile; ``pairs`` may be folded with a ``weight``."""
+    """One row of totals over the stages of the building profile; ``pairs`` may be folded with a ``weight`` (pairs of businesses and buildings a row stands for)."""
     rows = F.count(F.lit(1))
     folded = F.lit(1) if weight is None else F.col(weight)
     metres = F.lit(M.METRES_PER_DEGREE)

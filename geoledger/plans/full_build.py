@@ -50,11 +50,11 @@ def build_matches(spark: SparkSession, out: str, max_distance_m: float = 100.0,
     businesses, centres = spark.read.parquet(f"{out}/businesses"), spark.read.parquet(f"{out}/centres")
     S.sink_parquet(nearest_join(businesses, centres, max_distance_m), f"{out}/matches", mode="overwrite")
     S.sink_parquet(profile.pair_table(businesses, centres, radius), f"{out}/pairs", mode="overwrite")
-    # the profiles come from pairs folded by position and kind
-    S.sink_parquet(profile.weighted_pair_table(businesses, centres, radius), f"{out}/weighted_pairs", mode="overwrite")
-    folded = spark.read.parquet(f"{out}/weighted_pairs")
-    S.sink_parquet(A.agg_by_building_full(folded, weight="weight"), f"{out}/building_profile", mode="overwrite")
-    S.sink_parquet(A.agg_by_grid(folded, weight="weight"), f"{out}/grid_profile", mode="overwrite")
+    # the profiles come from pairs folded by centre, position and kind
+    S.sink_parquet(profile.spot_pairs(businesses, centres, radius), f"{out}/spot_pairs", mode="overwrite")
+    folded = spark.read.parquet(f"{out}/spot_pairs")
+    S.sink_parquet(A.agg_by_building_full(folded, weight="weight", buildings=centres), f"{out}/building_profile", mode="overwrite")
+    S.sink_parquet(A.agg_by_grid(folded, weight="weight", buildings=centres), f"{out}/grid_profile", mode="overwrite")
     S.sink_geojson(spark.read.parquet(f"{out}/building_profile"), f"{out}/building_profile_geojson", "overwrite")
 
 
@@ -66,7 +66,7 @@ def build_pyramid(spark: SparkSession, out: str) -> None:
 def build_reports(spark: SparkSession, out: str, now: dt.datetime) -> None:
     """Validation, quality score, coverage and processing reports, and the quality history line."""
     businesses, buildings = spark.read.parquet(f"{out}/businesses"), spark.read.parquet(f"{out}/buildings")
-    centres, pairs = spark.read.parquet(f"{out}/centres"), spark.read.parquet(f"{out}/weighted_pairs")
+    centres, pairs = spark.read.parquet(f"{out}/centres"), spark.read.parquet(f"{out}/spot_pairs").withColumn("weight", F.col("weight") * F.col("buildings"))
     profiles, matches = spark.read.parquet(f"{out}/building_profile"), spark.read.parquet(f"{out}/matches")
     score = Q.quality_score(businesses, now).withColumn("ts", F.lit(now.isoformat()))
     S.sink_report_json(Q.validation_report(businesses, buildings), f"{out}/reports/validation", "overwrite")

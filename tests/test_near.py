@@ -198,3 +198,29 @@ def test_nearest_adapts_to_density(spark):
     started = J._with_start(at, spots, 100.0, 1)
     adapted = sum(tests(started.where(F.col("_start") == s), 100.0 / 4**s) for s in set(starts) - {0})
     assert 2 * adapted < tests(started.where("_start > 0"), 100.0 / 4)  # one width for all, as a first step
+
+
+def _crowded(scene, spark):
+    """The scene with every building there three times under other ids, and one row doubled."""
+    _, _, left, right = scene
+    many = right.crossJoin(spark.range(3).withColumnRenamed("id", "_i")).withColumn("osm_id", F.col("osm_id") + F.col("_i") * 100_000).drop("_i")
+    return left, many.unionByName(right.orderBy("osm_id").limit(1))
+
+
+def test_buildings_that_share_a_centre_make_no_more_pairs(scene, spark):
+    from geoledger.operators import aggregates as A
+    from geoledger.plans.profile import pair_table, spot_pairs
+
+    _, _, left, right = scene
+    left, many = _crowded(scene, spark)
+    spots, plain = spot_pairs(left, many), pair_table(left, many)
+    assert spots.count() == spot_pairs(left, right).count() < plain.count()
+    assert spots.agg(F.sum(F.col("weight") * F.col("buildings"))).first()[0] == plain.count()
+
+    def rows(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    assert rows(A.agg_by_building_full(spots, "weight", many)) == rows(A.agg_by_building_full(plain))
+    assert rows(A.agg_by_building_slim(spots, "weight", many)) == rows(A.agg_by_building_slim(plain))
+    for size in (0.001, 0.002):
+        assert rows(A.agg_by_grid(spots, size, weight="weight", buildings=many)) == rows(A.agg_by_grid(plain, size))

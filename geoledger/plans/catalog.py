@@ -482,7 +482,7 @@ def _pairs(t: Tables) -> DataFrame:
 
 
 def _folded(t: Tables) -> DataFrame:
-    return profile.weighted_pair_table(t.businesses, t.centred)
+    return profile.spot_pairs(t.businesses, t.centred)
 
 
 @query
@@ -551,17 +551,17 @@ def agg_by_building_full(t: Tables) -> DataFrame:
 
 @query
 def agg_by_building_slim(t: Tables) -> DataFrame:
-    return A.agg_by_building_slim(_folded(t), "weight")
+    return A.agg_by_building_slim(profile.weighted_pair_table(t.businesses, t.centred), "weight")
 
 
 @query
 def agg_by_grid(t: Tables) -> DataFrame:
-    return A.agg_by_grid(_folded(t), 0.002, weight="weight")
+    return A.agg_by_grid(profile.weighted_pair_table(t.businesses, t.centred), 0.002, weight="weight")
 
 
 @query
 def agg_by_grid_fine(t: Tables) -> DataFrame:
-    return A.agg_by_grid(_folded(t), 0.001, M.GRID_BANDS, "avg_businesses_per_building", "weight")
+    return A.agg_by_grid(profile.weighted_pair_table(t.businesses, t.centred), 0.001, M.GRID_BANDS, "avg_businesses_per_building", "weight")
 
 
 @query
@@ -655,7 +655,9 @@ def density_distribution(t: Tables) -> DataFrame:
 @query
 def coverage_stats(t: Tables) -> DataFrame:
     pairs = written(_folded(t), "pairs")
-    return A.coverage_stats(t.stored, t.buildings, t.centred, pairs, A.agg_by_building_full(pairs, weight="weight"), weight="weight")
+    whole = pairs.withColumn("weight", F.col("weight") * F.col("buildings"))
+    profiles = A.agg_by_building_full(pairs, weight="weight", buildings=t.centred)
+    return A.coverage_stats(t.stored, t.buildings, t.centred, whole, profiles, weight="weight")
 
 
 @query

@@ -551,7 +551,7 @@ def agg_by_building_full(t: Tables) -> DataFrame:
 
 @query
 def agg_by_building_slim(t: Tables) -> DataFrame:
-    return A.agg_by_building_slim(profile.weighted_pair_table(t.businesses, t.centred), "weight")
+    return A.agg_by_building_slim(_folded(t), "weight", t.centred)
 
 
 @query

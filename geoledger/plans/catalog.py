@@ -556,7 +556,7 @@ def agg_by_building_slim(t: Tables) -> DataFrame:
 
 @query
 def agg_by_grid(t: Tables) -> DataFrame:
-    return A.agg_by_grid(profile.weighted_pair_table(t.businesses, t.centred), 0.002, weight="weight")
+    return A.agg_by_grid(_folded(t), 0.002, weight="weight", buildings=t.centred)
 
 
 @query

@@ -561,7 +561,7 @@ def agg_by_grid(t: Tables) -> DataFrame:
 
 @query
 def agg_by_grid_fine(t: Tables) -> DataFrame:
-    return A.agg_by_grid(profile.weighted_pair_table(t.businesses, t.centred), 0.001, M.GRID_BANDS, "avg_businesses_per_building", "weight")
+    return A.agg_by_grid(_folded(t), 0.001, M.GRID_BANDS, "avg_businesses_per_building", "weight", t.centred)
 
 
 @query

@@ -540,7 +540,7 @@ def upsert_update(t: Tables) -> DataFrame:
 
 @query
 def agg_by_building(t: Tables) -> DataFrame:
-    return A.agg_by_building(profile.dated_pair_table(t.businesses, t.centred), weight="weight")
+    return A.agg_by_building(profile.dated_spot_pairs(t.businesses, t.centred), weight="weight", buildings=t.centred)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import once, polygon_rings
 from ..session import written
-from .cover import CELL_COLUMNS, cell_width, covers, polygon_cover
+from .cover import cell_width, covers, polygon_cover
 from .near import HOT_ROWS, cell_join
 
 def point_in_polygon_join(
@@ -26,17 +26,25 @@ def point_in_polygon_join(
     point is a pair without a test; in one on the rim, a point meets only the
     edges that cross the cell. No row of the join holds more than that, however
     long an outline is. A point is looked up on the levels in use, at most one
-    for each STEP levels from BOTTOM_LEVEL to TOP_LEVEL.
+    for each STEP levels from BOTTOM_LEVEL to TOP_LEVEL. Points that share a
+    position, and footprints that share an outline, are tested as one.
     """
+    x, y = F.col(lon), F.col(lat)
+    located = points.where(x.isNotNull() & y.isNotNull())
+    # equal outlines and equal positions are tested once; the name of an outline is written, so it stays the same
+    outlines = written(footprints.select(wkt).where(F.col(wkt).isNotNull()).distinct().withColumn("_outline", F.monotonically_increasing_id()), "outlines")
+    places = written(located.select(lon, lat).distinct(), "places")
     # written out, as it is read for the levels, for the hot cells and for the join
-    cells = written(polygon_cover(footprints, wkt), "cover")
+    cells = written(polygon_cover(outlines, wkt), "cover")
     levels = cells.agg(F.collect_set("_lv").alias("l")).scalar()
-    x, y = F.col(lon), F.col(lat)
-    located = points.where(x.isNotNull() & y.isNotNull()).withColumn("_lv", F.explode(levels)).withColumns({
+    leveled = places.withColumn("_lv", F.explode(levels)).withColumns({
         "_cx": F.floor(x / cell_width(F.col("_lv"))).cast("bigint"), "_cy": F.floor(y / cell_width(F.col("_lv"))).cast("bigint"),
     })
-    pairs = cell_join(located, cells, ["_lv", "_cy", "_cx"], covers(x, y), hot_rows)
-    return pairs.drop(*CELL_COLUMNS)
+    hits = written(cell_join(leveled, cells, ["_lv", "_cy", "_cx"], covers(x, y), hot_rows).select(lon, lat, "_outline"), "hits")
+    # rows come back to the hits by equality; written, so the sizes are known for both joins
+    met = written(footprints.join(outlines.join(hits.select("_outline").distinct(), "_outline", "left_semi"), wkt).drop(wkt), "footprints")
+    pairs = located.join(hits, [lon, lat]).join(met, "_outline")
+    return pairs.select(*points.columns, *[c for c in footprints.columns if c != wkt])
 
 
 def thin_spans(xy: np.ndarray, keep: np.ndarray, spans: list[tuple[int, int]], tolerance: float) -> None:

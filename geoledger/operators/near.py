@@ -227,16 +227,18 @@ def nearest_join(
     begins with a small part of the radius: k matches within it are the nearest
     ones, and only positions with fewer look four times as far, up to the
     whole radius. So a crowded place tests about as many pairs as a thin one.
+    Of the buildings that share a centre only the first k can be among them.
     """
     head, at = ["business_unique_id", "business_lon", "business_lat", "business_name"], ["business_lon", "business_lat"]
     named = businesses.select(
         F.col(key).alias("business_unique_id"), F.col("longitude").alias("business_lon"),
         F.col("latitude").alias("business_lat"), F.col("dba_name").alias("business_name"),
     ).where(_present(*at))
+    there = Window.partitionBy("building_lon", "building_lat").orderBy("building_osm_id", "building_type")
     right = written(buildings.select(
         F.col("osm_id").alias("building_osm_id"), "building_type",
         F.col("center_lon").alias("building_lon"), F.col("center_lat").alias("building_lat"),
-    ).distinct(), "targets")
+    ).distinct().withColumn("_rank", F.row_number().over(there)).where(F.col("_rank") <= k).drop("_rank"), "targets")
     places = written(_with_start(named.select(*at).distinct(), right, max_distance_m, k), "places")
     by_distance = Window.partitionBy(*at).orderBy("distance_meters", "building_osm_id", "building_type", "building_lon", "building_lat")
 

@@ -224,3 +224,22 @@ def test_buildings_that_share_a_centre_make_no_more_pairs(scene, spark):
     assert rows(A.agg_by_building_slim(spots, "weight", many)) == rows(A.agg_by_building_slim(plain))
     for size in (0.001, 0.002):
         assert rows(A.agg_by_grid(spots, size, weight="weight", buildings=many)) == rows(A.agg_by_grid(plain, size))
+
+
+def test_pairs_take_attributes_and_lose_repeats_without_a_shuffle_of_pairs(scene, spark):
+    from geoledger.operators.upsert import distinct_pairs
+    from geoledger.plans.profile import pair_table
+
+    _, _, left, right = scene
+    # repeated rows, and ids of either side that lie at two near places
+    left = left.unionByName(left.limit(20)).unionByName(left.where("unique_id < 15").withColumn("latitude", F.col("latitude") + 1e-5))
+    right = right.unionByName(right.limit(9)).unionByName(right.where("osm_id < 15").withColumn("center_lat", F.col("center_lat") + 1e-5))
+    plain = pair_table(left, right).select("business_id", "building_id")
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
+
+    assert rows(J.distinct_radius_pairs(left, right)) == rows(distinct_pairs(plain))
+    assert rows(J.attributed_pairs(left, right, "dba_name")) == rows(J.attach_attributes(plain, left, "dba_name"))
+    plan = J.attributed_pairs(left, right, "dba_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3  # both sides with the hot cells, and with each other; none on the pairs

@@ -12,6 +12,7 @@ from geoledger.session import fresh_path, shared_dir
 from geoledger.sources import footprints as FP
 from geoledger.sources import registrations as R
 from geoledger.sources import sinks as S
+from geoledger.sources.derived import Tables
 from geoledger.sources.sql_functions import register_sql_functions
 from geoledger.sources.tables import scan
 from geoledger.streaming import ingest as I
@@ -149,3 +150,12 @@ def test_jdbc_rows_come_back_in_ranges(spark):
     back = QUERIES["sink_jdbc"](spark, SF)
     assert back.rdd.getNumPartitions() > 1
     assert back.count() == back.select("osm_id").distinct().count() > 0
+
+
+def test_footprint_rows_are_spread_before_the_costly_work(spark, tmp_path):
+    keys = F.col("id").alias("p_partkey")
+    spark.range(0, 25_000, 1, 1).select(keys, F.lit("SMALL").alias("p_type"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    buildings = Tables(spark, str(tmp_path)).buildings
+    sizes = [r["n"] for r in buildings.groupBy(F.spark_partition_id().alias("task")).agg(F.count("osm_id").alias("n")).collect()]
+    assert len(sizes) == 3 and sum(sizes) == 25_000 and max(sizes) < 9_000  # one row group, three tasks
+    assert buildings.agg(F.count_distinct("osm_id")).first()[0] == 25_000

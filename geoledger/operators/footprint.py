@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,12 +49,50 @@ def point_in_polygon_join(
     return pairs.select(*points.columns, *[c for c in footprints.columns if c != wkt])
 
 
+#: Up to this many points a span is first looked at in plain numbers, as array calls cost more than the sums.
+SHORT_SPAN = 16
+
+
+def _farthest(points: list[list[float]], lo: int, hi: int, tolerance: float) -> int | None:
+    """The point of a short span farthest from its chord, ``lo`` if all are within ``tolerance``; None where rounding could decide."""
+    (x0, y0), (x1, y1) = points[lo], points[hi]
+    cx, cy = x1 - x0, y1 - y0
+    square = cx * cx + cy * cy
+    worst, best, second, reach = lo, -1.0, -1.0, abs(cx) + abs(cy)
+    for i in range(lo + 1, hi):
+        dx, dy = points[i][0] - x0, points[i][1] - y0
+        reach = max(reach, abs(dx) + abs(dy))
+        if square > 0:
+            t = min(max((dx * cx + dy * cy) / square, 0.0), 1.0)
+            dx, dy = dx - t * cx, dy - t * cy
+        gap = math.hypot(dx, dy)
+        if gap > best:
+            worst, best, second = i, gap, best
+        elif gap > second:
+            second = gap
+    slack = 1e-9 * reach  # far above what rounding moves a gap by
+    if not math.isfinite(reach) or square < 1e-200 or abs(best - tolerance) <= slack:
+        return None
+    if best < tolerance:
+        return lo
+    return worst if best - second > slack else None
+
+
 def thin_spans(xy: np.ndarray, keep: np.ndarray, spans: list[tuple[int, int]], tolerance: float) -> None:
     """Mark in ``keep`` what Douglas-Peucker keeps between the two ends of every span."""
+    points = None
     while spans:
         lo, hi = spans.pop()
         if hi - lo < 2:
             continue
+        if hi - lo <= SHORT_SPAN:
+            points = xy.tolist() if points is None else points
+            far = _farthest(points, lo, hi, tolerance)
+            if far is not None:
+                if far > lo:
+                    keep[far] = True
+                    spans += [(lo, far), (far, hi)]
+                continue
         chord, rel = xy[hi] - xy[lo], xy[lo + 1 : hi] - xy[lo]
         length = float(np.hypot(*chord))
         if length > 0:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from geoledger.operators.shared_outlines import simplify_shared
 
 
@@ -60,3 +62,20 @@ def test_a_small_ring_keeps_its_wall_for_all(spark):
 
 def test_empty(spark):
     assert simplify_shared(spark.createDataFrame([], "osm_id long, geom_wkt string")).collect() == []
+
+
+def test_short_spans_are_decided_as_by_arrays(monkeypatch):
+    from geoledger.operators import footprint
+
+    rng = np.random.default_rng(3)
+    for k in range(2000):
+        n = int(rng.integers(3, 24))
+        xy = rng.integers(0, 6, size=(n, 2)).astype(float) if k % 2 else rng.integers(0, 40, size=(n, 2)) * 1e-6 + [-122.4, 37.7]
+        kept = []
+        for short in (footprint.SHORT_SPAN, 0):
+            monkeypatch.setattr(footprint, "SHORT_SPAN", short)
+            keep = np.zeros(n, bool)
+            footprint.thin_spans(xy, keep, [(0, n - 1)], 1.0 if k % 2 else 1e-5)
+            kept.append(keep.tolist())
+            monkeypatch.undo()
+        assert kept[0] == kept[1]

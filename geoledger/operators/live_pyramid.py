@@ -30,11 +30,11 @@ def _is_hex() -> Column:
     return F.col("zoom_level") <= HEX_ZOOMS[1]
 
 
-def _celled(rows: DataFrame, box: Sequence[float] | None) -> DataFrame:
-    """Located rows once per zoom level, with size and cell."""
+def _celled(rows: DataFrame, box: Sequence[float] | None, lowest: int = HEX_ZOOMS[0]) -> DataFrame:
+    """Located rows once per zoom level from ``lowest`` on, with size and cell."""
     lon, lat = F.col("longitude"), F.col("latitude")
     sizes = {**{z: M.hex_size(z) for z in range(HEX_ZOOMS[0], HEX_ZOOMS[1] + 1)}, **{z: M.cluster_size(z) for z in range(CLUSTER_ZOOMS[0], CLUSTER_ZOOMS[1] + 1)}}
-    levels = F.array(*[F.struct(F.lit(z).alias("zoom_level"), F.lit(s).alias("cell_size")) for z, s in sizes.items()])
+    levels = F.array(*[F.struct(F.lit(z).alias("zoom_level"), F.lit(s).alias("cell_size")) for z, s in sizes.items() if z >= lowest])
     size = F.col("cell_size")
     return rows.where(lon.isNotNull() & lat.isNotNull() & M.in_box(lon, lat, box)).select("*", F.inline(levels)).withColumns({
         "cell_x": F.when(_is_hex(), M.hex_q(lon, lat, size)).otherwise(M.round_cell(lon, size)),
@@ -43,27 +43,36 @@ def _celled(rows: DataFrame, box: Sequence[float] | None) -> DataFrame:
 
 
 def signed_facets(rows: DataFrame, box: Sequence[float] | None) -> DataFrame:
-    """Signed rows as changes of the stored aggregates: totals, counts per code, and per start date from CLUSTER_ZOOMS on."""
-    celled = _celled(rows, box)
-    sign = F.col("sign")
+    """Signed rows as changes of the stored aggregates: totals, counts per code, and per start date from CLUSTER_ZOOMS on.
+
+    Rows of a position are folded before they go to the cells of all levels, and
+    counts are kept apart from totals: only a total carries sums and first rows.
+    ``rows`` are read three times, so write them out if they are costly.
+    """
+    at, sign = ["longitude", "latitude"], F.col("sign")
+    who = F.struct(F.col("unique_id").alias("id"), F.col("naics_description").alias("says"))
+    day = F.col("business_start_date").cast("timestamp_ntz")
+    weight = F.sum(sign).cast("long").alias("_w")
+    places = rows.groupBy(*at).agg(weight, F.min(F.when(sign > 0, who)).alias("added"), F.min(F.when(sign < 0, F.col("unique_id"))).alias("removed"))
     offsets = {
         axis: F.when(~_is_hex(), M.fixed_point(F.col(c)) - M.fixed_point(F.col(g) * F.col("cell_size"))).otherwise(0)
         for axis, c, g in (("lon", "longitude", "cell_x"), ("lat", "latitude", "cell_y"))
     }
+    w = F.col("_w")
     sums = {
-        **centre_sums("longitude", "latitude", sign),
-        **{f"_o_{a}": (o * sign).cast("decimal(20,0)") for a, o in offsets.items()}, **{f"_q_{a}": (o * o * sign).cast("decimal(20,0)") for a, o in offsets.items()},
+        **centre_sums("longitude", "latitude", w),
+        **{f"_o_{a}": (o * w).cast("decimal(20,0)") for a, o in offsets.items()}, **{f"_q_{a}": (o * o * w).cast("decimal(20,0)") for a, o in offsets.items()},
     }
-    who = F.struct(F.col("unique_id").alias("id"), F.col("naics_description").alias("says"))
-    dated = celled.withColumns({"code": F.col("naics_code"), "day": F.col("business_start_date").cast("timestamp_ntz")})
-    parts = dated.groupingSets([_CELL, [*_CELL, "code"], [*_CELL, "day"]], *_CELL, "code", "day").agg(
-        F.grouping_id().alias("_g"), F.sum(sign).cast("long").alias("n"), *[F.sum(v).cast("decimal(38,0)").alias(k) for k, v in sums.items()],
-        F.min(F.when(sign > 0, who)).alias("added"), F.min(F.when(sign < 0, F.col("unique_id"))).alias("removed"),
-    )
-    kind = F.when(F.col("_g") == 3, "total").when(F.col("_g") == 1, "code").otherwise("day")
-    named = parts.withColumn("kind", kind).where((F.col("kind") != "day") | ~_is_hex())
-    total = F.col("kind") == "total"
-    return named.select(*_FACET, "n", *[F.when(total, F.col(s)).alias(s) for s in _SUMS], F.when(total, F.col("added")).alias("added"), F.when(total, F.col("removed")).alias("removed"))
+    no_code, no_day = F.lit(None).cast(rows.schema["naics_code"].dataType), F.lit(None).cast("timestamp_ntz")
+    n = F.sum("_w").cast("long").alias("n")
+    total = _celled(places, box).groupBy(*_CELL).agg(
+        n, *[F.sum(v).cast("decimal(38,0)").alias(k) for k, v in sums.items()], F.min("added").alias("added"), F.min("removed").alias("removed"),
+    ).withColumns({"kind": F.lit("total"), "code": no_code, "day": no_day})
+    codes = _celled(rows.groupBy(*at, F.col("naics_code").alias("code")).agg(weight), box)
+    days = _celled(rows.groupBy(*at, day.alias("day")).agg(weight), box, CLUSTER_ZOOMS[0])
+    code = codes.groupBy(*_CELL, "code").agg(n).withColumns({"kind": F.lit("code"), "day": no_day})
+    dated = days.groupBy(*_CELL, "day").agg(n).withColumns({"kind": F.lit("day"), "code": no_code})
+    return total.unionByName(code.unionByName(dated), allowMissingColumns=True).select(*_FACET, "n", *_SUMS, "added", "removed")
 
 
 class LivePyramid:
@@ -97,23 +106,26 @@ class LivePyramid:
         if before is not None:
             old = before.withColumns({"added": nothing, "removed": F.lit(None).cast(delta.schema["removed"].dataType), "shard": shard})
             fresh = fresh.unionByName(old)
+        # one shuffle by shard serves the sums and the files; counts are summed apart from totals, which alone carry first rows
+        fresh = fresh.repartition(self.shards, "shard")
         gone = F.col("removed") == F.col("first.id")
         back = F.col("added").isNotNull() & (F.col("added.id") <= F.col("first.id"))
-        merged = fresh.groupBy(*_FACET, "shard").agg(
+        totals = written(fresh.where("kind = 'total'").groupBy(*_FACET, "shard").agg(
             F.sum("n").alias("n"), *[F.sum(s).cast("decimal(38,0)").alias(s) for s in _SUMS],
             F.min("first").alias("first"), F.min("added").alias("added"), F.min("removed").alias("removed"),
         ).where("n > 0").withColumn("lost", F.coalesce(gone & ~back, F.lit(False))).withColumn(
             "first", F.when(gone, F.col("added")).otherwise(F.least("first", "added")),
-        ).drop("added", "removed")
-        merged = written(merged, "pyramid-merged")
-        lost = merged.where("lost").select(*_CELL)
+        ).drop("added", "removed"), "pyramid-totals")
+        counts = fresh.where("kind <> 'total'").groupBy(*_FACET, "shard").agg(F.sum("n").alias("n")).where("n > 0")
+        lost = totals.where("lost").select(*_CELL)
         if not lost.isEmpty():
             found = _celled(current, self.box).join(lost, _CELL, "left_semi").groupBy(*_CELL).agg(
                 F.min(F.struct(F.col("unique_id").alias("id"), F.col("naics_description").alias("says"))).alias("_found")
             )
-            merged = merged.join(found, _CELL, "left").withColumn("first", F.when(F.col("lost"), F.col("_found")).otherwise(F.col("first"))).drop("_found")
+            totals = totals.join(found, _CELL, "left").withColumn("first", F.when(F.col("lost"), F.col("_found")).otherwise(F.col("first"))).drop("_found")
         path = f"{self.folder}/facets/v={version}"
-        merged.drop("lost").repartition("shard").write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
+        merged = totals.drop("lost").unionByName(counts, allowMissingColumns=True)
+        merged.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
         written_now = {r["shard"] for r in self.spark.read.parquet(path).select("shard").distinct().collect()} if touched else set()
         now = {**{s: v for s, v in where.items() if s not in touched}, **{s: version for s in written_now}}
         places = self.spark.createDataFrame(list(now.items()), "shard int, v int")
@@ -125,13 +137,12 @@ class LivePyramid:
         facets = self._facets(self._where(version))
         if facets is None:
             raise ValueError(f"version {version} has no cells")
-        total, code, day = (F.col("kind") == k for k in ("total", "code", "day"))
-        top = F.min(F.when(code & F.col("code").isNotNull(), F.struct((-F.col("n")).alias("rank"), F.col("code").alias("code"))))
-        cells = facets.groupBy(*_CELL).agg(
-            F.max(F.when(total, F.col("n"))).alias("business_count"), *[F.max(F.when(total, F.col(s))).alias(s) for s in _SUMS],
-            F.max(F.when(total, F.col("first"))).alias("first"), F.count_if(code).alias("business_types"), top.alias("top"),
-            F.min(F.when(day, F.col("day"))).alias("oldest_business"), F.max(F.when(day, F.col("day"))).alias("newest_business"),
-        )
+        total, code, day = (facets.where(F.col("kind") == k) for k in ("total", "code", "day"))
+        top = F.min(F.when(F.col("code").isNotNull(), F.struct((-F.col("n")).alias("rank"), F.col("code").alias("code"))))
+        types = code.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("business_types"), top.alias("top"))
+        dates = day.groupBy(*_CELL).agg(F.min("day").alias("oldest_business"), F.max("day").alias("newest_business"))
+        # a cell has one total, a code (or none) of each of its rows, and dates from CLUSTER_ZOOMS on
+        cells = total.select(*_CELL, F.col("n").alias("business_count"), *_SUMS, "first").join(types, _CELL, "left").join(dates, _CELL, "left")
         n = F.col("business_count").cast("double")
 
         def deviation(axis: str) -> Column:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoledger.operators.live_pyramid import LivePyramid
+from geoledger.operators.live_pyramid import LivePyramid, signed_facets
 from geoledger.operators.pyramid import zoom_pyramid
 from geoledger.streaming import keyed as K
 
@@ -126,3 +126,15 @@ def test_pyramid_after_changes_is_the_rebuilt_one(spark, tmp_path):
     assert sorted(map(str, pyramid.levels(3).collect())) == again
     pyramid.update(4, spark.createDataFrame([], f"{ROW}, sign int"), current)
     assert sorted(map(str, pyramid.levels(4).collect())) == again
+
+
+def test_positions_are_folded_before_the_levels(spark):
+    rows = [(f"{i:04d}", -122.41, 37.76, "7201", "a", dt.datetime(1990, 1, 1 + i % 3), 1) for i in range(900)]
+    facets = signed_facets(spark.createDataFrame(rows, f"{ROW}, sign int").repartition(1), BOX)
+    got = facets.collect()
+    assert sorted({(r["kind"], r["n"]) for r in got}) == [("code", 900), ("day", 300), ("total", 900)]
+    assert {r["added"]["id"] for r in got if r["kind"] == "total"} == {"0000"} and {r["zoom_level"] for r in got if r["kind"] == "day"} == {9, 10, 11, 12}
+    explain = facets._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in explain  # rows are not copied for every kind of count
+    sizes = [line for line in explain.split("\n") if "SortAggregate" in line and "naics_code" in line]
+    assert sizes == []  # counts are summed by hash

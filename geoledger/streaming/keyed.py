@@ -101,7 +101,7 @@ class KeyedTable:
         The old rows are looked up in the buckets that the batch touches: the
         bucket is part of the join, so Spark prunes the other folders.
         """
-        new = self.changes(batch - 1, batch).drop("batch_id")
+        new = self._stored("changes", "batch_id").where(F.col("batch_id") == batch).drop("batch_id")  # one row a key, as the stream groups by it
         names = self.schema.fieldNames()
         pairs = new.select(F.struct(*names).alias("new"), F.col(self.key).alias("_key"), "_bucket").join(
             self._rows(batch - 1).select(F.struct(*names).alias("old"), F.col(self.key).alias("_old_key"), F.col("_bucket").alias("_old_bucket")),

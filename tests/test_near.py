@@ -243,3 +243,37 @@ def test_pairs_take_attributes_and_lose_repeats_without_a_shuffle_of_pairs(scene
     assert rows(J.attributed_pairs(left, right, "dba_name")) == rows(J.attach_attributes(plain, left, "dba_name"))
     plan = J.attributed_pairs(left, right, "dba_name")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 3  # both sides with the hot cells, and with each other; none on the pairs
+
+
+@pytest.mark.parametrize("hot_rows", [J.HOT_ROWS, 7])
+@pytest.mark.parametrize("metric, radius", [("degrees", 0.0005), ("meters", 50.0)])
+def test_pairs_by_position_are_those_of_rows(scene, metric, radius, hot_rows):
+    """Also with exact copies of rows, and where a position's rows are cut into several."""
+    _, _, left, right = scene
+    left, right = left.unionByName(left.where("unique_id % 3 = 0")), right.unionByName(right.where("osm_id % 4 = 0"))
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    plain = J.radius_join(left, right, radius, metric)
+    assert rows(J.position_pairs(left, right, radius, metric, hot_rows=hot_rows, fold=9)) == rows(plain)
+    assert rows(J.position_pairs(left, right, radius, metric, digits=3)) == rows(plain.withColumn(plain.columns[-1], F.round(plain.columns[-1], 3)))
+    assert J.position_pairs(left.where("1 = 0"), right).count() == J.position_pairs(left, right.where("1 = 0")).count() == 0
+
+
+def test_positions_are_held_in_bounded_arrays(spark):
+    copies = spark.range(0, 3_000, 1, 3).selectExpr("7L as unique_id", "1.0D as longitude", "2.0D as latitude")
+    folded = J._by_position(copies, "longitude", "latitude", "_rows", 100).selectExpr("size(_rows) as n").collect()
+    assert sum(r["n"] for r in folded) == 3_000 and len(folded) == 30 and max(r["n"] for r in folded) < 200
+
+
+def test_pairs_of_a_join_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """Sides of a few KB whose pairs are many do not end in one task."""
+    monkeypatch.setattr(J, "TASK_PAIRS", 20_000, raising=False)
+    at = "(id % 40) * 0.002D as {}", "(id % 17) * 0.002D as {}"
+    left = spark.range(0, 4_000, 1, 1).selectExpr("id as unique_id", at[0].format("longitude"), at[1].format("latitude"))
+    right = spark.range(800).selectExpr("id as osm_id", at[0].format("center_lon"), at[1].format("center_lat"))
+    out = J.radius_join(left, right, 0.0005)
+    per_task = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("osm_id").alias("n")).collect()]
+    assert sum(per_task) == sum(1 for a in range(4_000) for b in range(800) if a % 40 == b % 40 and a % 17 == b % 17)
+    assert out.rdd.getNumPartitions() > 1 and len(per_task) > 1

@@ -269,7 +269,7 @@ def test_positions_are_held_in_bounded_arrays(spark):
 
 def test_pairs_of_a_join_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
     """Sides of a few KB whose pairs are many do not end in one task."""
-    monkeypatch.setattr(J, "TASK_PAIRS", 20_000, raising=False)
+    monkeypatch.setattr(J, "TASK_PAIRS", 500, raising=False)
     at = "(id % 40) * 0.002D as {}", "(id % 17) * 0.002D as {}"
     left = spark.range(0, 4_000, 1, 1).selectExpr("id as unique_id", at[0].format("longitude"), at[1].format("latitude"))
     right = spark.range(800).selectExpr("id as osm_id", at[0].format("center_lon"), at[1].format("center_lat"))

@@ -88,6 +88,17 @@ def test_late_rows_restart_and_replay(spark, tmp_path):
     assert sorted(map(tuple, t.rows().collect())) == first
 
 
+def test_versions_are_settled_against_the_table_not_held_as_state(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path / "t")
+    deliver(spark, t, tmp_path / "in", [(i, "1", i, 0.0) for i in range(50)], tmp_path / "marks")
+    t.fold()
+    deliver(spark, t, tmp_path / "in", [(i, "20"[i % 2], 100 + i, 0.0) for i in range(50)], tmp_path / "marks")
+    assert not (tmp_path / "marks" / "state").exists()  # executors would keep it in memory, all keys of all batches
+    assert {tuple(r) for r in t.rows().collect()} == {(i, "2", 100 + i, 0.0) if i % 2 == 0 else (i, "1", i, 0.0) for i in range(50)}
+    monkeypatch.setattr(K, "COPIED", 24)  # one less than the changes since the base
+    assert "Broadcast" not in t.rows()._jdf.queryExecution().executedPlan().toString()
+
+
 ROW = "unique_id string, longitude double, latitude double, naics_code string, naics_description string, business_start_date timestamp"
 BOX = (-122.6, 37.7, -122.3, 37.9)
 

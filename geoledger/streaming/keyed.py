@@ -126,7 +126,7 @@ class KeyedTable:
         new = self._stored("changes", "batch_id").where(F.col("batch_id") == batch).drop("batch_id")  # one row a key, as the stream groups by it
         names = self.schema.fieldNames()
         pairs = new.select(F.struct(*names).alias("new"), F.col(self.key).alias("_key"), "_bucket").join(
-            self._rows(batch - 1).select(F.struct(*names).alias("old"), F.col(self.key).alias("_old_key"), F.col("_bucket").alias("_old_bucket")),
+            self._rows(batch - 1).select(F.struct(*names).alias("old"), F.col(self.key).alias("_old_key"), F.col("_bucket").alias("_old_bucket")).hint("merge"),
             (F.col("_bucket") == F.col("_old_bucket")) & F.col("_key").eqNullSafe(F.col("_old_key")), "left",
         ).where(~F.col("new").eqNullSafe(F.col("old")))
         sides = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("row")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("row")))

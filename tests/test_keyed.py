@@ -99,6 +99,15 @@ def test_versions_are_settled_against_the_table_not_held_as_state(spark, tmp_pat
     assert "Broadcast" not in t.rows()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_replaced_rows_are_not_copied_to_all_tasks(spark, tmp_path):
+    t = table(spark, tmp_path / "t")
+    for version in "12":
+        deliver(spark, t, tmp_path / "in", [(i, version, i, 0.0) for i in range(9)], tmp_path / "marks")
+    signed = t.signed_changes(1)
+    assert "BroadcastHashJoin" not in signed._jdf.queryExecution().executedPlan().toString()  # their files are small where the rows are not
+    assert sorted((r["k"], r["v"], r["sign"]) for r in signed.collect()) == sorted((i, v, s) for i in range(9) for v, s in (("1", -1), ("2", 1)))
+
+
 ROW = "unique_id string, longitude double, latitude double, naics_code string, naics_description string, business_start_date timestamp"
 BOX = (-122.6, 37.7, -122.3, 37.9)
 

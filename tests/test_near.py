@@ -245,6 +245,19 @@ def test_pairs_take_attributes_and_lose_repeats_without_a_shuffle_of_pairs(scene
     assert plan.count("Join") == 3  # both sides with the hot cells, and with each other; none on the pairs
 
 
+def test_looked_up_attributes_are_not_copied_to_all_tasks(scene, monkeypatch):
+    _, _, left, right = scene
+    plans, write = {}, J.written
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(J, "written", seen)
+    J.attributed_pairs(left, right, "dba_name")
+    assert "SortMergeJoin" in plans["places"] and "Broadcast" not in plans["places"]
+
+
 @pytest.mark.parametrize("hot_rows", [J.HOT_ROWS, 7])
 @pytest.mark.parametrize("metric, radius", [("degrees", 0.0005), ("meters", 50.0)])
 def test_pairs_by_position_are_those_of_rows(scene, metric, radius, hot_rows):
